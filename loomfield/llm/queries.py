@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .line_quality import op3_quality_rules
+from .quality_nbsvm import op10_quality_nbsvm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
+    "op10_quality_nbsvm": op10_quality_nbsvm,
 }
 
 ORACLE_SQL: dict[str, str] = {}
