@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op8_decontaminate
 from .line_quality import op3_quality_rules
 from .quality_nbsvm import op10_quality_nbsvm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
+    "op8_decontaminate": op8_decontaminate,
     "op10_quality_nbsvm": op10_quality_nbsvm,
 }
 
