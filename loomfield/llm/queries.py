@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op8_decontaminate
 from .line_quality import op3_quality_rules
+from .simhash import op2_simhash_bktree
 from .quality_nbsvm import op10_quality_nbsvm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash_bktree": op2_simhash_bktree,
     "op3_quality_rules": op3_quality_rules,
     "op8_decontaminate": op8_decontaminate,
     "op10_quality_nbsvm": op10_quality_nbsvm,
