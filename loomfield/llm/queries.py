@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op5_byte_bpe
 from .decontaminate import op8_decontaminate
 from .line_quality import op3_quality_rules
 from .simhash import op2_simhash_bktree
@@ -14,6 +15,7 @@ from .quality_nbsvm import op10_quality_nbsvm
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_bktree": op2_simhash_bktree,
     "op3_quality_rules": op3_quality_rules,
+    "op5_byte_bpe": op5_byte_bpe,
     "op8_decontaminate": op8_decontaminate,
     "op10_quality_nbsvm": op10_quality_nbsvm,
 }
