@@ -10,6 +10,7 @@ from .bpe import op5_byte_bpe
 from .decontaminate import op8_decontaminate
 from .line_quality import op3_quality_rules
 from .simhash import op2_simhash_bktree
+from .lm_trie import op6_lm_trie
 from .quality_nbsvm import op10_quality_nbsvm
 from .toxicity import op7_toxicity_bigru
 
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_bktree": op2_simhash_bktree,
     "op3_quality_rules": op3_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_lm_trie": op6_lm_trie,
     "op7_toxicity_bigru": op7_toxicity_bigru,
     "op8_decontaminate": op8_decontaminate,
     "op10_quality_nbsvm": op10_quality_nbsvm,
