@@ -176,17 +176,24 @@ def backward(model: dict[str, np.ndarray], inputs: np.ndarray, tape: dict, d_log
     return g
 
 
-def _odds(of: np.ndarray, text: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
-    """Smoothed log-odds of toxic texts for each bucket, by the number of texts that hold it: as seen from each part of the
-    sample (counted on the other parts), and, last, from outside."""
-    pair = np.unique(np.stack([of, text]), axis=1)
-    out = []
-    for part in (*range(PARTS), None):
-        use = np.arange(len(labels)) % PARTS != part if part is not None else np.ones(len(labels), bool)
-        count = [np.bincount(pair[0][(use & (labels == c))[pair[1]]], minlength=1 << BITS) for c in (0, 1)]
-        rate = [(count[c] + 1) / ((use & (labels == c)).sum() + 2) for c in (0, 1)]
-        out.append(np.clip(np.log(rate[1] / rate[0]), -3, 6).astype(np.float32))
-    return out
+class _Odds:
+    """Smoothed log-odds of toxic texts for each bucket, by the number of texts that hold it."""
+
+    def __init__(self, labels: np.ndarray):
+        self.labels, self.part = labels, np.arange(len(labels)) % PARTS
+        self.count = np.zeros((PARTS, 2, 1 << BITS), np.float32)
+
+    def add(self, bucket: np.ndarray, text: np.ndarray) -> None:
+        """All buckets of some whole texts, repeats included."""
+        pair = np.unique((bucket << 32) | text)
+        bucket, text = pair >> 32, pair & 0xFFFFFFFF
+        np.add.at(self.count, (self.part[text], self.labels[text], bucket), 1)
+
+    def seen_from(self, part: int | None) -> np.ndarray:
+        """Counted on the other parts of the sample; None: on all."""
+        use = [k for k in range(PARTS) if k != part]
+        rate = [(self.count[use, c].sum(0) + 1) / (((self.labels == c) & np.isin(self.part, use)).sum() + 2) for c in (0, 1)]
+        return np.clip(np.log(rate[1] / rate[0]), -3, 6).astype(np.float32)
 
 
 def fit(texts: list[str], labels: np.ndarray, share: float, seed: int = 11) -> dict[str, np.ndarray]:
@@ -198,25 +205,24 @@ def fit(texts: list[str], labels: np.ndarray, share: float, seed: int = 11) -> d
         model["out"][:], model["shift"][0] = 0, np.log((share + 1e-3) / (1 - share + 1e-3)) if len(labels) else 0
         return model
     words = Words(pa.array(texts, pa.string()))
-    text = np.repeat(np.arange(len(texts)), np.diff(words.first))
-    order = np.argsort(words.word, kind="stable")
-    word_odds = _odds(words.bucket[words.word], text, labels)
-    pair = np.unique(np.stack([words.word[order], text[order]]), axis=1)
-    per_word = np.searchsorted(pair[0], np.arange(len(words.bucket) + 1))
-    n_text = np.diff(per_word)
-    grams, holders = [], []
-    for first_gram, gram in zip(words.gram_first, words.gram, strict=True):
-        owner = np.repeat(np.arange(len(words.bucket)), np.diff(first_gram))
-        flat = np.repeat(np.arange(len(owner)), n_text[owner])
-        inner = np.arange(len(flat)) - np.repeat(np.cumsum(n_text[owner]) - n_text[owner], n_text[owner])
-        both = np.unique((gram[flat] << 32) | pair[1][per_word[owner[flat]] + inner])
-        grams.append(both >> 32), holders.append(both & 0xFFFFFFFF)
-    gram_odds = _odds(np.concatenate(grams), np.concatenate(holders), labels)
+    word_odds, gram_odds = _Odds(labels), _Odds(labels)
+    for i in range(0, len(texts), 100):  # a few texts at a time
+        lo, hi = words.first[i], words.first[min(i + 100, len(texts))]
+        text = np.searchsorted(words.first, np.arange(lo, hi), "right") - 1
+        pair = np.unique((words.word[lo:hi] << 32) | text)
+        word, text = pair >> 32, pair & 0xFFFFFFFF
+        word_odds.add(words.bucket[word], text)
+        grams, holders = [], []
+        for first_gram, gram in zip(words.gram_first, words.gram, strict=True):
+            n = np.diff(first_gram)[word]
+            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            grams.append(gram[np.repeat(first_gram[word], n) + inner]), holders.append(np.repeat(text, n))
+        gram_odds.add(np.concatenate(grams), np.concatenate(holders))
     n_words, part_of = len(words.bucket), words.window_text % PARTS
     trained = [k for k in model if k not in ("word_odds", "gram_odds", "shift")]
     first, second = ({k: np.zeros_like(model[k]) for k in trained} for _ in range(2))
     step, live = 0, np.arange(WINDOW)
-    seen = np.stack([words.inputs(model | {"word_odds": word_odds[c], "gram_odds": gram_odds[c]}) for c in range(PARTS)])
+    seen = np.stack([words.inputs(model | {"word_odds": word_odds.seen_from(c), "gram_odds": gram_odds.seen_from(c)}) for c in range(PARTS)])
     for epoch in range(EPOCHS):
         learned = words.inputs(model)[:, : 2 * LEARNED]
         score = np.zeros(len(part_of), np.float32)
@@ -265,7 +271,7 @@ def fit(texts: list[str], labels: np.ndarray, share: float, seed: int = 11) -> d
                 first[k] = 0.9 * first[k] + 0.1 * g[k]
                 second[k] = 0.999 * second[k] + 0.001 * g[k] * g[k]
                 model[k] = (model[k] - RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
-    model["word_odds"], model["gram_odds"], mean = word_odds[-1], gram_odds[-1], labels.mean()
+    model["word_odds"], model["gram_odds"], mean = word_odds.seen_from(None), gram_odds.seen_from(None), labels.mean()
     model["shift"][0] = np.log(max(share, 1e-4) / max(1 - share, 1e-4)) - np.log(mean / (1 - mean))
     return model
 
