@@ -29,6 +29,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +38,8 @@ from .common import IS_WORD, LOWER, U64, crc32_of_id, documents, hash_spans, pie
 
 FOLDS, HELD = 7, 2
 MU = 20.0
-SHARD_TOKENS = 4_000_000
-BLOCK_BYTES = 12 << 20
+SHARD_TOKENS = 1_000_000
+BLOCK_BYTES = 8 << 20
 END, START = U64(0x8F5C28F5C28F5C29), U64(0x3C6EF372FE94F82B)
 _LOW40 = U64((1 << 40) - 1)
 
@@ -275,15 +276,21 @@ def _score_shard(rows: list[tuple[int, bytes]], heavy: tuple[np.ndarray, np.ndar
     del read
 
 
-def _shards(heavy, tokens: float, kinds: float):
+def _shards(heavy, tokens: float, kinds: float, id_list: pa.DataType):
+    names = ["block", "data", "sizes", "ids"]
+
     def flush(shard, rows):
         if rows and shard >= 0:
             for block, data in _score_shard(rows, heavy.value, tokens, kinds):
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "data": pa.array([data], pa.binary())})
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([data], pa.binary()), pa.array([None], pa.binary()), pa.array([None], id_list)], names=names)
 
     def run(batches):
         shard, rows = -1, []
         for batch in batches:
+            head = batch.filter(pa.compute.less(batch.column("shard"), 0))
+            if head.num_rows:
+                yield pa.RecordBatch.from_arrays([head.column("block"), pa.nulls(head.num_rows, pa.binary()), head.column("data"), head.column("ids")], names=names)
+            batch = batch.filter(pa.compute.greater_equal(batch.column("shard"), 0))
             for block, k, data in zip(batch.column("block").to_pylist(), batch.column("shard").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 if k != shard:
                     yield from flush(shard, rows)
@@ -327,11 +334,12 @@ def score(docs: DataFrame) -> DataFrame:
     rows = counts.where(F.col("n") > tokens / (4 * shards)).collect()  # at most 4 * shards words
     rows.sort(key=lambda r: r["word"] % (1 << 64))
     heavy = spark.sparkContext.broadcast((np.array([r["word"] % (1 << 64) for r in rows], U64), np.array([r["n"] for r in rows], np.float64)))
-    packed = written(src.mapInArrow(_blocks(shards, heavy), f"block long, shard int, data binary, ids array<{kind}>"))
-    dealt = packed.where("shard >= 0").select("block", "shard", "data").repartition(shards, "shard").sortWithinPartitions("shard", "block")
-    scored = dealt.mapInArrow(_shards(heavy, float(tokens), float(kinds)), "block long, data binary").groupBy("block").agg(F.collect_list("data").alias("parts"))
-    heads = packed.where("shard < 0").select("block", F.col("data").alias("sizes"), "ids")
-    out = heads.join(scored, "block", "left").mapInArrow(_finish(float(tokens), float(kinds), float(ends["n"]) if ends else 0.0, pa.int64() if kind == "bigint" else pa.string() if kind == "string" else pa.int32()), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    id_type = src.limit(0).toArrow().schema.field("doc_id").type
+    packed = src.mapInArrow(_blocks(shards, heavy), f"block long, shard int, data binary, ids array<{kind}>")
+    dealt = packed.repartition(shards, "shard").sortWithinPartitions("shard", "block")
+    scored = dealt.mapInArrow(_shards(heavy, float(tokens), float(kinds), pa.list_(id_type)), f"block long, data binary, sizes binary, ids array<{kind}>")
+    blocks = scored.groupBy("block").agg(F.collect_list("data").alias("parts"), F.max("sizes").alias("sizes"), F.first("ids", ignorenulls=True).alias("ids"))
+    out = blocks.mapInArrow(_finish(float(tokens), float(kinds), float(ends["n"]) if ends else 0.0, id_type), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", (crc32_of_id(F.col("doc_id")) % FOLDS == HELD).alias("held_out"), "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
