@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op5_byte_bpe
 from .decontaminate import op8_decontaminate
 from .line_quality import op3_quality_rules
+from .sharding import op1_vector_packing
 from .simhash import op2_simhash_bktree
 from .lm_trie import op6_lm_trie
 from .quality_nbsvm import op10_quality_nbsvm
 from .toxicity import op7_toxicity_bigru
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_vector_packing": op1_vector_packing,
     "op2_simhash_bktree": op2_simhash_bktree,
     "op3_quality_rules": op3_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
