@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op5_byte_bpe
 from .decontaminate import op8_decontaminate
+from .licenses import op4_license_scan
 from .line_quality import op3_quality_rules
 from .sharding import op1_vector_packing
 from .simhash import op2_simhash_bktree
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_packing": op1_vector_packing,
     "op2_simhash_bktree": op2_simhash_bktree,
     "op3_quality_rules": op3_quality_rules,
+    "op4_license_scan": op4_license_scan,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_lm_trie": op6_lm_trie,
     "op7_toxicity_bigru": op7_toxicity_bigru,
