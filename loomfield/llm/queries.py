@@ -12,6 +12,7 @@ from .licenses import op4_license_scan
 from .line_quality import op3_quality_rules
 from .sharding import op1_vector_packing
 from .simhash import op2_simhash_bktree
+from .line_templates import op9_line_templates
 from .lm_trie import op6_lm_trie
 from .quality_nbsvm import op10_quality_nbsvm
 from .toxicity import op7_toxicity_bigru
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_lm_trie": op6_lm_trie,
     "op7_toxicity_bigru": op7_toxicity_bigru,
     "op8_decontaminate": op8_decontaminate,
+    "op9_line_templates": op9_line_templates,
     "op10_quality_nbsvm": op10_quality_nbsvm,
 }
 

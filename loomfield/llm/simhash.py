@@ -232,6 +232,63 @@ def fingerprints(docs: DataFrame, id_columns: list[str], width: int = WIDTH, wor
     return src.mapInArrow(run, kinds + "fp binary, node long" + ", keys array<long>" * bool(keys))
 
 
+def band_keys(bits: int) -> Callable[[bytes, np.ndarray, int], list[int]]:
+    """Keys of `bits` bits from each of BANDS bands of a long fingerprint, also with each set of its FLIPS least certain bits flipped."""
+
+    def keys(fp: bytes, counts: np.ndarray, n: int) -> list[int]:
+        out, margin, size = [], np.abs(2 * counts - n), len(counts)
+        ones = 2 * counts > n
+        for band in range(BANDS):
+            at = (np.arange(bits) + band * size // BANDS) % size
+            value = int("".join("1" if x else "0" for x in ones[at]), 2)
+            weak = [1 << (bits - 1 - int(k)) for k in np.argsort(margin[at], kind="stable")[:FLIPS]]
+            values = [value]
+            for mask in weak:
+                values += [v ^ mask for v in values]
+            out += [(band << 48) | v for v in values]
+        return out
+
+    return keys
+
+
+def _jaccard(width: int, similarity: float):
+    def run(batches):
+        for batch in batches:
+            kept = []
+            for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
+                a, b = (np.unique(shingle_hashes(t, width)) for t in (x, y))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                kept.append(both >= similarity * (len(a) + len(b) - both))
+            keep = pa.array(kept, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(keep)
+
+    return run
+
+
+def similar_groups(rows: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows to keep of rows(row long, doc_id, text): of each group of texts linked by Jaccard similarity of their shingles
+    that of the smallest doc_id (nulls last, then by row)."""
+    bits = int(min(32, max(12, np.ceil(np.log2(max(rows.count(), 2))) - 2)))
+    marked = written(fingerprints(rows, ["row", "doc_id"], width, WORDS, band_keys(bits)))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    nodes = written(marked.groupBy("node").agg(F.min_by("fp", "row").alias("fp"), F.min_by("keys", "row").alias("keys"), F.min(order).alias("least")))
+    links = links_in_shards(nodes.select(F.explode("keys").alias("key"), "node", "fp"), RADIUS, by_flips=False).distinct()
+    where = nodes.select("node", F.col("least.row").alias("row"))
+    ends = written(links.join(where.toDF("a", "row_a"), "a").join(where.toDF("b", "row_b"), "b"))
+    pairs = ends.join(rows.select(F.col("row").alias("row_a"), F.col("text").alias("text_a")), "row_a").join(rows.select(F.col("row").alias("row_b"), F.col("text").alias("text_b")), "row_b")
+    sure = pairs.select("a", "b", "text_a", "text_b").mapInArrow(_jaccard(width, similarity), "a long, b long")
+    roots = components(sure)
+    best = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
+    return best.select(F.col("least.row").alias("row"))
+
+
+def dedup(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one document of each group of near duplicates."""
+    base = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")))
+    keep = written(similar_groups(base.select("row", "doc.doc_id", "doc.text"), width, similarity))
+    return base.join(keep, "row", "left_semi").select("doc.*")
+
+
 def groups(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fp, component_id of each document: fingerprints of 64 bits, linked within radius bits."""
     rows = written(fingerprints(docs, ["doc_id"], width))
