@@ -38,7 +38,8 @@ from .common import IS_WORD, LOWER, U64, crc32_of_id, documents, hash_spans, pie
 
 FOLDS, HELD = 7, 2
 MU = 20.0
-SHARD_TOKENS = 1_000_000
+SHARD_TOKENS, SHARDS_PER_TASK = 1_000_000, 4
+HELD_BYTES = 64 << 20  # of a task's sums
 BLOCK_BYTES = 8 << 20
 END, START = U64(0x8F5C28F5C28F5C29), U64(0x3C6EF372FE94F82B)
 _LOW40 = U64((1 << 40) - 1)
@@ -268,9 +269,7 @@ def _score_shard(rows: list[tuple[int, bytes]], heavy: tuple[np.ndarray, np.ndar
             ends = np.repeat(r[0] == END, r[1])
             value = value - np.where(ends, 0.0, trie.context_book[trie.context[word]])
             c, n = own[word], int(text.max()) + 1
-            texts = np.flatnonzero(np.bincount(text, minlength=n))
-            parts = [np.bincount(text, x, n)[texts] for x in (np.log10(c + 1), (c > 0).astype(np.float64), value)]
-            yield block, np.array([len(texts)], "<i8").tobytes() + texts.astype("<u4").tobytes() + parts[0].astype("<f8").tobytes() + parts[1].astype("<u4").tobytes() + parts[2].astype("<f4").tobytes()
+            yield block, np.stack([np.bincount(text, x, n) for x in (np.log10(c + 1), (c > 0).astype(np.float64), value)])
             begin = end
         del trie
     del read
@@ -279,13 +278,27 @@ def _score_shard(rows: list[tuple[int, bytes]], heavy: tuple[np.ndarray, np.ndar
 def _shards(heavy, tokens: float, kinds: float, id_list: pa.DataType):
     names = ["block", "data", "sizes", "ids"]
 
-    def flush(shard, rows):
+    def emit(sums):
+        for block, part in sums.items():
+            texts = np.flatnonzero(part.any(0))
+            data = np.array([len(texts)], "<i8").tobytes() + b"".join(x.astype(k).tobytes() for x, k in zip((texts, *part[:, texts]), ("<u4", "<f8", "<u4", "<f4"), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([data], pa.binary()), pa.array([None], pa.binary()), pa.array([None], id_list)], names=names)
+        sums.clear()
+
+    def flush(shard, rows, sums):
+        """Adds a shard's part to the task's sums, which go out when they have grown."""
         if rows and shard >= 0:
-            for block, data in _score_shard(rows, heavy.value, tokens, kinds):
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([data], pa.binary()), pa.array([None], pa.binary()), pa.array([None], id_list)], names=names)
+            for block, part in _score_shard(rows, heavy.value, tokens, kinds):
+                if block in sums and sums[block].shape[1] >= part.shape[1]:
+                    sums[block][:, : part.shape[1]] += part
+                else:
+                    part[:, : sums[block].shape[1] if block in sums else 0] += sums.get(block, part[:, :0])
+                    sums[block] = part
+            if sum(x.nbytes for x in sums.values()) > HELD_BYTES:
+                yield from emit(sums)
 
     def run(batches):
-        shard, rows = -1, []
+        shard, rows, sums = -1, [], {}
         for batch in batches:
             head = batch.filter(pa.compute.less(batch.column("shard"), 0))
             if head.num_rows:
@@ -293,10 +306,11 @@ def _shards(heavy, tokens: float, kinds: float, id_list: pa.DataType):
             batch = batch.filter(pa.compute.greater_equal(batch.column("shard"), 0))
             for block, k, data in zip(batch.column("block").to_pylist(), batch.column("shard").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 if k != shard:
-                    yield from flush(shard, rows)
+                    yield from flush(shard, rows, sums)
                     shard, rows = k, []
                 rows.append((block, data))
-        yield from flush(shard, rows)
+        yield from flush(shard, rows, sums)
+        yield from emit(sums)
 
     return run
 
@@ -336,7 +350,7 @@ def score(docs: DataFrame) -> DataFrame:
     heavy = spark.sparkContext.broadcast((np.array([r["word"] % (1 << 64) for r in rows], U64), np.array([r["n"] for r in rows], np.float64)))
     id_type = src.limit(0).toArrow().schema.field("doc_id").type
     packed = src.mapInArrow(_blocks(shards, heavy), f"block long, shard int, data binary, ids array<{kind}>")
-    dealt = packed.repartition(shards, "shard").sortWithinPartitions("shard", "block")
+    dealt = packed.repartition(-(-shards // SHARDS_PER_TASK), "shard").sortWithinPartitions("shard", "block")
     scored = dealt.mapInArrow(_shards(heavy, float(tokens), float(kinds), pa.list_(id_type)), f"block long, data binary, sizes binary, ids array<{kind}>")
     blocks = scored.groupBy("block").agg(F.collect_list("data").alias("parts"), F.max("sizes").alias("sizes"), F.first("ids", ignorenulls=True).alias("ids"))
     out = blocks.mapInArrow(_finish(float(tokens), float(kinds), float(ends["n"]) if ends else 0.0, id_type), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
