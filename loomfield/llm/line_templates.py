@@ -55,7 +55,8 @@ def recurring_lines(lines: DataFrame, min_texts: int = MIN_TEXTS, similarity: fl
 
 def strip_templates(docs: DataFrame, min_texts: int = MIN_TEXTS, similarity: float = SIMILARITY) -> DataFrame:
     """A struct `doc` of docs' columns, text without recurring lines, n_lines, n_dropped."""
-    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc"), F.col("text").cast("string").alias("text")))
+    stored = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")))
+    rows = stored.select("row", "doc", F.col("doc.text").alias("text"))
     tokens = F.when(F.length("masked") > 0, F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1).otherwise(0)
     # Neighbours come from the row's own array, not from a window: no shuffle.
     near = rows.where("text is not null").select("row", F.xxhash64("text").alias("text_key"), F.transform(F.split("text", "\n"), masked).alias("all"))
@@ -70,7 +71,7 @@ def strip_templates(docs: DataFrame, min_texts: int = MIN_TEXTS, similarity: flo
     gone = lines.where(F.col("tokens") >= MIN_TOKENS).select("row", "at", "line_key").join(drop, "line_key").groupBy("row").agg(F.collect_set("at").alias("gone"))
     all_lines = F.split("text", "\n")
     left = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    return rows.join(gone, "row", "left").select(
+    return stored.join(gone, "row", "left").withColumn("text", F.col("doc.text")).select(
         "doc",
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(all_lines)).cast("long").alias("n_lines"),
