@@ -81,6 +81,16 @@ PATTERNS = [
 ]
 
 
+def pinned(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with the columns, each computed once for a row.
+
+    A one-row generator stands between the steps: the optimiser would otherwise copy a large expression into every place
+    that uses its column, and those copies into the next step's.
+    """
+    step = df.withColumn("__pin", F.explode(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
+    return step.withColumns({k: F.col(f"__pin.{k}") for k in columns}).drop("__pin")
+
+
 def _entries(pairs: list[tuple[str, Column]]) -> Column:
     return F.array(*(F.struct(F.lit(k).alias("path"), v.cast("string").alias("value")) for k, v in pairs))
 
@@ -99,7 +109,8 @@ def first_wins(entries: Column) -> Column:
 
 def normalize(logs: DataFrame, patterns: list[Pattern] = PATTERNS) -> DataFrame:
     """logs(…, raw_log) with log_format, fields, pattern, class_uid, class_name, event, confidence and hot columns."""
-    out = logs.withColumn("log_format", detect_format(F.col("raw_log"))).withColumn("fields", preparse(F.col("raw_log"), F.col("log_format")))
+    out = pinned(logs, log_format=detect_format(F.col("raw_log")))
+    out = pinned(out, fields=preparse(F.col("raw_log"), F.col("log_format")))
     raw, fields = F.col("raw_log"), F.col("fields")
     ranked = sorted((p for p in patterns if p.admitted()), key=lambda p: -p.specificity)  # stable: load order breaks ties
     name, entries = None, None
@@ -111,13 +122,13 @@ def normalize(logs: DataFrame, patterns: list[Pattern] = PATTERNS) -> DataFrame:
     none = F.array().cast("array<struct<path:string,value:string>>")
     classes = F.create_map(*(F.lit(x) for p in ranked for x in (p.name, p.class_uid)))
     titles = F.create_map(*(F.lit(x) for pair in CLASSES.items() for x in pair))
-    out = out.withColumn("pattern", name).withColumn("by_pattern", F.coalesce(entries, none)).withColumn("by_alias", F.coalesce(aliased(fields), none))
+    out = pinned(out, pattern=name, by_pattern=F.coalesce(entries, none), by_alias=F.coalesce(aliased(fields), none))
     out = out.withColumn("class_uid", F.coalesce(F.element_at(classes, F.col("pattern")), F.lit(0)))
     out = out.withColumn("class_name", F.coalesce(F.element_at(titles, F.col("class_uid")), F.format_string("Unknown (%d)", "class_uid")))
-    out = out.withColumn("event", first_wins(F.concat("by_pattern", "by_alias")))
     made = F.transform(F.col("by_pattern"), lambda e: F.struct(e["path"].alias("path"), F.lit("pattern").alias("value")))
     mapped = F.transform(F.col("by_alias"), lambda e: F.struct(e["path"].alias("path"), F.lit("alias").alias("value")))
-    out = out.withColumn("confidence", first_wins(F.concat(made, mapped))).drop("by_pattern", "by_alias")
+    out = pinned(out, merged=F.concat("by_pattern", "by_alias"), methods=F.concat(made, mapped))
+    out = pinned(out, event=first_wins(F.col("merged")), confidence=first_wins(F.col("methods"))).drop("by_pattern", "by_alias", "merged", "methods")
     return scrub(required_fields(out))
 
 
@@ -131,9 +142,8 @@ def required_fields(events: DataFrame) -> DataFrame:
     source = F.when(login & at("src_endpoint.ip").isNull() & (address != "") & ~address.isin("127.0.0.1", "0.0.0.0", "255.255.255.255"), address)
     extra = [("actor.user.name", F.when(at("actor.user.name").isNull() & (F.coalesce(at("user"), F.lit("")) != ""), at("user"))), ("status", status), ("src_endpoint.ip", source)]
     added = F.map_from_entries(F.filter(_entries(extra), lambda e: e["value"].isNotNull()))
-    out = events.withColumn("added", added)
-    out = out.withColumn("event", F.map_concat("event", "added"))
-    return out.withColumn("confidence", F.map_concat("confidence", F.transform_values("added", lambda k, v: F.lit("enrichment")))).drop("added")
+    out = pinned(events, added=added)
+    return pinned(out, event=F.map_concat("event", "added"), confidence=F.map_concat("confidence", F.transform_values("added", lambda k, v: F.lit("enrichment")))).drop("added")
 
 
 def scrub(events: DataFrame) -> DataFrame:
@@ -141,7 +151,7 @@ def scrub(events: DataFrame) -> DataFrame:
     good = lambda k, v: (
         F.when(k.endswith(".ip"), coerce.ip(v).isNotNull()).when(k.endswith(".port"), coerce.port(v).isNotNull()).when(k.endswith(".pid"), v.rlike(r"^(?:0x[0-9a-fA-F]+|\d+)$")).otherwise(v.isNotNull())
     )
-    out = events.withColumn("event", F.map_filter("event", good))
+    out = pinned(events, event=F.map_filter("event", good))
     number = lambda k: F.element_at("event", k).try_cast("int")
     return out.withColumns({"activity_id": F.coalesce(number("activity_id"), F.lit(0)), "severity_id": F.coalesce(number("severity_id"), F.lit(1)), "status_id": number("status_id"), "category_uid": F.floor(F.col("class_uid") / 1000).cast("int")})
 

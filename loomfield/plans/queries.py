@@ -15,7 +15,7 @@ from ..functions import coerce
 from ..operators import rules
 from ..operators.detect_format import detect_format
 from ..operators.learn import fingerprints, learned_fields, mask_templates
-from ..operators.normalize import json_key_patterns, normalize
+from ..operators.normalize import json_key_patterns, normalize, pinned
 from ..operators.preparse import preparse
 from ..sources.logs import FIELDS, LINE, render_logs
 
@@ -40,11 +40,11 @@ def query(name: str, sql: str):
 
 
 def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render_logs(spark, sf_dir).withColumn("log_format", detect_format(F.col("raw_log")))
+    return pinned(render_logs(spark, sf_dir), log_format=detect_format(F.col("raw_log")))
 
 
 def parsed(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
-    return detected(spark, sf_dir).where(F.col("log_format") == fmt).withColumn("fields", preparse(F.col("raw_log"), F.lit(fmt)))
+    return detected(spark, sf_dir).where(F.col("log_format") == fmt).transform(lambda d: pinned(d, fields=preparse(F.col("raw_log"), F.lit(fmt))))
 
 
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +218,7 @@ def relevance_components(spark, sf_dir):
     return rules.relevance(normalized(spark, sf_dir)).select("log_id", "subtype", "attack")
 
 
-@query("route_tiers", f"WITH {EV}, t AS (SELECT CASE WHEN event_id % 5 = 4 THEN 'operational' WHEN event_id % 5 = 2 AND operation <> 'ConsoleLogin' THEN 'operational' ELSE 'security' END AS tier FROM ev) SELECT x.tier, count(t.tier) AS n FROM (VALUES ('security'), ('operational'), ('compliance'), ('noise')) x(tier) LEFT JOIN t ON t.tier = x.tier GROUP BY ALL")
+@query("route_tiers", f"WITH {EV}, t AS (SELECT CASE WHEN event_id % 5 IN (1, 4) THEN 'operational' WHEN event_id % 5 = 2 AND operation <> 'ConsoleLogin' THEN 'operational' ELSE 'security' END AS tier FROM ev) SELECT x.tier, count(t.tier) AS n FROM (VALUES ('security'), ('operational'), ('compliance'), ('noise')) x(tier) LEFT JOIN t ON t.tier = x.tier GROUP BY ALL")
 def route_tiers(spark, sf_dir):
     routed = rules.relevance(normalized(spark, sf_dir)).select(rules.tier(F.col("score"), F.col("class_uid")).alias("tier"))
     all_tiers = spark.createDataFrame([(t,) for t in ("security", "operational", "compliance", "noise")], "tier string")
