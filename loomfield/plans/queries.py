@@ -90,9 +90,9 @@ def format_detect_docs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", detect_format(F.col("text")).alias("log_format"))
 
 
-@query("preparse_syslog", f"WITH {EV} SELECT event_id AS log_id, strftime(ts, '%b %d %H:%M:%S') AS at, host AS hostname, 'sshd' AS app, pid::VARCHAR AS pid FROM ev WHERE event_id % 5 = 0")
+@query("preparse_syslog", f"WITH {EV} SELECT event_id AS log_id, strftime(ts, '%b %d %H:%M:%S') AS logged_at, host AS hostname, 'sshd' AS app, pid::VARCHAR AS pid FROM ev WHERE event_id % 5 = 0")
 def preparse_syslog(spark, sf_dir):
-    return parsed(spark, sf_dir, "syslog_bsd").select("log_id", field("timestamp").alias("at"), field("hostname").alias("hostname"), field("_app").alias("app"), field("_pid").alias("pid"))
+    return parsed(spark, sf_dir, "syslog_bsd").select("log_id", field("timestamp").alias("logged_at"), field("hostname").alias("hostname"), field("_app").alias("app"), field("_pid").alias("pid"))
 
 
 @query("preparse_cef", f"WITH {EV} SELECT event_id AS log_id, event_type AS name, event_id % 11 AS severity, src_ip, dst_ip, src_port::BIGINT AS src_port, dst_port::BIGINT AS dst_port, event_type AS act FROM ev WHERE event_id % 5 = 1")
@@ -275,7 +275,7 @@ def template_mask(spark, sf_dir):
     return mask_templates(render_logs(spark, sf_dir))
 
 
-@query("learner_verified", f"WITH {EV} SELECT {KIND} AS log_format, CASE event_id % 5 WHEN 1 THEN 6 WHEN 3 THEN 6 WHEN 2 THEN 6 WHEN 0 THEN 4 ELSE 6 END::INT AS n_fields, count(*) AS n FROM ev GROUP BY ALL")
+@query("learner_verified", f"WITH {EV} SELECT {KIND} AS log_format, CASE event_id % 5 WHEN 0 THEN 7 WHEN 1 THEN 6 WHEN 2 THEN 6 WHEN 3 THEN 5 ELSE 7 END::INT AS n_fields, count(*) AS n FROM ev GROUP BY ALL")
 def learner_verified(spark, sf_dir):
     return learned_fields(normalized(spark, sf_dir)).groupBy("log_format", "n_fields").agg(N())
 
@@ -316,7 +316,7 @@ def hallucination_substring(spark, sf_dir):
 def relationship_integrity(spark, sf_dir):
     pairs = F.array(*(F.struct(F.lit(k).alias("pair"), value(f"{k}_endpoint.ip").alias("a"), value(f"{k}_endpoint.port").alias("b")) for k in ("src", "dst")))
     own = normalized(spark, sf_dir).select(F.explode(pairs).alias("p")).select("p.*").where("a is not null")
-    return own.groupBy("pair").agg(F.count_if("b is not null").alias("paired"), F.count_if("b is null").alias("sparse"))
+    return own.groupBy("pair").agg(F.count_if(F.col("b").isNotNull()).alias("paired"), F.count_if(F.col("b").isNull()).alias("sparse"))
 
 
 @query("attack_grouping_sets", f"WITH {EV}, e AS (SELECT {CLASS}::INT AS class_uid, (CASE WHEN event_id % 5 = 1 THEN 6 ELSE 1 END)::INT AS activity_id, event_id % 5 <> 1 AS u FROM ev) SELECT class_uid, activity_id, count(*) AS n, round(avg(u::INT), 6)::DOUBLE AS user_rate, 1.0::DOUBLE AS src_rate FROM e GROUP BY GROUPING SETS ((class_uid), (class_uid, activity_id))")
