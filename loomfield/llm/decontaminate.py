@@ -301,7 +301,7 @@ def _cut(text: str, bench: Windows) -> str:
 
 def remove(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without the merged spans of benchmark windows; a document of which no word is left goes. n_chars follows."""
-    spark, out = docs.sparkSession, docs.select(F.struct(*docs.columns).alias("doc"), F.col("text"), F.lit(False).alias("changed"))
+    spark, out = docs.sparkSession, docs.select(F.struct(*(c for c in docs.columns if c != "text"), F.lit(0).alias("__")).alias("doc"), F.col("text"), F.lit(False).alias("changed"))
     kind = out.schema["doc"].dataType.simpleString()
     for block in blocks(benchmark, block_bytes):
         bench = spark.sparkContext.broadcast(Windows([tuple(r) for r in block.collect()]))
@@ -316,7 +316,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES
                     yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(text, pa.string()), pa.array(changed)], names=["doc", "text", "changed"])
 
         out = out.mapInArrow(run, f"doc {kind}, text string, changed boolean")
-    columns = {c: F.col(f"doc.`{c}`") for c in docs.columns} | {"text": F.col("text")}
+    columns = {c: F.col("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns}
     if "n_chars" in columns:
         columns["n_chars"] = F.when(F.col("changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
     return out.where(~F.col("changed") | F.col("text").rlike(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]")).select(*(x.alias(c) for c, x in columns.items()))

@@ -99,7 +99,7 @@ def lines_above_limit(docs: DataFrame, min_texts: int = MIN_TEXTS, share: float
 _FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, removed_words long, kept_text string"
 
 
-def _features(x: _Lines, removed: np.ndarray, rewrite: bool) -> list[pa.Array]:
+def _features(x: _Lines, removed: np.ndarray, rewrite: bool, originals: pa.Array) -> list[pa.Array]:
     """removed: of each line of x, whether it goes."""
     words = np.diff(x.first)
     lead = np.append(0, np.cumsum((x.buf & 0xC0) != 0x80))  # code points before each byte
@@ -124,6 +124,7 @@ def _features(x: _Lines, removed: np.ndarray, rewrite: bool) -> list[pa.Array]:
     gone = np.bincount(x.line_text[removed], x.line_words[removed], x.n).astype(np.int64)
     texts: list[str | None] = [None] * x.n
     if rewrite:
+        texts = originals.to_pylist()
         for t in np.unique(x.line_text[removed]):
             own, pos, out = (x.line_text == t) & removed, x.offsets[t], []
             for s, e in zip(x.line_s[own], x.line_e[own], strict=True):
@@ -138,20 +139,21 @@ def _apply(keep: list[str], lookup, rewrite: bool):
     def run(batches):
         names = [*keep, *(f.split()[0] for f in _FEATURES.split(", "))]
         for batch in batches:
-            for part in pieces(batch, "__text"):
+            for part in pieces(batch, "__text", 4 << 20):
                 x = _Lines(part.column("__text"))
                 removed = lookup(x, part)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *_features(x, removed, rewrite)], names=names)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *_features(x, removed, rewrite, part.column("__text"))], names=names)
 
     return run
 
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", min_texts: int = MIN_TEXTS, share: float = SHARE, max_removed: float = MAX_REMOVED, rewrite: bool = False, columns: list[str] | None = None) -> DataFrame:
-    """A struct `doc` of docs' columns (or those named), the features, base_failed, depleted and kept; with rewrite, kept_text where lines went."""
+    """A struct `doc` of docs' columns (or those named), the features, base_failed, depleted and kept; with rewrite, kept_text and no text in `doc`."""
     spark = docs.sparkSession
     above = written(lines_above_limit(docs.select(F.col(text).alias("text"), F.col(host).alias("host")), min_texts, share))
     keep = ["doc"]
-    src = docs.select(F.struct(*(docs.columns if columns is None else columns)).alias("doc"), F.col(text).alias("__text"), F.col(host).cast("string").alias("__host"))
+    own = [c for c in (docs.columns if columns is None else columns) if not (rewrite and c == text)]  # the text goes once
+    src = docs.select(F.struct(*own, F.lit(0).alias("__")).alias("doc"), F.col(text).alias("__text"), F.col(host).cast("string").alias("__host"))
     schema = f"doc {src.schema['doc'].dataType.simpleString()}, {_FEATURES}"
     if above.count() <= BROADCAST_LINES:
         table = above.toPandas().sort_values("line")
@@ -197,10 +199,9 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", min_texts:
 def clean(docs: DataFrame, text: str = "text", host: str = "source", **limits) -> DataFrame:
     """The kept documents of docs, without the lines above their limits; n_chars, where there is such a column, follows."""
     out = judge(docs, text, host, rewrite=True, **limits).where("kept")
-    columns = {c: F.col(f"doc.`{c}`") for c in docs.columns}
-    columns[text] = F.coalesce("kept_text", columns[text])
+    columns = {c: F.col("kept_text") if c == text else F.col(f"doc.`{c}`") for c in docs.columns}
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(F.col("kept_text").isNull(), columns["n_chars"]).otherwise(F.length("kept_text").cast(docs.schema["n_chars"].dataType))
+        columns["n_chars"] = F.when(F.col("removed_words") == 0, columns["n_chars"]).otherwise(F.length("kept_text").cast(docs.schema["n_chars"].dataType))
     return out.select(*(x.alias(c) for c, x in columns.items()))
 
 
