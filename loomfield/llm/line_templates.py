@@ -32,14 +32,12 @@ def masked(line: str):
     return F.regexp_replace(tight, r"(?<![^ ])[^ 0-9]*[0-9][^ ]*", VARIABLE)
 
 
-def recurring_lines(lines: DataFrame, min_texts: int = MIN_TEXTS, similarity: float = SIMILARITY) -> DataFrame:
-    """line_key of the lines to drop, of lines(text_key, line_key, before_key, after_key, masked, tokens)."""
-    leaf = F.xxhash64("tokens", *(F.element_at(F.split("masked", " "), k + 1) for k in range(LEADING)))
-    own = lines.where(F.col("tokens") >= MIN_TOKENS).select("text_key", "line_key", "before_key", "after_key", "masked", leaf.alias("leaf"))
-    texts = own.groupBy("leaf").agg(F.count_distinct("text_key").alias("texts"))
-    full = texts.where(F.col("texts") >= min_texts).select("leaf")
-    kept = written(own.join(full, "leaf"))
-    distinct = kept.groupBy("leaf", "line_key", "masked").agg(F.count_distinct("text_key").alias("texts"))
+def recurring_lines(keys: DataFrame, lines: DataFrame, min_texts: int = MIN_TEXTS, similarity: float = SIMILARITY) -> DataFrame:
+    """line_key of the lines to drop, of keys(text_key, line_key, before_key, after_key, leaf) and lines, the same with `masked`."""
+    texts = keys.groupBy("leaf").agg(F.count_distinct("text_key").alias("texts"))
+    full = written(texts.where(F.col("texts") >= min_texts).select("leaf"))
+    kept = keys.join(full, "leaf")
+    distinct = written(lines.join(full, "leaf").groupBy("leaf", "line_key", "masked").agg(F.count_distinct("text_key").alias("texts")))
     places = distinct.select("leaf", "line_key", "texts", F.posexplode(F.split("masked", " ")).alias("place", "token"))
     constant = places.groupBy("leaf", "place", "token").agg(F.sum("texts").alias("n")).where(F.col("n") >= min_texts)
     marked = places.join(constant, ["leaf", "place", "token"], "left").withColumn("fixed", F.col("n").isNotNull() & (F.col("token") != VARIABLE))
@@ -67,8 +65,11 @@ def strip_templates(docs: DataFrame, min_texts: int = MIN_TEXTS, similarity: flo
     lines = near.select("row", "text_key", F.explode(triple).alias("line")).select("row", "text_key", "line.*").withColumn("tokens", tokens)
     edge = lambda c: F.coalesce(c, "text_key")  # noqa: E731  a text's edge is a neighbour of its own
     lines = lines.withColumns({"before_key": edge("before_key"), "after_key": edge("after_key")})
-    drop = written(recurring_lines(lines, min_texts, similarity))
-    gone = lines.where(F.col("tokens") >= MIN_TOKENS).select("row", "at", "line_key").join(drop, "line_key").groupBy("row").agg(F.collect_set("at").alias("gone"))
+    leaf = F.xxhash64("tokens", *(F.element_at(F.split("masked", " "), k + 1) for k in range(LEADING)))
+    lines = lines.where(F.col("tokens") >= MIN_TOKENS).withColumn("leaf", leaf)
+    keys = written(lines.select("row", "at", "text_key", "line_key", "before_key", "after_key", "leaf"))  # hashes only
+    drop = written(recurring_lines(keys, lines, min_texts, similarity))
+    gone = keys.select("row", "at", "line_key").join(drop, "line_key").groupBy("row").agg(F.collect_set("at").alias("gone"))
     all_lines = F.split("text", "\n")
     left = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
     return stored.join(gone, "row", "left").withColumn("text", F.col("doc.text")).select(
