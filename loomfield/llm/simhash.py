@@ -44,6 +44,7 @@ LARGEST = 4_096
 # Of the pipeline stage: five words, 256 bits, at least 0.8 of the bits equal, then Jaccard similarity 0.8 on shingles.
 WIDTH, WORDS, RADIUS, SIMILARITY = 5, 4, 51, 0.8
 BANDS, FLIPS = 8, 2
+BROADCAST_ROWS = 2_000_000  # row numbers of 8 bytes
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -283,9 +284,16 @@ def similar_groups(rows: DataFrame, width: int = WIDTH, similarity: float = SIMI
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one document of each group of near duplicates."""
+    """docs with one document of each group of near duplicates.
+
+    The rows to drop are fewer than those to keep. Up to `BROADCAST_ROWS` of them are broadcast, so that no text is
+    shuffled for it; more of them are joined by row number. Both ways keep the same rows.
+    """
     base = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")))
     keep = written(similar_groups(base.select("row", "doc.doc_id", "doc.text"), width, similarity))
+    drop = written(base.select("row").join(keep, "row", "left_anti"))
+    if drop.count() <= BROADCAST_ROWS:
+        return base.join(F.broadcast(drop), "row", "left_anti").select("doc.*")
     return base.join(keep, "row", "left_semi").select("doc.*")
 
 

@@ -93,6 +93,11 @@ def test_near_dedup_keeps_one(spark, docs):
     assert sorted(r["doc_id"] or 0 for r in simhash.dedup(docs).collect()) == [0, 1, 3, 6]
 
 
+def test_near_dedup_beyond_the_broadcast(spark, docs, monkeypatch):
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", -1)
+    assert sorted(r["doc_id"] or 0 for r in simhash.dedup(docs).collect()) == [0, 1, 3, 6]
+
+
 def test_quality(spark, docs):
     rows = {r["doc"]["doc_id"]: r for r in line_quality.judge(docs, columns=["doc_id"]).collect()}
     assert rows[3]["n_words"] == 0 and rows[3]["base_failed"] and not rows[3]["kept"]
