@@ -5,7 +5,9 @@ words of a longer fingerprint come from mixing that hash). Distinct fingerprints
 grows BK-trees: a node's children are keyed by their integer Hamming distance to it, and a search at distance d from a
 node follows only the edges d - radius .. d + radius. A shard's trees are the components found so far; a fingerprint
 searches each tree up to its first match, joins the trees it matches, and reports one link for each, so that a shard of
-n fingerprints reports at most n - 1 links and a dense group costs little more than its size.
+n fingerprints reports at most n - 1 links and a dense group costs little more than its size. That is enough where being
+within the radius is the link itself. Where links are verified afterwards (near-duplicates by Jaccard similarity), a tree
+would hide a true partner behind a false one: there shards report pairs, in rounds (`verified_components`).
 
 Which fingerprints meet in a shard:
 
@@ -44,6 +46,7 @@ LARGEST = 4_096
 # Of the pipeline stage: five words, 256 bits, at least 0.8 of the bits equal, then Jaccard similarity 0.8 on shingles.
 WIDTH, WORDS, RADIUS, SIMILARITY = 5, 4, 51, 0.8
 BANDS, FLIPS = 8, 2
+FIRST_PAIRS = 2  # of a node in a shard, in the first round
 BROADCAST_ROWS = 2_000_000  # row numbers of 8 bytes
 
 
@@ -166,32 +169,124 @@ def _shards_of_partition(radius: int):
     return run
 
 
+def _sizes(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """key, n of the usual and of the large shards of more than one node."""
+    sizes = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return sizes.where(F.col("n") <= LARGEST), sizes.where(F.col("n") > LARGEST)
+
+
+def _paired_parts(keyed: DataFrame, large: DataFrame) -> DataFrame:
+    """Each large shard cut into parts, and a shard for each pair of parts."""
+    own = keyed.join(large, "key").withColumn("parts", F.ceil(2 * F.col("n") / LARGEST).cast("long")).withColumn("part", F.pmod(F.xxhash64("node", "key"), "parts"))
+    pair = F.struct(F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
+    return own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(F.xxhash64("key", pair).alias("key"), "node", "fp")
+
+
 def links_in_shards(keyed: DataFrame, radius: int, by_flips: bool) -> DataFrame:
     """a, b: a spanning forest of the links inside each shard of keyed(key long, node long, fp binary)."""
     keyed = written(keyed)
-    sizes = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    usual, large = sizes.where(F.col("n") <= LARGEST).select("key"), sizes.where(F.col("n") > LARGEST)
+    usual, large = _sizes(keyed)
     links = keyed.join(usual, "key", "left_semi")
     if not large.isEmpty():
-        hot = keyed.join(large, "key")
         if by_flips:
+            hot = keyed.join(large, "key")
             word = F.conv(F.hex("fp"), 16, -10).cast("long")
             variants = F.concat(F.array(F.col("bits")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.col("bits").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k))))
             flips = hot.select("node", word.alias("bits")).distinct().select("node", F.explode(variants).alias("variant"))
             hubs = flips.groupBy("variant").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
             more = flips.join(hubs.select("variant", "hub"), "variant").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
         else:
-            parts = F.ceil(2 * F.col("n") / LARGEST).cast("long")
-            own = hot.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node", "key"), "parts"))
-            pair = F.struct(F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
-            paired = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(F.xxhash64("key", pair).alias("key"), "node", "fp")
-            more, links = None, links.unionByName(paired)
+            more, links = None, links.unionByName(_paired_parts(keyed, large))
     else:
         more = None
     found = links.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shards_of_partition(radius), "a long, b long")
     return found if more is None else found.unionByName(more)
 
 
+def near_pairs(nodes: np.ndarray, prints: np.ndarray, roots: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(a, b, more): the pairs of a shard within radius that have different roots, of each node to its `most` nearest; whether
+    any node has further ones. prints: a row of 64-bit words for each node."""
+    a, b, more, step = [], [], False, max(1, (1 << 20) // len(nodes))
+    for i in range(0, len(nodes), step):
+        d = np.zeros((len(nodes[i : i + step]), len(nodes)), np.uint16)
+        for k in range(prints.shape[1]):
+            d += np.bitwise_count(prints[i : i + step, k, None] ^ prints[None, :, k])
+        near = (d <= radius) & (roots[i : i + step, None] != roots)
+        full = np.flatnonzero(near.sum(1) > most)
+        if len(full):
+            more = True
+            nearest = np.argsort(np.where(near[full], d[full], np.uint16(65535)), axis=1, kind="stable")[:, :most]
+            near[full] = False
+            near[full[:, None], nearest] = True
+        x, y = np.nonzero(near)
+        a.append(nodes[i + x])
+        b.append(nodes[y])
+    a, b = np.concatenate(a), np.concatenate(b)
+    return np.minimum(a, b), np.maximum(a, b), more
+
+
+def _near_of_partition(radius: int, most: int):
+    """Rows (key, node, fp, root) come sorted by key. Out: a, b of near pairs; of a shard that has more of them its key and null."""
+
+    def batch_of(keys: np.ndarray, nodes: np.ndarray, fps: list[bytes], roots: np.ndarray) -> pa.RecordBatch:
+        prints, edge = np.frombuffer(b"".join(fps), U64).reshape(len(fps), -1), np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+        left, right, again = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        for i, j in zip(edge[:-1], edge[1:], strict=True):
+            if j - i > 1 and (roots[i:j] != roots[i]).any():
+                x, y, more = near_pairs(nodes[i:j], prints[i:j], roots[i:j], radius, most)
+                left.append(x)
+                right.append(y)
+                again += [int(keys[i])] * more
+        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
+        columns = [pa.array(np.append(pairs[0], np.array(again, np.int64))), pa.array([*pairs[1].tolist(), *[None] * len(again)], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+
+    def run(batches):
+        keys, nodes, roots, fps = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        for batch in batches:
+            keys, nodes, roots = (np.append(x, batch.column(c).to_numpy()) for x, c in ((keys, "key"), (nodes, "node"), (roots, "root")))
+            fps += batch.column("fp").to_pylist()
+            if not len(keys):
+                continue
+            last = int(np.searchsorted(keys, keys[-1]))
+            if last:
+                yield batch_of(keys[:last], nodes[:last], fps[:last], roots[:last])
+            keys, nodes, roots, fps = keys[last:], nodes[last:], roots[last:], fps[last:]
+        if len(keys):
+            yield batch_of(keys, nodes, fps, roots)
+
+    return run
+
+
+def verified_components(keyed: DataFrame, radius: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node, root as `components` gives them, of all pairs (a, b) that meet in a shard of keyed(key long, node long, fp binary),
+    lie within radius and are kept by verify.
+
+    A round takes of each node and shard the nearest pairs that are not in one component yet; pairs that verify has seen
+    are not asked again. Shards in which a node had more such pairs are searched once more with the new components, for
+    eight times as many a node, until no shard has any left: no pair is given up, and a dense group is one component
+    long before its pairs are all looked at.
+    """
+    keyed = written(keyed)
+    usual, large = _sizes(keyed)
+    shards = keyed.join(usual, "key", "left_semi")
+    if not large.isEmpty():
+        shards = written(shards.unionByName(_paired_parts(keyed, large)))
+    roots, tried, sure, most = None, None, None, FIRST_PAIRS
+    while True:
+        rooted = shards.withColumn("root", F.col("node")) if roots is None else shards.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        found = written(rooted.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_near_of_partition(radius, most), "a long, b long"))
+        pairs = found.where("b is not null").distinct()
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        links = written(verify(pairs))
+        tried, sure = (pairs, links) if tried is None else (tried.unionByName(pairs), sure.unionByName(links))
+        roots = written(components(sure))
+        again = written(found.where("b is null").select(F.col("a").alias("key")).distinct())
+        if again.isEmpty():
+            return roots
+        shards, most = shards.join(again, "key", "left_semi"), 8 * most
+
+
 def block_keys(n: int, radius: int) -> list[list[tuple[int, int]]]:
     """The (first bit, bits) blocks of each kind of key, for n fingerprints of 64 bits."""
     blocks = radius + 1
@@ -273,12 +368,15 @@ def similar_groups(rows: DataFrame, width: int = WIDTH, similarity: float = SIMI
     marked = written(fingerprints(rows, ["row", "doc_id"], width, WORDS, band_keys(bits)))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     nodes = written(marked.groupBy("node").agg(F.min_by("fp", "row").alias("fp"), F.min_by("keys", "row").alias("keys"), F.min(order).alias("least")))
-    links = links_in_shards(nodes.select(F.explode("keys").alias("key"), "node", "fp"), RADIUS, by_flips=False).distinct()
     where = nodes.select("node", F.col("least.row").alias("row"))
-    ends = written(links.join(where.toDF("a", "row_a"), "a").join(where.toDF("b", "row_b"), "b"))
-    pairs = ends.join(rows.select(F.col("row").alias("row_a"), F.col("text").alias("text_a")), "row_a").join(rows.select(F.col("row").alias("row_b"), F.col("text").alias("text_b")), "row_b")
-    sure = pairs.select("a", "b", "text_a", "text_b").mapInArrow(_jaccard(width, similarity), "a long, b long")
-    roots = components(sure)
+    text_a, text_b = (rows.select(F.col("row").alias(f"row_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        ends = written(pairs.join(where.toDF("a", "row_a"), "a").join(where.toDF("b", "row_b"), "b"))
+        both = ends.join(text_a, "row_a").join(text_b, "row_b").select("a", "b", "text_a", "text_b")
+        return both.mapInArrow(_jaccard(width, similarity), "a long, b long")
+
+    roots = verified_components(nodes.select(F.explode("keys").alias("key"), "node", "fp"), RADIUS, verify)
     best = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
     return best.select(F.col("least.row").alias("row"))
 

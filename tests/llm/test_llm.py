@@ -164,3 +164,34 @@ def test_empty_tables(spark, docs, benchmark):
     labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
     assert toxicity.classify(docs, labels).count() == len(ROWS) and labelled.sample(docs, labels, "toxic", 10).count() == 0
     assert len(toxicity.score_texts(pa.array([], pa.string()), {})) == 0
+
+
+def _star(seed: int, copies: int, edited: float) -> list[str]:
+    """A text of 200 shingles and copies of it, each edited on its own."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in rng.integers(0, 10**6, 204)]
+    out = [" ".join(base)]
+    for k in range(copies):
+        words, at = list(base), int(rng.integers(0, 204 - round(204 * edited)))
+        for i in range(at, at + round(204 * edited)):
+            words[i] = f"c{k}x{i}"
+        out.append(" ".join(words))
+    return out
+
+
+def _brute_groups(texts: list[str], similarity: float = 0.8) -> dict[int, int]:
+    sets, root = [set(simhash.shingle_hashes(t, simhash.WIDTH).tolist()) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if root[i] != root[j] and len(a & b) >= similarity * len(a | b):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    return dict(enumerate(root))
+
+
+def test_near_dedup_finds_a_stars_centre(spark):
+    texts = [t for seed in (1, 2) for t in _star(seed, 200, 0.07)]
+    order = np.random.default_rng(0).permutation(len(texts)).tolist()
+    rows = spark.createDataFrame([(i, texts[k]) for i, k in enumerate(order)], "doc_id long, text string")
+    wanted = len(set(_brute_groups(texts).values()))
+    assert wanted == 2 and simhash.dedup(rows).count() == wanted
