@@ -3,10 +3,14 @@
 A line's path in the tree has a fixed depth: its number of tokens, then its `LEADING` first tokens; tokens with a digit
 are variable from the start (`<*>`). At a leaf, a token is constant at its place if `MIN_TEXTS` distinct lines' texts have
 it there; other places are variable. A line joins the leaf's generalised template if at least `SIMILARITY` of its tokens
-are constant, else it is a template of its own. A template recurs if it stands in at least `MIN_TEXTS` distinct texts,
-and behind and before at least as many different lines: copies of one document repeat its lines in one and the same
-context, boilerplate stands in many. Lines of recurring templates are dropped; lines of fewer than `MIN_TOKENS` tokens
-are never dropped.
+are constant, else it is a template of its own. A template recurs if it stands in at least `MIN_TEXTS` distinct texts.
+Lines of recurring templates are dropped where the texts are of at least `MIN_TEXTS` groups of near copies; lines of fewer
+than `MIN_TOKENS` tokens are never dropped.
+
+A text's group is named by one of its lines: if at least half of its tokens stand in lines that don't recur, by the least
+hash of those; else, as a copy whose lines recur with it, by the least of its recurring templates. So copies, edited or
+not, share few names however many they are, and texts that share no more than boilerplate, of any number of lines and
+anywhere in the text, have names of their own. Texts that are boilerplate for the larger part are copies in this sense.
 
 Only lines of leaves with enough texts are taken apart into tokens. Counts are of distinct hashes and are combined before
 the shuffle, so one very common line is no hot key; the set of dropped lines joins back to lines by hash.
@@ -33,10 +37,9 @@ def masked(line: str):
 
 
 def recurring_lines(keys: DataFrame, lines: DataFrame, min_texts: int = MIN_TEXTS, similarity: float = SIMILARITY) -> DataFrame:
-    """line_key of the lines to drop, of keys(text_key, line_key, before_key, after_key, leaf) and lines, the same with `masked`."""
+    """line_key of the lines of recurring templates, of keys(text_key, line_key, tokens, leaf) and lines, the same with `masked`."""
     texts = keys.groupBy("leaf").agg(F.count_distinct("text_key").alias("texts"))
     full = written(texts.where(F.col("texts") >= min_texts).select("leaf"))
-    kept = keys.join(full, "leaf")
     distinct = written(lines.join(full, "leaf").groupBy("leaf", "line_key", "masked").agg(F.count_distinct("text_key").alias("texts")))
     places = distinct.select("leaf", "line_key", "texts", F.posexplode(F.split("masked", " ")).alias("place", "token"))
     constant = places.groupBy("leaf", "place", "token").agg(F.sum("texts").alias("n")).where(F.col("n") >= min_texts)
@@ -46,9 +49,16 @@ def recurring_lines(keys: DataFrame, lines: DataFrame, min_texts: int = MIN_TEXT
         F.avg(F.col("fixed").cast("double")).alias("share"),
     )
     template = general.select("line_key", F.when(F.col("share") >= similarity, F.xxhash64("leaf", "general")).otherwise(F.col("line_key")).alias("template"))
-    joined = kept.select("text_key", "line_key", "before_key", "after_key").join(template, "line_key")
-    n = [joined.groupBy("template").agg(F.count_distinct(c).alias("n")).where(F.col("n") >= min_texts).select("template") for c in ("text_key", "before_key", "after_key")]
-    return template.join(n[0].join(n[1], "template").join(n[2], "template"), "template").select("line_key").distinct()
+    often = keys.join(full, "leaf").join(template, "line_key").groupBy("template").agg(F.count_distinct("text_key").alias("n")).where(F.col("n") >= min_texts)
+    common = written(template.join(often.select("template"), "template").select("line_key", "template"))
+    own = F.col("template").isNull()
+    texts = keys.join(common, "line_key", "left").groupBy("text_key").agg(
+        F.sum("tokens").alias("tokens"), F.sum(F.when(own, F.col("tokens")).otherwise(0)).alias("own"),
+        F.min(F.when(own, F.col("line_key"))).alias("own_key"), F.min("template").alias("common_key"), F.collect_set("template").alias("templates"),
+    )
+    group = F.when(2 * F.col("own") >= F.col("tokens"), F.col("own_key")).otherwise(F.col("common_key"))
+    groups = texts.select(group.alias("group"), F.explode("templates").alias("template")).groupBy("template").agg(F.count_distinct("group").alias("n"))
+    return common.join(groups.where(F.col("n") >= min_texts), "template").select("line_key")
 
 
 def strip_templates(docs: DataFrame, min_texts: int = MIN_TEXTS, similarity: float = SIMILARITY) -> DataFrame:
@@ -56,20 +66,12 @@ def strip_templates(docs: DataFrame, min_texts: int = MIN_TEXTS, similarity: flo
     stored = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")))
     rows = stored.select("row", "doc", F.col("doc.text").alias("text"))
     tokens = F.when(F.length("masked") > 0, F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1).otherwise(0)
-    # Neighbours come from the row's own array, not from a window: no shuffle.
-    near = rows.where("text is not null").select("row", F.xxhash64("text").alias("text_key"), F.transform(F.split("text", "\n"), masked).alias("all"))
-    near = near.select("row", "text_key", F.transform("all", lambda x: F.xxhash64(x)).alias("keys"), "all")
-    triple = F.transform("all", lambda x, i: F.struct(
-        i.alias("at"), x.alias("masked"), F.element_at("keys", i + 1).alias("line_key"),
-        F.when(i > 0, F.get("keys", i - 1)).alias("before_key"), F.get("keys", i + 1).alias("after_key")))
-    lines = near.select("row", "text_key", F.explode(triple).alias("line")).select("row", "text_key", "line.*").withColumn("tokens", tokens)
-    edge = lambda c: F.coalesce(c, "text_key")  # noqa: E731  a text's edge is a neighbour of its own
-    lines = lines.withColumns({"before_key": edge("before_key"), "after_key": edge("after_key")})
-    leaf = F.xxhash64("tokens", *(F.element_at(F.split("masked", " "), k + 1) for k in range(LEADING)))
-    lines = lines.where(F.col("tokens") >= MIN_TOKENS).withColumn("leaf", leaf)
-    keys = written(lines.select("row", "at", "text_key", "line_key", "before_key", "after_key", "leaf"))  # hashes only
+    near = rows.where("text is not null").select("row", F.xxhash64("text").alias("text_key"), F.posexplode(F.transform(F.split("text", "\n"), masked)).alias("at", "masked"))
+    leaf = F.xxhash64("tokens", *(F.get(F.split("masked", " "), k) for k in range(LEADING)))
+    lines = near.withColumn("tokens", tokens).where(F.col("tokens") > 0).withColumns({"line_key": F.xxhash64("masked"), "leaf": leaf})
+    keys = written(lines.select("row", "at", "text_key", "line_key", "tokens", "leaf"))  # no text
     drop = written(recurring_lines(keys, lines, min_texts, similarity))
-    gone = keys.select("row", "at", "line_key").join(drop, "line_key").groupBy("row").agg(F.collect_set("at").alias("gone"))
+    gone = keys.where(F.col("tokens") >= MIN_TOKENS).select("row", "at", "line_key").join(drop, "line_key").groupBy("row").agg(F.collect_set("at").alias("gone"))
     all_lines = F.split("text", "\n")
     left = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
     return stored.join(gone, "row", "left").withColumn("text", F.col("doc.text")).select(

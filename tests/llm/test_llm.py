@@ -195,3 +195,14 @@ def test_near_dedup_finds_a_stars_centre(spark):
     rows = spark.createDataFrame([(i, texts[k]) for i, k in enumerate(order)], "doc_id long, text string")
     wanted = len(set(_brute_groups(texts).values()))
     assert wanted == 2 and simhash.dedup(rows).count() == wanted
+
+
+def test_line_templates_in_blocks(spark):
+    """Boilerplate of several lines, or between blank lines, goes; lines of near copies of one text stay."""
+    block = [f"This is line {k} of a footer" for k in ("one", "two", "three")]
+    rows = [(i, "\n".join([_text(400 + i, 30), *block, _text(500 + i, 30)])) for i in range(12)]
+    rows += [(100 + i, f"{_text(600 + i, 30)}\n\nread more about us here\n\n{_text(700 + i, 30)}") for i in range(12)]
+    copy = [f"line {'abcdefghijklmnopqrst'[k]} " + _text(800 + k, 12) for k in range(20)]
+    rows += [(200 + i, "\n".join([*copy[: i % 20], _text(900 + i, 13), *copy[i % 20 + 1 :]])) for i in range(60)]
+    got = {r["doc"]["doc_id"]: r["n_dropped"] for r in line_templates.strip_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 3 if i < 100 else 1 if i < 200 else 0 for i, _ in rows}
