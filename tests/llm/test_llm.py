@@ -206,3 +206,18 @@ def test_line_templates_in_blocks(spark):
     rows += [(200 + i, "\n".join([*copy[: i % 20], _text(900 + i, 13), *copy[i % 20 + 1 :]])) for i in range(60)]
     got = {r["doc"]["doc_id"]: r["n_dropped"] for r in line_templates.strip_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: 3 if i < 100 else 1 if i < 200 else 0 for i, _ in rows}
+
+
+def test_near_dedup_recall_at_any_size(spark, monkeypatch):
+    """Pairs of Jaccard 0.8; the table says that it has six million rows."""
+    texts = [t for seed in range(150) for t in _edited_pair(seed)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string").selectExpr("row", "row AS doc_id", "text")
+    monkeypatch.setattr(type(rows), "count", lambda self: 6_000_000)
+    assert 300 - len(simhash.similar_groups(rows).collect()) >= 0.94 * 150
+
+
+def _edited_pair(seed: int) -> list[str]:
+    rng = np.random.default_rng(seed)
+    words = [f"w{i}" for i in rng.integers(0, 10**9, 404)]
+    other = [*words[:150], *(f"e{i}" for i in rng.integers(0, 10**9, 40)), *words[190:]]
+    return [" ".join(words), " ".join(other)]
