@@ -2,8 +2,9 @@
 
 Base labels are places of fixed phrases. The method adds labels of licence templates: over all documents the job counts in
 how many each licence word stands; each template's `ANCHORS` words of highest inverse document frequency, with their
-positions, form the index. A file's anchor words are looked up, its `FILE_WORDS` rarest are kept, and every pair of a
-file position and a posting votes for the template at their distance. A template is found where at least `VOTES`
+positions, form the index. All of a file's anchor words are looked up, so that a file may hold any number of notices, and
+every pair of a file position and a posting of a template whose mandatory phrases the file holds votes for the template at
+their distance. A template is found where at least `VOTES`
 different words agree on one distance and the text also holds the template's mandatory phrases. score: the largest share
 of a found template's anchors that agree; at least 0.5 with any base label; else 0.
 
@@ -16,12 +17,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, documents, written
 
-ANCHORS, FILE_WORDS, VOTES = 5, 12, 2
+ANCHORS, VOTES = 5, 2
 
 # Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -94,13 +95,11 @@ def scan(docs: DataFrame, columns: list[str], templates: list[tuple[str, str, li
         order = words.split()
         anchors = sorted(set(order), key=lambda w: (-idf[w], w))[:ANCHORS]
         sizes[k] = len(anchors)
-        postings += [(w, k, i, idf[w], len(anchors)) for i, w in enumerate(order) if w in anchors]
-    index = F.broadcast(spark.createDataFrame(postings, "word string, template int, place int, idf double, anchors int"))
-    rarity = F.broadcast(spark.createDataFrame(sorted({(p[0], p[3]) for p in postings}), "word string, idf double"))
-    hits = rows.where("size(verified) > 0").select("row", F.explode("hits").alias("hit")).select("row", "hit.at", "hit.word").join(rarity, "word")
-    rarest = hits.select("row", "word", "idf").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("idf"), "word")))
-    kept = hits.select("row", "word", "at").join(rarest.where(F.col("rank") <= FILE_WORDS).select("row", "word"), ["row", "word"])
-    votes = kept.join(index.drop("idf"), "word").groupBy("row", "template", "anchors", (F.col("at") - F.col("place")).alias("shift")).agg(F.count_distinct("word").alias("votes"))
+        postings += [(w, k, i, len(anchors)) for i, w in enumerate(order) if w in anchors]
+    index = F.broadcast(spark.createDataFrame(postings, "word string, template int, place int, anchors int"))
+    hits = rows.where("size(verified) > 0").select("row", "verified", F.explode("hits").alias("hit")).select("row", "verified", "hit.at", "hit.word")
+    kept = hits.join(index, "word").where(F.array_contains("verified", F.col("template")))
+    votes = kept.groupBy("row", "template", "anchors", (F.col("at") - F.col("place")).alias("shift")).agg(F.count_distinct("word").alias("votes"))
     best = votes.where(F.col("votes") >= F.least(F.lit(VOTES), F.col("anchors"))).groupBy("row", "template").agg(F.max(F.col("votes") / F.col("anchors")).alias("share"))
     agreed = best.groupBy("row").agg(F.collect_list(F.struct("template", "share")).alias("agreed"))
     label_of = F.array(*(F.lit(label) for label, _, _ in templates))

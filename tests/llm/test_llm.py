@@ -221,3 +221,13 @@ def _edited_pair(seed: int) -> list[str]:
     words = [f"w{i}" for i in rng.integers(0, 10**9, 404)]
     other = [*words[:150], *(f"e{i}" for i in rng.integers(0, 10**9, 40)), *words[190:]]
     return [" ".join(words), " ".join(other)]
+
+
+def test_licenses_many_notices(spark):
+    """Common words of one notice aren't crowded out by the rare words of another."""
+    notices = [words for _, words, _ in licenses.TEMPLATES]
+    filler = [(k, f"the work is licensed under version 2 0 of this license as is apache gnu general public by nc sa cc {k}") for k in range(1, 40)]
+    rows = [(0, "\n\n".join(notices)), *filler, (99, None)]
+    got = {r["doc"]["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    assert got[0]["labels"] == ",".join(sorted({label for label, _, _ in licenses.TEMPLATES} | {"cc-by", "gpl"})) and got[0]["score"] == 1.0
+    assert got[99]["labels"] == ""
