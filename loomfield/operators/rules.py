@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -212,26 +213,48 @@ def sequences(events: DataFrame, key: list[str], time: str, order: str, steps: l
     """key, n_alerts: how often each key's events, in time order, go through the steps within the window.
 
     The first step opens a state; once the window since its opening (or since the last alert) has passed, any event of the
-    key that is a step resets it; an event of the awaited step advances; the last step alerts and starts anew. A fold over
-    each key's step events: the rows of a key are sorted inside an aggregate, so only keys with events of interest cost
-    anything. Keys must be narrower than a task (users, hosts); null keys have no state.
+    key that is a step resets it; an event of the awaited step advances; the last step alerts and starts anew. The step
+    events are dealt by key, sorted by key and time, and folded batch by batch: a hot key costs its task time, but of
+    its events no more than a batch is held. Null keys have no state.
     """
     mask = sum((F.when(F.coalesce(s, F.lit(False)), 1 << k).otherwise(0) for k, s in enumerate(steps)), F.lit(0))
-    own = events.withColumn("mask", mask).where(F.col("mask") > 0)
+    own = events.select(*key, F.col(time).cast("double").alias("__t"), F.col(order).alias("__o"), mask.alias("__m")).where(F.col("__m") > 0)
     for k in key:
         own = own.where(F.col(k).isNotNull())
-    seen = F.sort_array(F.collect_list(F.struct(F.col(time).cast("double").alias("t"), F.col(order).alias("o"), F.col("mask").alias("m"))))
-    start = F.struct(F.lit(False).alias("open"), F.lit(0).alias("step"), F.lit(0.0).alias("first"), F.lit(0).alias("alerts"))
-
-    def fold(state: Column, e: Column) -> Column:
-        late = state["open"] & (e["t"] - state["first"] > window_seconds)
-        step, first = F.when(late, 0).otherwise(state["step"]), F.when(late | ~state["open"], e["t"]).otherwise(state["first"])
-        fits = F.getbit(e["m"], step) == 1
-        fresh = state["open"] | fits
-        done = fits & (step == len(steps) - 1)
-        return F.struct(fresh.alias("open"), F.when(done, 0).when(fits, step + 1).otherwise(step).alias("step"), F.when(done, e["t"]).otherwise(first).alias("first"), (state["alerts"] + done.cast("int")).alias("alerts"))
-
-    return own.groupBy(*key).agg(seen.alias("seen")).select(*key, F.aggregate("seen", start, fold)["alerts"].cast("long").alias("n_alerts"))
+    kinds = own.select(*key).schema
+    rows = own.repartition(*key).sortWithinPartitions(*key, "__t", "__o", "__m").drop("__o")
+    return rows.mapInArrow(_alerts(key, len(steps), window_seconds), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), "n_alerts long"]))
+
+
+def _alerts(key: list[str], steps: int, window_seconds: float):
+    """Folds rows (key, __t, __m) that come sorted; the state of the last key is carried from batch to batch."""
+
+    def run(batches):
+        now, head, opened, step, first, alerts = None, None, False, 0, 0.0, 0
+        for batch in batches:
+            heads, found = [], []
+            columns = [batch.column(k).to_pylist() for k in key]
+            for i, (own, t, m) in enumerate(zip(zip(*columns, strict=True), batch.column("__t").to_pylist(), batch.column("__m").to_pylist(), strict=True)):
+                if own != now:
+                    if now is not None:
+                        heads.append(head)
+                        found.append(alerts)
+                    now, head, opened, step, first, alerts = own, [batch.column(k).slice(i, 1) for k in key], False, 0, 0.0, 0
+                late = opened and t is not None and first is not None and t - first > window_seconds
+                if late:
+                    step = 0
+                if late or not opened:
+                    first = t
+                if m >> step & 1:
+                    opened, step = True, step + 1
+                    if step == steps:
+                        step, first, alerts = 0, t, alerts + 1
+            if found:
+                yield pa.RecordBatch.from_arrays([*(pa.concat_arrays(c) for c in zip(*heads, strict=True)), pa.array(found, pa.int64())], names=[*key, "n_alerts"])
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([*head, pa.array([alerts], pa.int64())], names=[*key, "n_alerts"])
+
+    return run
 
 
 def best_rows(df: DataFrame, by: list[str], order: list[Column], n: int = 1) -> DataFrame:

@@ -61,3 +61,29 @@ def test_oracle(spark, name):
     import __spark_entry__ as entry
 
     assert compare(spark, entry.queries()[name], entry.oracle_sql()[name], "/root/testdata/sf0.001") == ""
+
+
+def test_sequences_hold_no_key_whole(spark):
+    """A hot user's events span many batches; nothing gathers them into one row."""
+    rows = [(None if i % 50 == 7 else 1 if i % 3 else i % 5, float(i * 7 % 400), i, "ab"[i * i % 7 % 2]) for i in range(400)]
+    df = spark.createDataFrame(rows, "user_id long, t double, id long, kind string")
+    first, last = F.col("kind") == "a", F.col("kind") == "b"
+    out = rules.sequences(df, ["user_id"], "t", "id", [first, first, last], 9.0)
+    want = {}
+    for user in {r[0] for r in rows} - {None}:
+        opened, step, start, want[user] = False, 0, 0.0, 0
+        for _, t, _, kind in sorted((r for r in rows if r[0] == user), key=lambda r: r[1:3]):
+            if opened and t - start > 9:
+                step, start = 0, t
+            if not opened:
+                start = t
+            if kind == "aab"[step]:
+                opened, step = True, step + 1
+                if step == 3:
+                    step, start, want[user] = 0, t, want[user] + 1
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert {r["user_id"]: r["n_alerts"] for r in out.collect()} == want and sum(want.values()) > 3
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "collect_list" not in out._jdf.queryExecution().toString()
