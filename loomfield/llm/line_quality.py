@@ -2,7 +2,7 @@
 
 A line's normal form is its lower-cased (A-Z) words, joined by single blanks. For every host the job counts in
 how many distinct texts each normalised line stands (exact copies of a text count once, so a document is not
-convicted by its own copies). A line in more than `max(min_texts, share * texts of the host)` texts is above its
+convicted by its own copies). A line in more than `min_texts` texts, however many the host has, is above the
 limit and is removed, save in the one text that holds it first (smallest text hash). A document is depleted, and
 rejected, when more than `max_removed` of its words stand in removed lines.
 
@@ -26,7 +26,7 @@ from .common import (
     IS_WORD, LOWER, U64, documents, hash_runs, hash_spans, mix, pieces, spans, sums, text_buffers, windows, written,
 )
 
-MIN_TEXTS, SHARE, MAX_REMOVED = 20, 0.05, 0.5
+MIN_TEXTS, MAX_REMOVED = 20, 0.5
 BROADCAST_LINES = 500_000  # 16 bytes each
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 
@@ -76,24 +76,15 @@ def _emit_lines(batches):
             x, host = _Lines(part.column("text")), _host_key(part.column("host"))
             keys = np.unique(np.stack([mix(x.line_hash ^ host[x.line_text]), x.line_text.astype(U64)]), axis=1) if x.n and len(x.line_hash) else np.zeros((2, 0), U64)
             at = keys[1].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([_signed(host[at]), _signed(keys[0]), _signed(x.text_key[at])], names=["host_key", "line", "text_key"])
+            yield pa.RecordBatch.from_arrays([_signed(keys[0]), _signed(x.text_key[at])], names=["line", "text_key"])
 
 
-def _emit_hosts(batches):
-    for batch in batches:
-        for part in pieces(batch):
-            buf, offsets = text_buffers(part.column("text"))
-            yield pa.RecordBatch.from_arrays([_signed(_host_key(part.column("host"))), _signed(hash_spans(buf, offsets[:-1], offsets[1:]))], names=["host_key", "text_key"])
-
-
-def lines_above_limit(docs: DataFrame, min_texts: int = MIN_TEXTS, share: float = SHARE) -> DataFrame:
-    """line (a hash of host and normalised line), first_text: lines of docs(text, host) above their host's limit."""
+def lines_above_limit(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
+    """line (a hash of host and normalised line), first_text: lines of docs(text, host) above the limit."""
     src = docs.select("text", F.col("host").cast("string").alias("host"))
-    lines = src.mapInArrow(_emit_lines, "host_key long, line long, text_key long")
-    counts = lines.groupBy("host_key", "line").agg(F.countDistinct("text_key").alias("texts"), F.min("text_key").alias("first_text"))
-    hosts = src.mapInArrow(_emit_hosts, "host_key long, text_key long").groupBy("host_key").agg(F.countDistinct("text_key").alias("host_texts"))
-    limit = F.greatest(F.lit(float(min_texts)), F.lit(share) * F.col("host_texts"))
-    return counts.where(F.col("texts") > min_texts).join(hosts, "host_key").where(F.col("texts") > limit).select("line", "first_text")
+    lines = src.mapInArrow(_emit_lines, "line long, text_key long")
+    counts = lines.groupBy("line").agg(F.countDistinct("text_key").alias("texts"), F.min("text_key").alias("first_text"))
+    return counts.where(F.col("texts") > min_texts).select("line", "first_text")
 
 
 _FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, removed_words long, kept_text string"
@@ -147,10 +138,10 @@ def _apply(keep: list[str], lookup, rewrite: bool):
     return run
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", min_texts: int = MIN_TEXTS, share: float = SHARE, max_removed: float = MAX_REMOVED, rewrite: bool = False, columns: list[str] | None = None) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", host: str = "source", min_texts: int = MIN_TEXTS, max_removed: float = MAX_REMOVED, rewrite: bool = False, columns: list[str] | None = None) -> DataFrame:
     """A struct `doc` of docs' columns (or those named), the features, base_failed, depleted and kept; with rewrite, kept_text and no text in `doc`."""
     spark = docs.sparkSession
-    above = written(lines_above_limit(docs.select(F.col(text).alias("text"), F.col(host).alias("host")), min_texts, share))
+    above = written(lines_above_limit(docs.select(F.col(text).alias("text"), F.col(host).alias("host")), min_texts))
     keep = ["doc"]
     own = [c for c in (docs.columns if columns is None else columns) if not (rewrite and c == text)]  # the text goes once
     src = docs.select(F.struct(*own, F.lit(0).alias("__")).alias("doc"), F.col(text).alias("__text"), F.col(host).cast("string").alias("__host"))
