@@ -301,21 +301,35 @@ def _cut(text: str, bench: Windows) -> str:
 
 def remove(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without the merged spans of benchmark windows; a document of which no word is left goes. n_chars follows."""
-    spark, out = docs.sparkSession, docs.select(F.struct(*(c for c in docs.columns if c != "text"), F.lit(0).alias("__")).alias("doc"), F.col("text"), F.lit(False).alias("changed"))
-    kind = out.schema["doc"].dataType.simpleString()
-    for block in blocks(benchmark, block_bytes):
-        bench = spark.sparkContext.broadcast(Windows([tuple(r) for r in block.collect()]))
-
-        def run(batches, bench=bench):
-            for batch in batches:
-                for part in pieces(batch, most=SHARD_BYTES):
-                    _, hits = _hits(part, bench.value)
-                    text, changed = part.column("text").to_pylist(), part.column("changed").to_pylist()
-                    for t in hits:
-                        text[t], changed[t] = _cut(text[t], bench.value), True
-                    yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(text, pa.string()), pa.array(changed)], names=["doc", "text", "changed"])
-
-        out = out.mapInArrow(run, f"doc {kind}, text string, changed boolean")
+    spark, out = docs.sparkSession, docs.select(F.struct(*(c for c in docs.columns if c != "text"), F.lit(0).alias("__")).alias("doc"), F.col("text"), F.lit(False).alias("changed"), F.lit(False).alias("again"))
+    kind, parts = out.schema["doc"].dataType.simpleString(), blocks(benchmark, block_bytes)
+
+    def sweep(rows: DataFrame) -> DataFrame:
+        for block in parts:
+            bench = spark.sparkContext.broadcast(Windows([tuple(r) for r in block.collect()]))
+
+            def run(batches, bench=bench):
+                for batch in batches:
+                    for part in pieces(batch, most=SHARD_BYTES):
+                        _, hits = _hits(part, bench.value)
+                        text, changed, again = (part.column(c).to_pylist() for c in ("text", "changed", "again"))
+                        for t in hits:
+                            text[t], changed[t], again[t] = _cut(text[t], bench.value), True, True
+                        yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(text, pa.string()), pa.array(changed, pa.bool_()), pa.array(again, pa.bool_())], names=["doc", "text", "changed", "again"])
+
+            rows = rows.mapInArrow(run, f"doc {kind}, text string, changed boolean, again boolean")
+        return rows
+
+    out, done = sweep(out), None
+    # A cut made for one block can bring words of another together: rows that a pass changed are searched in all blocks again.
+    while len(parts) > 1:
+        out = written(out)
+        rest = out.where("not again")
+        done = rest if done is None else done.unionByName(rest)
+        if out.where("again").isEmpty():
+            out = done
+            break
+        out = sweep(out.where("again").withColumn("again", F.lit(False)))
     columns = {c: F.col("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns}
     if "n_chars" in columns:
         columns["n_chars"] = F.when(F.col("changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])

@@ -238,3 +238,11 @@ def test_line_removal_in_a_hot_host(spark):
     rows = [(i, "\n".join([f"own{i} " + _text(i, 30), *(f"passage in {p} percent" for p in (1, 2, 4) if i % (100 // p) == 0)]), "h") for i in range(3000)]
     kept = line_quality.clean(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert len(kept) == 3000 and [sum(f"in {p} percent" in r["text"] for r in kept) for p in (1, 2, 4)] == [1, 1, 1]
+
+
+def test_decontamination_across_blocks(spark):
+    """An item inside another one, of another block: cutting one brings the other together."""
+    items = ["alpha beta gamma delta", "epsilon zeta eta theta", "iota kappa lambda mu", "nu xi omicron pi", "rho sigma tau upsilon"]
+    rows = [(i * 5 + j, "first {0} {1} {2} {3} last".format(*a.split()[:2], b, " ".join(a.split()[2:]))) for i, a in enumerate(items) for j, b in enumerate(items) if a != b]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert all(r["text"].split() == ["first", "last"] for r in decontaminate.remove(docs, bench, block_bytes=8).collect())
