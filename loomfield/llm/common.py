@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 import zlib
 from collections.abc import Iterator
 
@@ -32,10 +33,15 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests, local mode), below a new local one."""
+    """A new folder below spark.checkpoint.dir. Where that is unset: below a new local one in local mode, an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/loomfield-{uuid.uuid4().hex}"
@@ -47,7 +53,23 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     schema = df.schema
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _FOLDERS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more: all that was made of them has been written itself."""
+    for table in tables:
+        if (path := _FOLDERS.pop(table, None)) is not None:
+            spark = table.sparkSession
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Bounds the bytes of the Arrow batches that go to Python workers: their number of rows says nothing about long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -56,6 +78,7 @@ def ascii_lower(text: Column) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

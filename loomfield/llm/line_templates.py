@@ -12,72 +12,110 @@ hash of those; else, as a copy whose lines recur with it, by the least of its re
 not, share few names however many they are, and texts that share no more than boilerplate, of any number of lines and
 anywhere in the text, have names of their own. Texts that are boilerplate for the larger part are copies in this sense.
 
-Only lines of leaves with enough texts are taken apart into tokens. Counts are of distinct hashes and are combined before
-the shuffle, so one very common line is no hot key; the set of dropped lines joins back to lines by hash.
-
-Null text has no lines and stays null. Empty text has one line without tokens. Rows are judged one by one, so null or
-repeated doc_ids are no special case; repeated rows and copies count as one text. Extra columns are kept.
+The text is read three times and shuffled at most in the last: once for each line's hash and leaf, which need the line's
+length and its first tokens only; once for the lines of leaves with enough texts, the only ones that are masked and taken
+apart; once to leave lines out. What is dropped depends on the text alone, so texts are known by their hash, and equal
+texts are worked on once after the first pass. Counts are of distinct hashes and are combined before the shuffle, so one
+very common line or text is no hot key. Small results are broadcast up to `BROADCAST_ROWS`, larger ones are joined.
+
+Null text has no lines and stays null. Empty text has one line without tokens. Rows are judged by their text, so null or
+repeated doc_ids are no special case and tied rows fare alike; repeated rows and copies count as one text. Very long texts
+and lines are taken whole. An empty table gives an empty result. Extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import discard, documents, written
 
 MIN_TEXTS, MIN_TOKENS, LEADING, SIMILARITY = 10, 4, 2, 0.6
 VARIABLE = "<*>"
+BROADCAST_ROWS = 50_000  # of a few longs each
+
+
+def tight(line: Column) -> Column:
+    """A line's tokens joined by single blanks. ASCII white space only; most lines are in this form already."""
+    loose = F.contains(line, F.lit("  ")) | line.startswith(" ") | line.endswith(" ")
+    for c in "\t\r\x0b\x0c":
+        loose = loose | F.contains(line, F.lit(c))
+    return F.when(loose, F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))).otherwise(line)
+
+
+def masked(tokens: Column) -> Column:
+    """Tokens joined by blanks, those with a digit as variables."""
+    return F.when(tokens.rlike("[0-9]"), F.regexp_replace(tokens, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", VARIABLE)).otherwise(tokens)
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def _lines(texts: DataFrame) -> DataFrame:
+    """text_key, at, raw_key (the hash of the tokens), tokens, leaf, tight of every line with tokens of texts(text)."""
+    every = texts.where("text is not null").select(text_hash(F.col("text")).alias("text_key"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    words = every.select("text_key", "at", tight(F.col("line")).alias("tight")).where("tight != ''")
+    blanks = F.octet_length("tight") - F.octet_length(F.replace("tight", F.lit(" "), F.lit("")))
+    return words.select(
+        "text_key", "at", F.xxhash64("tight").alias("raw_key"), (blanks + 1).cast("int").alias("tokens"),
+        F.xxhash64(blanks, masked(F.substring_index("tight", " ", LEADING))).alias("leaf"), "tight",
+    )
 
 
-def masked(line: str):
-    """A line's tokens joined by blanks, those with a digit as variables. ASCII white space only."""
-    tight = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
-    return F.regexp_replace(tight, r"(?<![^ ])[^ 0-9]*[0-9][^ ]*", VARIABLE)
+def _hinted(table: DataFrame) -> DataFrame:
+    """table, to be broadcast if it is small; else the optimiser chooses."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def recurring_lines(keys: DataFrame, lines: DataFrame, min_texts: int = MIN_TEXTS, similarity: float = SIMILARITY) -> DataFrame:
-    """line_key of the lines of recurring templates, of keys(text_key, line_key, tokens, leaf) and lines, the same with `masked`."""
-    texts = keys.groupBy("leaf").agg(F.count_distinct("text_key").alias("texts"))
-    full = written(texts.where(F.col("texts") >= min_texts).select("leaf"))
-    distinct = written(lines.join(full, "leaf").groupBy("leaf", "line_key", "masked").agg(F.count_distinct("text_key").alias("texts")))
+def recurring_lines(keys: DataFrame, texts: DataFrame, min_texts: int = MIN_TEXTS, similarity: float = SIMILARITY) -> DataFrame:
+    """raw_key of the lines of recurring templates, of keys(text_key, raw_key, tokens, leaf) and the texts they are from."""
+    leaves = keys.groupBy("leaf").agg(F.count_distinct("text_key").alias("texts"))
+    full = written(leaves.where(F.col("texts") >= min_texts).select("leaf"))
+    few = _hinted(full)
+    near = written(_lines(texts).join(few, "leaf").groupBy("leaf", "raw_key").agg(F.first("tight").alias("tight")))
+    forms = written(near.withColumn("masked", masked(F.col("tight"))).select("leaf", "raw_key", F.xxhash64("masked").alias("line_key"), "masked"))
+    often = keys.join(few, "leaf").select("text_key", "raw_key").distinct().join(_hinted(forms.select("raw_key", "line_key")), "raw_key").select("text_key", "line_key").distinct()
+    often = written(often)
+    counts = often.groupBy("line_key").agg(F.count(F.lit(1)).alias("texts"))
+    distinct = written(forms.groupBy("leaf", "line_key").agg(F.first("masked").alias("masked")).join(counts, "line_key"))
     places = distinct.select("leaf", "line_key", "texts", F.posexplode(F.split("masked", " ")).alias("place", "token"))
-    constant = places.groupBy("leaf", "place", "token").agg(F.sum("texts").alias("n")).where(F.col("n") >= min_texts)
-    marked = places.join(constant, ["leaf", "place", "token"], "left").withColumn("fixed", F.col("n").isNotNull() & (F.col("token") != VARIABLE))
-    general = marked.groupBy("leaf", "line_key").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", F.when(F.col("fixed"), F.col("token")).otherwise(VARIABLE).alias("token")))), lambda x: x["token"]), " ").alias("general"),
-        F.avg(F.col("fixed").cast("double")).alias("share"),
-    )
-    template = general.select("line_key", F.when(F.col("share") >= similarity, F.xxhash64("leaf", "general")).otherwise(F.col("line_key")).alias("template"))
-    often = keys.join(full, "leaf").join(template, "line_key").groupBy("template").agg(F.count_distinct("text_key").alias("n")).where(F.col("n") >= min_texts)
-    common = written(template.join(often.select("template"), "template").select("line_key", "template"))
+    places = places.select("leaf", "line_key", "texts", F.xxhash64("place", "token").alias("spot"), F.xxhash64("place").alias("open"), (F.col("token") == VARIABLE).alias("variable"))
+    constant = written(places.where("not variable").groupBy("leaf", "spot").agg(F.sum("texts").alias("n")).where(F.col("n") >= min_texts).select("leaf", "spot", F.lit(True).alias("fixed")))
+    marked = places.join(_hinted(constant), ["leaf", "spot"], "left").withColumn("fixed", F.coalesce("fixed", F.lit(False)))
+    general = marked.groupBy("leaf", "line_key").agg(F.bit_xor(F.when(F.col("fixed"), F.col("spot")).otherwise(F.col("open"))).alias("general"), F.avg(F.col("fixed").cast("double")).alias("share"))
+    template = written(general.select("line_key", F.when(F.col("share") >= similarity, F.xxhash64("leaf", "general")).otherwise(F.col("line_key")).alias("template")))
+    recurs = often.join(_hinted(template), "line_key").groupBy("template").agg(F.count_distinct("text_key").alias("n")).where(F.col("n") >= min_texts)
+    common = written(forms.select("raw_key", "line_key").join(template, "line_key").join(recurs.select("template"), "template").select("raw_key", "template"))
+    discard(near, often, distinct, constant, template, forms, full)
     own = F.col("template").isNull()
-    texts = keys.join(common, "line_key", "left").groupBy("text_key").agg(
+    of_text = keys.join(_hinted(common), "raw_key", "left").groupBy("text_key").agg(
         F.sum("tokens").alias("tokens"), F.sum(F.when(own, F.col("tokens")).otherwise(0)).alias("own"),
-        F.min(F.when(own, F.col("line_key"))).alias("own_key"), F.min("template").alias("common_key"), F.collect_set("template").alias("templates"),
+        F.min(F.when(own, F.col("raw_key"))).alias("own_key"), F.min("template").alias("common_key"), F.collect_set("template").alias("templates"),
     )
     group = F.when(2 * F.col("own") >= F.col("tokens"), F.col("own_key")).otherwise(F.col("common_key"))
-    groups = texts.select(group.alias("group"), F.explode("templates").alias("template")).groupBy("template").agg(F.count_distinct("group").alias("n"))
-    return common.join(groups.where(F.col("n") >= min_texts), "template").select("line_key")
+    groups = of_text.select(group.alias("group"), F.explode("templates").alias("template")).groupBy("template").agg(F.count_distinct("group").alias("n"))
+    drop = written(common.join(groups.where(F.col("n") >= min_texts), "template").select("raw_key").distinct())
+    discard(common)
+    return drop
 
 
 def strip_templates(docs: DataFrame, min_texts: int = MIN_TEXTS, similarity: float = SIMILARITY) -> DataFrame:
     """A struct `doc` of docs' columns, text without recurring lines, n_lines, n_dropped."""
-    stored = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")))
-    rows = stored.select("row", "doc", F.col("doc.text").alias("text"))
-    tokens = F.when(F.length("masked") > 0, F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1).otherwise(0)
-    near = rows.where("text is not null").select("row", F.xxhash64("text").alias("text_key"), F.posexplode(F.transform(F.split("text", "\n"), masked)).alias("at", "masked"))
-    leaf = F.xxhash64("tokens", *(F.get(F.split("masked", " "), k) for k in range(LEADING)))
-    lines = near.withColumn("tokens", tokens).where(F.col("tokens") > 0).withColumns({"line_key": F.xxhash64("masked"), "leaf": leaf})
-    keys = written(lines.select("row", "at", "text_key", "line_key", "tokens", "leaf"))  # no text
-    drop = written(recurring_lines(keys, lines, min_texts, similarity))
-    gone = keys.where(F.col("tokens") >= MIN_TOKENS).select("row", "at", "line_key").join(drop, "line_key").groupBy("row").agg(F.collect_set("at").alias("gone"))
-    all_lines = F.split("text", "\n")
-    left = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    return stored.join(gone, "row", "left").withColumn("text", F.col("doc.text")).select(
+    texts = docs.select("text")
+    keys = written(_lines(texts).select("text_key", "at", "raw_key", "tokens", "leaf"))  # no text
+    drop = recurring_lines(keys, texts, min_texts, similarity)
+    gone = keys.where(F.col("tokens") >= MIN_TOKENS).join(_hinted(drop), "raw_key").groupBy("text_key").agg(F.collect_set("at").alias("gone"))
+    gone = written(gone)
+    discard(keys, drop)
+    lines, places = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
+    every = F.split("text", "\n")
+    left = F.array_join(F.filter(every, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").alias("text"), text_hash(F.col("text")).alias("text_key"))
+    return rows.join(F.broadcast(gone) if lines + places <= BROADCAST_ROWS else gone, "text_key", "left").select(
         "doc",
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(all_lines)).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(every)).cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"),
     )
 
