@@ -23,12 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import (
-    IS_WORD, LOWER, U64, documents, hash_runs, hash_spans, mix, pieces, spans, sums, text_buffers, windows, written,
+    IS_WORD, LOWER, U64, documents, hash_runs, hash_spans, mix, pieces, small_batches, spans, sums, text_buffers, windows, written,
 )
 
 MIN_TEXTS, MAX_REMOVED = 20, 0.5
 BROADCAST_LINES = 500_000  # 16 bytes each
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
+SLICE = 1 << 20  # text bytes that a task takes apart at a time
 
 # The symbols that are counted.
 SYMBOLS = "#*$%&|<>"
@@ -72,7 +73,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _emit_lines(batches):
     for batch in batches:
-        for part in pieces(batch):
+        for part in pieces(batch, most=SLICE):
             x, host = _Lines(part.column("text")), _host_key(part.column("host"))
             keys = np.unique(np.stack([mix(x.line_hash ^ host[x.line_text]), x.line_text.astype(U64)]), axis=1) if x.n and len(x.line_hash) else np.zeros((2, 0), U64)
             at = keys[1].astype(np.int64)
@@ -93,9 +94,11 @@ _FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_
 def _features(x: _Lines, removed: np.ndarray, rewrite: bool, originals: pa.Array) -> list[pa.Array]:
     """removed: of each line of x, whether it goes."""
     words = np.diff(x.first)
-    lead = np.append(0, np.cumsum((x.buf & 0xC0) != 0x80))  # code points before each byte
+    lead = np.append(np.int32(0), np.cumsum((x.buf & 0xC0) != 0x80, dtype=np.int32))  # code points before each byte
     in_words = sums(lead[x.ends] - lead[x.starts], x.first)
-    symbols = sums(_IS_SYMBOL[x.buf].astype(np.int64), x.offsets)
+    marks = np.append(np.int32(0), np.cumsum(_IS_SYMBOL[x.buf], dtype=np.int32))
+    symbols = marks[x.offsets[1:]] - marks[x.offsets[:-1]]
+    del lead, marks
     raw = hash_spans(x.buf, x.line_s, x.line_e)
     order = np.lexsort((raw, x.line_text))
     same = (raw[order][1:] == raw[order][:-1]) & (x.line_text[order][1:] == x.line_text[order][:-1]) if len(order) else np.zeros(0, bool)
@@ -130,7 +133,7 @@ def _apply(keep: list[str], lookup, rewrite: bool):
     def run(batches):
         names = [*keep, *(f.split()[0] for f in _FEATURES.split(", "))]
         for batch in batches:
-            for part in pieces(batch, "__text", 4 << 20):
+            for part in pieces(batch, "__text", SLICE):
                 x = _Lines(part.column("__text"))
                 removed = lookup(x, part)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *_features(x, removed, rewrite, part.column("__text"))], names=names)
@@ -141,6 +144,7 @@ def _apply(keep: list[str], lookup, rewrite: bool):
 def judge(docs: DataFrame, text: str = "text", host: str = "source", min_texts: int = MIN_TEXTS, max_removed: float = MAX_REMOVED, rewrite: bool = False, columns: list[str] | None = None) -> DataFrame:
     """A struct `doc` of docs' columns (or those named), the features, base_failed, depleted and kept; with rewrite, kept_text and no text in `doc`."""
     spark = docs.sparkSession
+    small_batches(spark)
     above = written(lines_above_limit(docs.select(F.col(text).alias("text"), F.col(host).alias("host")), min_texts))
     keep = ["doc"]
     own = [c for c in (docs.columns if columns is None else columns) if not (rewrite and c == text)]  # the text goes once
@@ -164,7 +168,7 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", min_texts:
 
         def emit(batches):
             for batch in batches:
-                for part in pieces(batch, "__text"):
+                for part in pieces(batch, "__text", SLICE):
                     x = _Lines(part.column("__text"))
                     key = mix(x.line_hash ^ _host_key(part.column("__host"))[x.line_text])
                     row = part.column("__row").to_numpy()[x.line_text]
