@@ -5,11 +5,14 @@ how many each licence word stands; each template's `ANCHORS` words of highest in
 positions, form the index. All of a file's anchor words are looked up, so that a file may hold any number of notices, and
 every pair of a file position and a posting of a template whose mandatory phrases the file holds votes for the template at
 their distance. A template is found where at least `VOTES`
-different words agree on one distance and the text also holds the template's mandatory phrases. score: the largest share
-of a found template's anchors that agree; at least 0.5 with any base label; else 0.
-
-Words are lower-cased (A-Z) runs without ASCII punctuation. Null text is empty. Rows are scanned one by one, so null or
-repeated doc_ids are no special case. Templates are a parameter of fixed size, so the index may be broadcast; what the
+different words, and a third of its anchors, agree on one distance and the text also holds the template's mandatory phrases. score: the largest share
+of a found template's anchors that agree; at least 0.5 with any base label; else 0. A template of one licence's whole text
+and one of its notice bear the same label; words that stand between two words of a template, such as names in a notice,
+move the rest to another distance, where those behind agree among themselves.
+
+Words are lower-cased (A-Z) runs without ASCII punctuation. Null text is empty. Very long texts are scanned whole. Rows are
+scanned one by one, so null or repeated doc_ids are no special case and tied rows fare alike; words of equal frequency are
+ranked by themselves. An empty table gives an empty result. Columns that aren't asked for are ignored, whatever their names. Templates are a parameter of fixed size, so the index may be broadcast; what the
 documents bring to the joins are only anchor words.
 """
 
@@ -21,26 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, documents, written
+from .licence_texts import TEMPLATES
 
-ANCHORS, VOTES = 5, 2
+ANCHORS, VOTES = 8, 2
 
 # Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-# Wording of licence notices (label, words, mandatory phrases).
-TEMPLATES = [
-    ("apache-2.0", "licensed under the apache license version 2 0", ["apache license"]),
-    ("mit", "released under the mit license", ["mit license"]),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted"]),
-    ("gpl-3.0", "this work is licensed under the gnu general public license version 3", ["general public license", "version 3"]),
-    ("gpl-2.0", "this work is licensed under the gnu general public license version 2", ["general public license", "version 2"]),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ["cc by nc"]),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ["cc by sa"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["redistribution and use"]),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ["public domain"]),
-]
-
-
 def words_of(text: Column) -> Column:
     """The text's words with one blank before, between and behind; one blank if there are none."""
     spaced = F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
@@ -90,17 +79,16 @@ def scan(docs: DataFrame, columns: list[str], templates: list[tuple[str, str, li
     total = rows.count()
     found = {r["word"]: r["n"] for r in rows.select(F.explode("seen").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each licence word
     idf = {w: math.log((total + 1) / (found.get(w, 0) + 1)) for w in vocabulary}
-    postings, sizes = [], {}
+    postings = []
     for k, (_, words, _) in enumerate(templates):
         order = words.split()
         anchors = sorted(set(order), key=lambda w: (-idf[w], w))[:ANCHORS]
-        sizes[k] = len(anchors)
         postings += [(w, k, i, len(anchors)) for i, w in enumerate(order) if w in anchors]
     index = F.broadcast(spark.createDataFrame(postings, "word string, template int, place int, anchors int"))
     hits = rows.where("size(verified) > 0").select("row", "verified", F.explode("hits").alias("hit")).select("row", "verified", "hit.at", "hit.word")
     kept = hits.join(index, "word").where(F.array_contains("verified", F.col("template")))
     votes = kept.groupBy("row", "template", "anchors", (F.col("at") - F.col("place")).alias("shift")).agg(F.count_distinct("word").alias("votes"))
-    best = votes.where(F.col("votes") >= F.least(F.lit(VOTES), F.col("anchors"))).groupBy("row", "template").agg(F.max(F.col("votes") / F.col("anchors")).alias("share"))
+    best = votes.where(F.col("votes") >= F.least(F.greatest(F.lit(VOTES), F.ceil(F.col("anchors") / 3)), F.col("anchors"))).groupBy("row", "template").agg(F.max(F.col("votes") / F.col("anchors")).alias("share"))
     agreed = best.groupBy("row").agg(F.collect_list(F.struct("template", "share")).alias("agreed"))
     label_of = F.array(*(F.lit(label) for label, _, _ in templates))
     out = rows.join(agreed, "row", "left").withColumn("agreed", F.filter(F.coalesce("agreed", F.array().cast("array<struct<template:int,share:double>>")), lambda x: F.array_contains("verified", x["template"])))

@@ -2,12 +2,12 @@
 
 A fingerprint has a bit set where over half of the text's word shingles have it set in their XXH64 (seed 42; further
 words of a longer fingerprint come from mixing that hash). Distinct fingerprints are dealt into shards, and every shard
-grows BK-trees: a node's children are keyed by their integer Hamming distance to it, and a search at distance d from a
-node follows only the edges d - radius .. d + radius. A shard's trees are the components found so far; a fingerprint
-searches each tree up to its first match, joins the trees it matches, and reports one link for each, so that a shard of
-n fingerprints reports at most n - 1 links and a dense group costs little more than its size. That is enough where being
-within the radius is the link itself. Where links are verified afterwards (near-duplicates by Jaccard similarity), a tree
-would hide a true partner behind a false one: there shards report pairs, in rounds (`verified_components`).
+grows one BK-tree of its fingerprints: a node's children are keyed by their integer Hamming distance to it, and a search
+at distance d from a node follows only the edges d - radius .. d + radius. Each fingerprint is searched before it is
+added; of the nodes within the radius it is linked to one of each group not linked with it yet, so that a shard of n
+fingerprints reports at most n - 1 links. That is enough where being within the radius is the link itself. Where links
+are verified afterwards (near-duplicates by Jaccard similarity), a forest would hide a true partner behind a false one,
+and a radius of a fifth of the bits prunes no edge: there shards report pairs, in rounds (`verified_components`).
 
 Which fingerprints meet in a shard:
 
@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, documents, mix, pieces, written
+from .common import U64, discard, documents, mix, pieces, small_batches, written
 from .components import components
 
 SEED = 42
@@ -50,6 +50,7 @@ WIDTH, WORDS, RADIUS, SIMILARITY = 5, 4, 51, 0.8
 BANDS, KEY_BITS, FLIPS = 8, 12, 2
 FIRST_PAIRS = 2  # of a node in a shard, in the first round
 BROADCAST_ROWS = 2_000_000  # row numbers of 8 bytes
+BROADCAST_PAIRS = 400_000  # of four longs
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -81,63 +82,55 @@ def fingerprint(text: str | None, width: int, words: int = 1) -> tuple[bytes, np
     return np.packbits(2 * counts > len(h)).tobytes(), counts, len(h)
 
 
-class _Tree:
-    """A BK-tree of (fingerprint, node) with children keyed by distance."""
+class Tree:
+    """A BK-tree with children keyed by distance. `looked` counts the distances taken."""
 
     def __init__(self):
         self.values: list[int] = []
-        self.nodes: list[int] = []
         self.children: list[dict[int, int]] = []
+        self.looked = 0
 
-    def add(self, value: int, node: int) -> None:
+    def add(self, value: int) -> None:
         at = 0
-        if self.values:
-            while True:
-                d = (self.values[at] ^ value).bit_count()
-                if d not in self.children[at]:
-                    self.children[at][d] = len(self.values)
-                    break
-                at = self.children[at][d]
+        while self.values:
+            self.looked += 1
+            d = (self.values[at] ^ value).bit_count()
+            if d not in self.children[at]:
+                self.children[at][d] = len(self.values)
+                break
+            at = self.children[at][d]
         self.values.append(value)
-        self.nodes.append(node)
         self.children.append({})
 
-    def first_within(self, value: int, radius: int) -> int | None:
-        """A node within radius, if any: edges outside distance ± radius can't lead to one."""
-        stack = [0] if self.values else []
+    def within(self, value: int, radius: int) -> list[int]:
+        """The nodes within radius, by order of their adding: edges outside distance ± radius can't lead to one."""
+        stack, out = [0] if self.values else [], []
         while stack:
             at = stack.pop()
+            self.looked += 1
             d = (self.values[at] ^ value).bit_count()
             if d <= radius:
-                return self.nodes[at]
-            for k, child in self.children[at].items():
-                if d - radius <= k <= d + radius:
-                    stack.append(child)
-        return None
+                out.append(at)
+            stack += [child for k, child in self.children[at].items() if d - radius <= k <= d + radius]
+        return out
 
 
-def links_of_shard(values: list[int], nodes: list[int], radius: int) -> list[tuple[int, int]]:
+def links_of_shard(values: list[int], nodes: list[int], radius: int, tree: Tree | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the shard's links."""
-    trees: list[_Tree] = []
-    out: list[tuple[int, int]] = []
-    for value, node in zip(values, nodes, strict=True):
-        met = []
-        for k, tree in enumerate(trees):
-            if (other := tree.first_within(value, radius)) is not None:
-                out.append((node, other))
-                met.append(k)
-        if not met:
-            trees.append(_Tree())
-            trees[-1].add(value, node)
-            continue
-        home = max(met, key=lambda k: len(trees[k].values))
-        trees[home].add(value, node)
-        for k in sorted(met, reverse=True):
-            if k != home:
-                for v, n in zip(trees[k].values, trees[k].nodes, strict=True):
-                    trees[home].add(v, n)
-        if len(met) > 1:
-            trees = [t for k, t in enumerate(trees) if k == home or k not in met]
+    tree, parent, out = tree or Tree(), list(range(len(values))), []
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for k, value in enumerate(values):
+        for other in tree.within(value, radius):
+            a, b = find(other), find(k)
+            if a != b:
+                parent[b] = a
+                out.append((nodes[k], nodes[other]))
+        tree.add(value)
     return out
 
 
@@ -271,9 +264,9 @@ def verified_components(keyed: DataFrame, radius: int, verify: Callable[[DataFra
     """
     keyed = written(keyed)
     usual, large = _sizes(keyed)
-    shards = keyed.join(usual, "key", "left_semi")
+    shards, used = keyed.join(usual, "key", "left_semi"), [keyed]
     if not large.isEmpty():
-        shards = written(shards.unionByName(_paired_parts(keyed, large)))
+        used.append(shards := written(shards.unionByName(_paired_parts(keyed, large))))
     roots, tried, sure, most = None, None, None, FIRST_PAIRS
     while True:
         rooted = shards.withColumn("root", F.col("node")) if roots is None else shards.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -282,9 +275,12 @@ def verified_components(keyed: DataFrame, radius: int, verify: Callable[[DataFra
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         links = written(verify(pairs))
         tried, sure = (pairs, links) if tried is None else (tried.unionByName(pairs), sure.unionByName(links))
-        roots = written(components(sure))
+        old, roots = roots, written(components(sure))
         again = written(found.where("b is null").select(F.col("a").alias("key")).distinct())
+        discard(found, *[old] * (old is not None))
+        used += [pairs, links, again]
         if again.isEmpty():
+            discard(*used)
             return roots
         shards, most = shards.join(again, "key", "left_semi"), 8 * most
 
@@ -373,13 +369,19 @@ def similar_groups(rows: DataFrame, width: int = WIDTH, similarity: float = SIMI
     text_a, text_b = (rows.select(F.col("row").alias(f"row_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ends = written(pairs.join(where.toDF("a", "row_a"), "a").join(where.toDF("b", "row_b"), "b"))
-        both = ends.join(text_a, "row_a").join(text_b, "row_b").select("a", "b", "text_a", "text_b")
+        ends = pairs.join(where.toDF("a", "row_a"), "a").join(where.toDF("b", "row_b"), "b")
+        left, right = ends.join(text_a, "row_a"), text_b
+        if pairs.count() <= BROADCAST_PAIRS:  # then only the texts of pairs are shuffled
+            ends = written(ends)
+            left, right = text_a.join(F.broadcast(ends), "row_a"), text_b.join(F.broadcast(ends.select("row_b").distinct()), "row_b", "left_semi")
+        both = left.join(right, "row_b").select("a", "b", "text_a", "text_b")
         return both.mapInArrow(_jaccard(width, similarity), "a long, b long")
 
     roots = verified_components(nodes.select(F.explode("keys").alias("key"), "node", "fp"), RADIUS, verify)
     best = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
-    return best.select(F.col("least.row").alias("row"))
+    keep = written(best.select(F.col("least.row").alias("row")))
+    discard(marked, nodes, roots)
+    return keep
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
@@ -388,8 +390,9 @@ def dedup(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -
     The rows to drop are fewer than those to keep. Up to `BROADCAST_ROWS` of them are broadcast, so that no text is
     shuffled for it; more of them are joined by row number. Both ways keep the same rows.
     """
+    small_batches(docs.sparkSession)
     base = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")))
-    keep = written(similar_groups(base.select("row", "doc.doc_id", "doc.text"), width, similarity))
+    keep = similar_groups(base.select("row", "doc.doc_id", "doc.text"), width, similarity)
     drop = written(base.select("row").join(keep, "row", "left_anti"))
     if drop.count() <= BROADCAST_ROWS:
         return base.join(F.broadcast(drop), "row", "left_anti").select("doc.*")
