@@ -14,7 +14,7 @@ Which fingerprints meet in a shard:
 * `shards="blocks"` (exact, small radius): the 64 bits are cut into blocks; two fingerprints that differ in at most
   `radius` bits agree in all but `radius` of them, so a shard is made for each way to choose the others. With more
   fingerprints, more and longer keys.
-* `shards="bands"` (large radius, longer fingerprints): keys of `KEY_BITS` bits from several bands, each key also with
+* `shards="bands"` (large radius, longer fingerprints; `dedup`): keys of `KEY_BITS` bits from several bands, each key also with
   the band's least certain bits flipped (the bits whose count is nearest half). The keys' length doesn't follow the
   number of rows, so recall is the same at every size (a test holds it above 0.94 at Jaccard 0.8); shards grow instead,
   and with them the comparisons a row, and large ones are cut.
@@ -45,10 +45,12 @@ from .components import components
 
 SEED = 42
 LARGEST = 4_096
-# Of the pipeline stage: five words, 256 bits, at least 0.8 of the bits equal, then Jaccard similarity 0.8 on shingles.
-WIDTH, WORDS, RADIUS, SIMILARITY = 5, 4, 51, 0.8
-BANDS, KEY_BITS, FLIPS = 8, 12, 2
-FIRST_PAIRS = 2  # of a node in a shard, in the first round
+# Of the pipeline stage: five words, 512 bits. Texts of Jaccard similarity 0.8 differ in 77 of them, with a deviation of 8:
+# up to 61 bits they are taken as similar, up to 96 their shingles are compared.
+WIDTH, WORDS, SURE, RADIUS, SIMILARITY = 5, 8, 61, 96, 0.8
+LARGEST_NEAR = 16_384
+BANDS, KEY_BITS, FLIPS = 8, 12, 2  # a band for each word of the fingerprint
+FIRST_PAIRS = 32  # of a node in a shard, in the first round
 BROADCAST_ROWS = 2_000_000  # row numbers of 8 bytes
 BROADCAST_PAIRS = 400_000  # of four longs
 
@@ -164,23 +166,23 @@ def _shards_of_partition(radius: int):
     return run
 
 
-def _sizes(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _sizes(keyed: DataFrame, largest: int) -> tuple[DataFrame, DataFrame]:
     """key, n of the usual and of the large shards of more than one node."""
     sizes = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    return sizes.where(F.col("n") <= LARGEST), sizes.where(F.col("n") > LARGEST)
+    return sizes.where(F.col("n") <= largest), sizes.where(F.col("n") > largest)
 
 
-def _paired_parts(keyed: DataFrame, large: DataFrame) -> DataFrame:
+def _paired_parts(keyed: DataFrame, large: DataFrame, largest: int) -> DataFrame:
     """Each large shard cut into parts, and a shard for each pair of parts."""
-    own = keyed.join(large, "key").withColumn("parts", F.ceil(2 * F.col("n") / LARGEST).cast("long")).withColumn("part", F.pmod(F.xxhash64("node", "key"), "parts"))
+    own = keyed.join(large, "key").withColumn("parts", F.ceil(2 * F.col("n") / largest).cast("long")).withColumn("part", F.pmod(F.xxhash64("node", "key"), "parts"))
     pair = F.struct(F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
-    return own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(F.xxhash64("key", pair).alias("key"), "node", "fp")
+    return own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(F.xxhash64("key", pair).alias("key"), "node", "fp", F.col("key").alias("own"))
 
 
 def links_in_shards(keyed: DataFrame, radius: int, by_flips: bool) -> DataFrame:
     """a, b: a spanning forest of the links inside each shard of keyed(key long, node long, fp binary)."""
     keyed = written(keyed)
-    usual, large = _sizes(keyed)
+    usual, large = _sizes(keyed, LARGEST)
     links = keyed.join(usual, "key", "left_semi")
     if not large.isEmpty():
         if by_flips:
@@ -191,98 +193,183 @@ def links_in_shards(keyed: DataFrame, radius: int, by_flips: bool) -> DataFrame:
             hubs = flips.groupBy("variant").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
             more = flips.join(hubs.select("variant", "hub"), "variant").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
         else:
-            more, links = None, links.unionByName(_paired_parts(keyed, large))
+            more, links = None, links.unionByName(_paired_parts(keyed, large, LARGEST).drop("own"))
     else:
         more = None
     found = links.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shards_of_partition(radius), "a long, b long")
     return found if more is None else found.unionByName(more)
 
 
-def near_pairs(nodes: np.ndarray, prints: np.ndarray, roots: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(a, b, more): the pairs of a shard within radius that have different roots, of each node to its `most` nearest; whether
-    any node has further ones. prints: a row of 64-bit words for each node."""
-    a, b, more, step = [], [], False, max(1, (1 << 20) // len(nodes))
+def _distances(prints: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    d = np.zeros((len(rows), len(prints)), np.uint16)
+    for k in range(prints.shape[1]):
+        d += np.bitwise_count(rows[:, k, None] ^ prints[None, :, k])
+    return d
+
+
+def sure_labels(prints: np.ndarray, sure: int) -> np.ndarray:
+    """The first node of each node's component, where nodes within `sure` bits are linked."""
+    n = len(prints)
+    labels = np.arange(n)
+    if n <= 1024:
+        near = _distances(prints, prints) <= sure
+        while True:
+            least = np.where(near, labels, n).min(1)
+            if (least == labels).all():
+                return labels
+            labels = least
+    todo = np.ones(n, bool)
+    for first in range(n):
+        if todo[first]:
+            todo[first], stack = False, [first]
+            while stack:
+                met = np.flatnonzero(todo)
+                met = met[(_distances(prints[met], prints[stack[-64:]]) <= sure).any(0)]
+                del stack[-64:]
+                todo[met], labels[met] = False, first
+                stack += met.tolist()
+    return labels
+
+
+def _home(low: np.ndarray, high: np.ndarray, low_flips: np.ndarray, high_flips: np.ndarray) -> np.ndarray:
+    """The one key, of those that two nodes share, in whose shard their pair counts; -1 if they share none. Of each node its
+    key and the bits that may be flipped, a column for each band; low is the node with the lesser number."""
+    differ = low ^ high
+    shared = (differ & ~(low_flips | high_flips)) == 0
+    band, rows = shared.argmax(1), np.arange(len(low))
+    value = low[rows, band] ^ (differ[rows, band] & ~high_flips[rows, band])
+    return np.where(shared.any(1), (band.astype(np.int64) << 48) | value, -1)
+
+
+def near_pairs(own: int, nodes: np.ndarray, prints: np.ndarray, flips: np.ndarray, groups: np.ndarray, sure: int, radius: int, ranks: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(a, b, more): the pairs of key `own` above sure and within radius bits whose groups differ, of each node those of its
+    pairs with later nodes that stand in ranks (first, end) by distance; whether any node has further ones. prints, flips: a row of words for each node."""
+    a, b, more, step = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], False, max(1, (1 << 20) // len(nodes))
+    keys = (prints >> U64(64 - KEY_BITS)).astype(np.uint16)
     for i in range(0, len(nodes), step):
-        d = np.zeros((len(nodes[i : i + step]), len(nodes)), np.uint16)
-        for k in range(prints.shape[1]):
-            d += np.bitwise_count(prints[i : i + step, k, None] ^ prints[None, :, k])
-        near = (d <= radius) & (roots[i : i + step, None] != roots)
-        full = np.flatnonzero(near.sum(1) > most)
-        if len(full):
-            more = True
-            nearest = np.argsort(np.where(near[full], d[full], np.uint16(65535)), axis=1, kind="stable")[:, :most]
-            near[full] = False
-            near[full[:, None], nearest] = True
-        x, y = np.nonzero(near)
-        a.append(nodes[i + x])
-        b.append(nodes[y])
-    a, b = np.concatenate(a), np.concatenate(b)
-    return np.minimum(a, b), np.maximum(a, b), more
-
-
-def _near_of_partition(radius: int, most: int):
-    """Rows (key, node, fp, root) come sorted by key. Out: a, b of near pairs; of a shard that has more of them its key and null."""
-
-    def batch_of(keys: np.ndarray, nodes: np.ndarray, fps: list[bytes], roots: np.ndarray) -> pa.RecordBatch:
-        prints, edge = np.frombuffer(b"".join(fps), U64).reshape(len(fps), -1), np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
-        left, right, again = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
-        for i, j in zip(edge[:-1], edge[1:], strict=True):
-            if j - i > 1 and (roots[i:j] != roots[i]).any():
-                x, y, more = near_pairs(nodes[i:j], prints[i:j], roots[i:j], radius, most)
-                left.append(x)
-                right.append(y)
-                again += [int(keys[i])] * more
-        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
-        columns = [pa.array(np.append(pairs[0], np.array(again, np.int64))), pa.array([*pairs[1].tolist(), *[None] * len(again)], pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+        d = _distances(prints, prints[i : i + step])
+        x, y = np.nonzero((d > sure) & (d <= radius) & (nodes[i : i + step, None] < nodes))
+        d = d[x, y]
+        x += i
+        here = _home(keys[x], keys[y], flips[x], flips[y]) == own
+        x, y, d = x[here], y[here], d[here]
+        order = np.lexsort((nodes[y], d, x))
+        x, y = x[order], y[order]
+        rank = np.arange(len(x)) - np.searchsorted(x, x)
+        apart = groups[x] != groups[y]
+        more |= bool((apart & (rank >= ranks[1])).any())
+        take = apart & (rank >= ranks[0]) & (rank < ranks[1])
+        a.append(nodes[x[take]])
+        b.append(nodes[y[take]])
+    return np.concatenate(a), np.concatenate(b), more
+
+
+def _near_of_partition(radius: int, sure: int, ranks: tuple[int, int]):
+    """Rows (key, own, node, fp, root) come sorted by key. Out: a, b, sure of links within `sure` bits, of which a task reports a
+    forest, and of pairs within radius between their components; of a shard that has more of those its key and nulls."""
 
     def run(batches):
-        keys, nodes, roots, fps = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        above: dict[int, int] = {}  # of the nodes that the task has linked so far
+
+        def find(x: int) -> int:
+            while (y := above.get(x, x)) != x:
+                above[x] = x = above.get(y, y)
+            return x
+
+        def batch_of(keys: np.ndarray, owns: np.ndarray, nodes: np.ndarray, fps: list[bytes], roots: np.ndarray) -> pa.RecordBatch:
+            data = np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1)
+            prints, flips = data[:, : -2 * BANDS].copy().view(">u8").astype(U64), data[:, -2 * BANDS :].copy().view("<u2")
+            edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+            left, right, again, links = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], []
+            for i, j in zip(edge[:-1], edge[1:], strict=True):
+                if j - i > 1 and (roots[i:j] != roots[i]).any():
+                    own, groups = nodes[i:j], roots[i:j].copy()
+                    labels = sure_labels(prints[i:j], sure)
+                    for x, y in zip(own.tolist(), own[labels].tolist(), strict=True):
+                        if x != y and (u := find(x)) != (v := find(y)):
+                            above[u] = v
+                            links.append((x, y))
+                    if (labels != np.arange(j - i)).any():  # a component may join several roots, and a root several components
+                        joined = {}
+
+                        def top(x):
+                            while (y := joined.get(x, x)) != x:
+                                x = y
+                            return x
+
+                        for x, y in zip(groups.tolist(), groups[labels].tolist(), strict=True):
+                            if (u := top(x)) != (v := top(y)):
+                                joined[u] = v
+                        groups = np.array([top(x) for x in groups.tolist()], np.int64)
+                    x, y, more = near_pairs(int(owns[i]), own, prints[i:j], flips[i:j], groups, sure, radius, ranks)
+                    left.append(x)
+                    right.append(y)
+                    again += [int(keys[i])] * more
+            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
+            columns = [
+                pa.array([*pairs[0].tolist(), *(x for x, _ in links), *again], pa.int64()), pa.array([*pairs[1].tolist(), *(y for _, y in links), *[None] * len(again)], pa.int64()),
+                pa.array([False] * pairs.shape[1] + [True] * len(links) + [None] * len(again), pa.bool_()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b", "sure"])
+
+        held, fps = [np.zeros(0, np.int64) for _ in range(4)], []
         for batch in batches:
-            keys, nodes, roots = (np.append(x, batch.column(c).to_numpy()) for x, c in ((keys, "key"), (nodes, "node"), (roots, "root")))
+            held = [np.append(x, batch.column(c).to_numpy()) for x, c in zip(held, ("key", "own", "node", "root"), strict=True)]
             fps += batch.column("fp").to_pylist()
-            if not len(keys):
+            if not len(fps):
                 continue
-            last = int(np.searchsorted(keys, keys[-1]))
+            last = int(np.searchsorted(held[0], held[0][-1]))
             if last:
-                yield batch_of(keys[:last], nodes[:last], fps[:last], roots[:last])
-            keys, nodes, roots, fps = keys[last:], nodes[last:], roots[last:], fps[last:]
-        if len(keys):
-            yield batch_of(keys, nodes, fps, roots)
+                keys, owns, nodes, roots = (x[:last] for x in held)
+                yield batch_of(keys, owns, nodes, fps[:last], roots)
+            held, fps = [x[last:] for x in held], fps[last:]
+        if len(fps):
+            keys, owns, nodes, roots = held
+            yield batch_of(keys, owns, nodes, fps, roots)
 
     return run
 
 
-def verified_components(keyed: DataFrame, radius: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """node, root as `components` gives them, of all pairs (a, b) that meet in a shard of keyed(key long, node long, fp binary),
-    lie within radius and are kept by verify.
+def _rooted(rows: DataFrame, roots: DataFrame, node: str = "node", root: str = "root") -> DataFrame:
+    return rows.join(roots.toDF(node, root), node, "left").withColumn(root, F.coalesce(root, node))
+
 
-    A round takes of each node and shard the nearest pairs that are not in one component yet; pairs that verify has seen
-    are not asked again. Shards in which a node had more such pairs are searched once more with the new components, for
-    eight times as many a node, until no shard has any left: no pair is given up, and a dense group is one component
-    long before its pairs are all looked at.
+def verified_components(keyed: DataFrame, radius: int, sure: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node, root as `components` gives them, of all pairs (a, b) that meet in a shard of keyed(key long, node long, fp binary)
+    and lie within `sure` bits, or within radius and are kept by verify.
+
+    A pair counts in one shard only of those where it meets. A round takes of each node and shard the nearest pairs that are
+    not in one component yet. Shards in which a node has more such pairs are searched once more with the new components,
+    for those further away and eight times as many a node, until no shard has any left: no pair is given up, and a dense
+    group is one component long before its pairs are all looked at. Shards of neighbouring keys are searched by one task,
+    so that a group that fills several is reported once by it.
     """
     keyed = written(keyed)
-    usual, large = _sizes(keyed)
-    shards, used = keyed.join(usual, "key", "left_semi"), [keyed]
+    usual, large = _sizes(keyed, LARGEST_NEAR)
+    shards, used = keyed.join(usual, "key", "left_semi").withColumn("own", F.col("key")), [keyed]
     if not large.isEmpty():
-        used.append(shards := written(shards.unionByName(_paired_parts(keyed, large))))
-    roots, tried, sure, most = None, None, None, FIRST_PAIRS
+        used.append(shards := written(shards.unionByName(_paired_parts(keyed, large, LARGEST_NEAR))))
+    near = F.when(F.col("key") == F.col("own"), F.shiftright("key", KEY_BITS - 3)).otherwise(F.col("key"))
+    roots, links, ranks = None, None, (0, FIRST_PAIRS)
     while True:
-        rooted = shards.withColumn("root", F.col("node")) if roots is None else shards.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        found = written(rooted.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_near_of_partition(radius, most), "a long, b long"))
-        pairs = found.where("b is not null").distinct()
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        links = written(verify(pairs))
-        tried, sure = (pairs, links) if tried is None else (tried.unionByName(pairs), sure.unionByName(links))
-        old, roots = roots, written(components(sure))
+        rooted = shards.withColumn("root", F.col("node")) if roots is None else _rooted(shards, roots)
+        found = written(rooted.repartition(near).sortWithinPartitions("key", "node").mapInArrow(_near_of_partition(radius, sure, ranks), "a long, b long, sure boolean"))
+        more = written(found.where("sure").select("a", "b").distinct())
+        links = more if links is None else links.unionByName(more)
+        now = written(components(links))
+        pairs = found.where("not sure").select("a", "b").distinct()
+        pairs = _rooted(_rooted(pairs, now, "a", "x"), now, "b", "y").where("x != y").select("a", "b")
+        pairs = written(pairs)
+        kept = written(verify(pairs))
+        links = links.unionByName(kept)
+        old, roots = roots, written(components(links))
         again = written(found.where("b is null").select(F.col("a").alias("key")).distinct())
-        discard(found, *[old] * (old is not None))
-        used += [pairs, links, again]
+        discard(found, now, *[old] * (old is not None))
+        used += [pairs, kept, more, again]
         if again.isEmpty():
             discard(*used)
             return roots
-        shards, most = shards.join(again, "key", "left_semi"), 8 * most
+        shards, ranks = shards.join(again, "key", "left_semi"), (ranks[1], 8 * ranks[1])
 
 
 def block_keys(n: int, radius: int) -> list[list[tuple[int, int]]]:
@@ -310,7 +397,7 @@ def _node(fp: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, id_columns: list[str], width: int = WIDTH, words: int = 1, keys: Callable | None = None) -> DataFrame:
-    """id_columns, fp binary, node long of each row of docs; with keys, also keys array<long>."""
+    """id_columns, fp binary, node long of each row of docs; with keys, also keys array<long>, and in fp what they return beside."""
     src = docs.select(*id_columns, "text")
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*id_columns).schema)
 
@@ -318,31 +405,27 @@ def fingerprints(docs: DataFrame, id_columns: list[str], width: int = WIDTH, wor
         for batch in batches:
             for part in pieces(batch, most=4 << 20):
                 rows = [fingerprint(t, width, words) for t in part.column("text").to_pylist()]
-                columns = [*(part.column(c) for c in id_columns), pa.array([r[0] for r in rows], pa.binary()), pa.array([_node(r[0]) for r in rows], pa.int64())]
+                of, fps = [keys(*r) for r in rows] if keys else [], [r[0] for r in rows]
+                columns = [*(part.column(c) for c in id_columns), pa.array([f + of[k][1] if keys else f for k, f in enumerate(fps)], pa.binary()), pa.array([_node(f) for f in fps], pa.int64())]
                 if keys:
-                    columns.append(pa.array([keys(*r) for r in rows], pa.list_(pa.int64())))
+                    columns.append(pa.array([x for x, _ in of], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, names=[*id_columns, "fp", "node", *["keys"] * bool(keys)])
 
     return src.mapInArrow(run, kinds + "fp binary, node long" + ", keys array<long>" * bool(keys))
 
 
-def band_keys(bits: int) -> Callable[[bytes, np.ndarray, int], list[int]]:
-    """Keys of `bits` bits from each of BANDS bands of a long fingerprint, also with each set of its FLIPS least certain bits flipped."""
-
-    def keys(fp: bytes, counts: np.ndarray, n: int) -> list[int]:
-        out, margin, size = [], np.abs(2 * counts - n), len(counts)
-        ones = 2 * counts > n
-        for band in range(BANDS):
-            at = (np.arange(bits) + band * size // BANDS) % size
-            value = int("".join("1" if x else "0" for x in ones[at]), 2)
-            weak = [1 << (bits - 1 - int(k)) for k in np.argsort(margin[at], kind="stable")[:FLIPS]]
-            values = [value]
-            for mask in weak:
-                values += [v ^ mask for v in values]
-            out += [(band << 48) | v for v in values]
-        return out
-
-    return keys
+def band_keys(fp: bytes, counts: np.ndarray, n: int) -> tuple[list[int], bytes]:
+    """Keys from the first `KEY_BITS` bits of each of `BANDS` bands of a long fingerprint, also with each set of their `FLIPS`
+    least certain bits flipped; and the bits of each band's key that may be flipped, two bytes a band."""
+    margin, ones = np.abs(2 * counts - n).reshape(BANDS, -1)[:, :KEY_BITS], (2 * counts > n).reshape(BANDS, -1)[:, :KEY_BITS]
+    out, flips, places = [], [], 1 << np.arange(KEY_BITS - 1, -1, -1)
+    for band in range(BANDS):
+        values, weak = [int(places[ones[band]].sum())], [int(places[k]) for k in np.argsort(margin[band], kind="stable")[:FLIPS]]
+        for mask in weak:
+            values += [v ^ mask for v in values]
+        out += [(band << 48) | v for v in values]
+        flips.append(sum(weak))
+    return out, np.array(flips, "<u2").tobytes()
 
 
 def _jaccard(width: int, similarity: float):
@@ -362,7 +445,7 @@ def _jaccard(width: int, similarity: float):
 def similar_groups(rows: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """The rows to keep of rows(row long, doc_id, text): of each group of texts linked by Jaccard similarity of their shingles
     that of the smallest doc_id (nulls last, then by row)."""
-    marked = written(fingerprints(rows, ["row", "doc_id"], width, WORDS, band_keys(KEY_BITS)))
+    marked = written(fingerprints(rows, ["row", "doc_id"], width, WORDS, band_keys))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     nodes = written(marked.groupBy("node").agg(F.min_by("fp", "row").alias("fp"), F.min_by("keys", "row").alias("keys"), F.min(order).alias("least")))
     where = nodes.select("node", F.col("least.row").alias("row"))
@@ -377,7 +460,7 @@ def similar_groups(rows: DataFrame, width: int = WIDTH, similarity: float = SIMI
         both = left.join(right, "row_b").select("a", "b", "text_a", "text_b")
         return both.mapInArrow(_jaccard(width, similarity), "a long, b long")
 
-    roots = verified_components(nodes.select(F.explode("keys").alias("key"), "node", "fp"), RADIUS, verify)
+    roots = verified_components(nodes.select(F.explode("keys").alias("key"), "node", "fp"), RADIUS, SURE, verify)
     best = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
     keep = written(best.select(F.col("least.row").alias("row")))
     discard(marked, nodes, roots)
