@@ -1,20 +1,19 @@
 """From raw lines to OCSF events: patterns by specificity, aliases with provenance, required fields, scrubbing.
 
 An event is a map of dotted path to text, with its class, activity, status and severity as numbers beside it, and
-`confidence`, a map of path to the method that set it. Everything is one projection over the lines; only the test of many
-JSON key sets (`json_key_patterns`) is a join.
+`confidence`, a map of path to the method that set it. Everything is one projection over the lines, without a shuffle; only the test of many JSON key sets (`json_key_patterns`) is a join of its own.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import coerce
-from .detect_format import detect_format
-from .preparse import preparse
+from .detect_format import bare_line, detect_format
+from .library import DEFAULT, ENTRIES, Library, extracted
+from .preparse import as_map, entry, with_fields
+from .staging import fenced, spread, tuned
 
 # OCSF class names.
 CLASSES = {0: "Base Event", 3002: "Authentication", 4001: "Network Activity", 4002: "HTTP Activity", 6003: "API Activity", 3001: "Account Change", 2004: "Detection Finding", 1007: "Process Activity"}
@@ -31,129 +30,102 @@ ALIASES = {
 }
 
 
-@dataclass(frozen=True)
-class Pattern:
-    """A rule for lines of some formats; field_map: regex group number (or pre-parsed field) to path."""
-
-    name: str
-    formats: tuple[str, ...]
-    class_uid: int
-    regex: str = ""
-    contains: str = ""
-    json_has: tuple[str, ...] = ()
-    json_match: dict[str, str] = field(default_factory=dict)
-    static: dict[str, str] = field(default_factory=dict)
-    groups: tuple[str, ...] = ()
-
-    @property
-    def specificity(self) -> int:
-        groups = len(self.groups)
-        return 3 * bool(self.json_match) + 2 * bool(self.json_has) + bool(self.contains) + (len(self.regex) > 30) + (2 if groups >= 5 else 1 if groups >= 3 else 0)
-
-    def admitted(self) -> bool:
-        """Short regexes without another test match too much."""
-        return not self.regex or len(self.regex) >= 15 or bool(self.contains or self.json_has) or "catchall" in self.name
-
-    def matches(self, raw: Column, fields: Column) -> Column:
-        out = F.lit(True)
-        if self.contains:
-            out = out & F.contains(raw, F.lit(self.contains))
-        for key in self.json_has:
-            out = out & F.map_contains_key(fields, key)
-        for key, value in self.json_match.items():
-            out = out & (F.coalesce(F.element_at(fields, key), F.lit("")) == value)
-        if self.regex and not (self.json_has or self.json_match):
-            out = out & raw.rlike(self.regex)
-        elif not (self.json_has or self.json_match):
-            out = F.lit(False)  # a bare substring never decides
-        return out
-
-
-_SSH = {"activity_id": "1", "auth_protocol": "password"}
-PATTERNS = [
-    Pattern("sshd_accepted", ("syslog_bsd",), 3002, r"sshd\[\d+\]: Accepted \w+ for (\S+) from (\S+) port (\d+)", static=_SSH | {"status": "Success", "status_id": "1", "severity_id": "1"}, groups=("user", "src_endpoint.ip", "src_endpoint.port")),
-    Pattern("sshd_failed", ("syslog_bsd",), 3002, r"sshd\[\d+\]: Failed \w+ for (?:invalid user )?(\S+) from (\S+) port (\d+)", static=_SSH | {"status": "Failure", "status_id": "2", "severity_id": "3"}, groups=("user", "src_endpoint.ip", "src_endpoint.port")),
-    Pattern("firewall_traffic", ("cef",), 4001, r"\|src=(\S+) dst=(\S+) spt=(\d+) dpt=(\d+)", static={"activity_id": "6", "severity_id": "1"}, groups=("src_endpoint.ip", "dst_endpoint.ip", "src_endpoint.port", "dst_endpoint.port")),
-    Pattern("console_login", ("json",), 3002, json_has=("eventName", "userName"), json_match={"eventName": "ConsoleLogin"}, static={"activity_id": "1", "severity_id": "1"}),
-    Pattern("api_call", ("json",), 6003, json_has=("eventName", "sourceIPAddress"), static={"activity_id": "1", "severity_id": "1"}),
-    Pattern("kv_action", ("kv",), 3002, r"user=(\S+) action=(\S+) src_ip=(\S+)", static={"activity_id": "1", "severity_id": "1"}, groups=("user", "activity_name", "src_endpoint.ip")),
-    Pattern("web_access", ("clf",), 4002, r'^(\S+) \S+ (\S+) \[[^\]]+\] "(\S+) (\S+) \S+" (\d+)', static={"activity_id": "1", "severity_id": "1"}, groups=("src_endpoint.ip", "user", "http_request.http_method", "http_request.url.path", "http_response.code")),
-]
-
-
-def pinned(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with the columns, each computed once for a row.
-
-    A one-row generator stands between the steps: the optimiser would otherwise copy a large expression into every place
-    that uses its column, and those copies into the next step's.
-    """
-    step = df.withColumn("__pin", F.explode(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
-    return step.withColumns({k: F.col(f"__pin.{k}") for k in columns}).drop("__pin")
-
-
-def _entries(pairs: list[tuple[str, Column]]) -> Column:
-    return F.array(*(F.struct(F.lit(k).alias("path"), v.cast("string").alias("value")) for k, v in pairs))
+def with_format(logs: DataFrame) -> DataFrame:
+    """logs(…, raw_log) with log_format."""
+    tuned(logs.sparkSession)
+    out = fenced(spread(logs), __bare=bare_line(F.col("raw_log")))
+    return fenced(out, log_format=detect_format(F.col("raw_log"), F.col("__bare"))).drop("__bare")
 
 
 def aliased(fields: Column, aliases: dict[str, str] = ALIASES) -> Column:
-    """(path, value) entries of the fields whose names are known, in order of field name."""
+    """(key, value) entries, by path, of the fields whose names are known; the first in order of field name comes last."""
     table = F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair))
-    known = F.filter(F.array_sort(F.map_entries(fields)), lambda e: F.map_contains_key(table, e["key"]))
-    return F.transform(known, lambda e: F.struct(F.element_at(table, e["key"]).alias("path"), e["value"].alias("value")))
-
-
-def first_wins(entries: Column) -> Column:
-    paths = F.array_distinct(F.transform(entries, lambda e: e["path"]))
-    return F.map_from_arrays(paths, F.transform(paths, lambda p: F.element_at(F.filter(entries, lambda e: e["path"] == p), 1)["value"]))
-
-
-def normalize(logs: DataFrame, patterns: list[Pattern] = PATTERNS) -> DataFrame:
-    """logs(…, raw_log) with log_format, fields, pattern, class_uid, class_name, event, confidence and hot columns."""
-    out = pinned(logs, log_format=detect_format(F.col("raw_log")))
-    out = pinned(out, fields=preparse(F.col("raw_log"), F.col("log_format")))
-    raw, fields = F.col("raw_log"), F.col("fields")
-    ranked = sorted((p for p in patterns if p.admitted()), key=lambda p: -p.specificity)  # stable: load order breaks ties
-    name, entries = None, None
-    for p in ranked:
-        hit = F.col("log_format").isin(*p.formats) & p.matches(raw, fields)
-        own = _entries([(path, F.regexp_extract(raw, p.regex, k + 1)) for k, path in enumerate(p.groups)] + [(k, F.lit(v)) for k, v in p.static.items()])
-        name = F.when(hit, p.name) if name is None else name.when(hit, p.name)
-        entries = (F.when(hit, own)) if entries is None else entries.when(hit, own)
-    none = F.array().cast("array<struct<path:string,value:string>>")
-    classes = F.create_map(*(F.lit(x) for p in ranked for x in (p.name, p.class_uid)))
+    made = F.transform(F.reverse(F.array_sort(F.map_entries(fields))), lambda e: entry(F.element_at(table, e["key"]), e["value"]))
+    return F.filter(made, lambda e: e["key"].isNotNull())
+
+
+def normalize(logs: DataFrame, library: Library | None = None, fallback: int = 3) -> DataFrame:
+    """logs(…, raw_log) with log_format, fields, pattern, class_uid, class_name, event, confidence and hot columns.
+
+    The library's best pattern decides the class. Its fields come first, then its fixed values, then fields with known names;
+    a line without a pattern is taken from names alone if at least `fallback` are known.
+    """
+    library = library or DEFAULT
+    raw, fields, none = F.col("raw_log"), F.col("fields"), F.array().cast(ENTRIES)
+    out = with_fields(with_format(logs))
+    out = fenced(out, pattern_no=library.choose(raw, F.col("log_format"), fields))
+    row = F.col("__row")
+    out = fenced(out, __row=library.row(F.col("pattern_no")))
+    out = fenced(out, pattern=row["pattern"], by_pattern=F.coalesce(extracted(raw, fields, row), none), by_alias=F.coalesce(aliased(fields), none))
+    by_alias = F.when(F.col("pattern").isNotNull() | (F.size("by_alias") >= fallback), F.col("by_alias")).otherwise(none)
+    out = fenced(out, by_alias=by_alias)
+    names = lambda entries, how: F.transform(entries, lambda e: entry(e["key"], F.lit(how)))
+    out = fenced(out, event=as_map(F.concat("by_alias", "by_pattern")), confidence=as_map(F.concat(names(F.col("by_alias"), "alias"), names(F.col("by_pattern"), "pattern"))))
     titles = F.create_map(*(F.lit(x) for pair in CLASSES.items() for x in pair))
-    out = pinned(out, pattern=name, by_pattern=F.coalesce(entries, none), by_alias=F.coalesce(aliased(fields), none))
-    out = out.withColumn("class_uid", F.coalesce(F.element_at(classes, F.col("pattern")), F.lit(0)))
-    out = out.withColumn("class_name", F.coalesce(F.element_at(titles, F.col("class_uid")), F.format_string("Unknown (%d)", "class_uid")))
-    made = F.transform(F.col("by_pattern"), lambda e: F.struct(e["path"].alias("path"), F.lit("pattern").alias("value")))
-    mapped = F.transform(F.col("by_alias"), lambda e: F.struct(e["path"].alias("path"), F.lit("alias").alias("value")))
-    out = pinned(out, merged=F.concat("by_pattern", "by_alias"), methods=F.concat(made, mapped))
-    out = pinned(out, event=first_wins(F.col("merged")), confidence=first_wins(F.col("methods"))).drop("by_pattern", "by_alias", "merged", "methods")
+    out = out.withColumn("class_uid", F.coalesce(row["class_uid"], F.lit(0)))
+    out = out.withColumn("class_name", F.coalesce(row["class_name"], F.element_at(titles, F.col("class_uid")), F.format_string("Unknown (%d)", "class_uid")))
+    out = out.drop("by_pattern", "by_alias", "pattern_no", "__row")
     return scrub(required_fields(out))
 
 
+ADDRESS = r"\b(\d{1,3}(?:\.\d{1,3}){3})\b"
+NOWHERE = ["127.0.0.1", "0.0.0.0", "255.255.255.255"]
+LOGINS = (3002, 3003, 3005)
+FAILED, PASSED = r"(?i)fail|denied|invalid|error|reject", r"(?i)success|accept|granted|logged in|session opened|logon"
+
+
+def plausible_time(v: Column) -> Column:
+    """Not a placeholder nor an address; a number after 2000; text of eight characters or more."""
+    number = v.try_cast("double")
+    return ~F.contains(v, F.lit("@")) & ~v.rlike("^[%$<{]") & F.when(number.isNotNull(), number > 946_684_800).otherwise(F.length(v) >= 8)
+
+
 def required_fields(events: DataFrame) -> DataFrame:
-    """Adds what can be told from the line: the acting user, the status of logins, a source address."""
+    """Adds what can be told from the line and its parsed fields, where the event lacks it: host, acting user, time, ports
+    beside addresses, process name and number, acting user's number, status of logins, a source address."""
     at = lambda k: F.element_at("event", k)
-    login = F.col("class_uid").isin(3002, 3003, 3005)
-    bad = F.lower("raw_log").rlike(r"fail|denied|invalid|error|reject")
-    status = F.when(login & at("status").isNull(), F.when(bad, "Failure").otherwise("Success"))
-    address = F.regexp_extract("raw_log", r"\b(\d{1,3}(?:\.\d{1,3}){3})\b", 1)
-    source = F.when(login & at("src_endpoint.ip").isNull() & (address != "") & ~address.isin("127.0.0.1", "0.0.0.0", "255.255.255.255"), address)
-    extra = [("actor.user.name", F.when(at("actor.user.name").isNull() & (F.coalesce(at("user"), F.lit("")) != ""), at("user"))), ("status", status), ("src_endpoint.ip", source)]
-    added = F.map_from_entries(F.filter(_entries(extra), lambda e: e["value"].isNotNull()))
-    out = pinned(events, added=added)
-    return pinned(out, event=F.map_concat("event", "added"), confidence=F.map_concat("confidence", F.transform_values("added", lambda k, v: F.lit("enrichment")))).drop("added")
+    part = lambda k: F.element_at("fields", k)
+    raw, login = F.col("raw_log"), F.col("class_uid").isin(*LOGINS)
+    found = lambda v: F.nullif(v, F.lit(""))
+    host = F.coalesce(part("hostname"), part("host"))
+    user = at("user")
+    name = F.coalesce(part("_app"), found(F.regexp_extract(raw, r"\b([A-Za-z][\w.-]*)\[\d+\]", 1)))
+    pid = F.coalesce(part("_pid"), found(F.regexp_extract(raw, r"\b[A-Za-z][\w.-]*\[(\d+)\]", 1)))
+    near = F.substring(raw, 1, 500)
+    uid = F.when(F.contains(near, F.lit("uid=")), found(F.regexp_extract(near, r"\buid=(\d+)", 1)))
+    address = F.when(login & at("src_endpoint.ip").isNull(), found(F.regexp_extract(raw, ADDRESS, 1)))
+    status = F.when(raw.rlike(FAILED), "Failure").when(raw.rlike(PASSED) | (F.col("class_uid") == 3002), "Success")
+
+    def port(side: str) -> Column:
+        ip = at(f"{side}_endpoint.ip")
+        behind = F.substring_index(F.substring(raw, F.instr(raw, ip) + F.length(ip), F.lit(8)), "\n", 1)
+        number = F.regexp_extract(behind, r"^[:\s]+(\d{1,5})\b", 1).try_cast("int")
+        return F.when(F.contains(raw, ip) & number.between(1, 65535), number.cast("string"))
+
+    lacks = lambda k, v: (k, F.when(at(k).isNull(), v))
+    extra = [
+        lacks("device.hostname", F.when(~host.isin("", "-", "localhost"), host)), lacks("actor.user.name", found(user)), lacks("time", F.when(plausible_time(part("timestamp")), part("timestamp"))),
+        lacks("src_endpoint.port", port("src")), lacks("dst_endpoint.port", port("dst")),
+        lacks("process.name", F.when(at("process.pid").isNotNull(), name)), lacks("process.pid", F.when(at("process.name").isNotNull(), pid)),
+        lacks("actor.user.uid", F.when(user.isNotNull(), uid)), lacks("status", F.when(login, status)), lacks("status_id", F.when(login & at("status").isNull(), F.when(status == "Success", "1").when(status == "Failure", "2"))),
+        lacks("src_endpoint.ip", F.when(~address.isin(*NOWHERE), address)),
+    ]
+    entries = F.array(*(entry(F.lit(k), v) for k, v in extra))
+    out = fenced(events, added=as_map(F.filter(entries, lambda e: e["value"].isNotNull())))
+    fine = F.map_filter(F.map_concat("event", "added"), lambda k, v: (k != "time") | plausible_time(v))
+    return fenced(out, event=fine, confidence=F.map_concat("confidence", F.transform_values("added", lambda k, v: F.lit("enrichment")))).drop("added")
 
 
 def scrub(events: DataFrame) -> DataFrame:
-    """Drops addresses, ports and process numbers that can't be any."""
+    """Drops addresses, ports, process and thread numbers that can't be any; hexadecimal ones become decimal."""
+    numbered = lambda k: k.endswith(".pid") | k.endswith(".tid")
+    typed = lambda k, v: F.when(numbered(k) & v.rlike("^0x[0-9a-fA-F]+$"), F.conv(F.substring(v, 3, 16), 16, 10)).otherwise(v)
     good = lambda k, v: (
-        F.when(k.endswith(".ip"), coerce.ip(v).isNotNull()).when(k.endswith(".port"), coerce.port(v).isNotNull()).when(k.endswith(".pid"), v.rlike(r"^(?:0x[0-9a-fA-F]+|\d+)$")).otherwise(v.isNotNull())
+        F.when(k.endswith(".ip"), coerce.ip(v).isNotNull()).when(k.endswith(".port"), coerce.port(v).isNotNull()).when(numbered(k), v.rlike(r"^(?:0x[0-9a-fA-F]{1,16}|\d+)$")).otherwise(v.isNotNull())
     )
-    out = pinned(events, event=F.map_filter("event", good))
+    out = fenced(events, event=F.transform_values(F.map_filter("event", good), typed))
     number = lambda k: F.element_at("event", k).try_cast("int")
-    return out.withColumns({"activity_id": F.coalesce(number("activity_id"), F.lit(0)), "severity_id": F.coalesce(number("severity_id"), F.lit(1)), "status_id": number("status_id"), "category_uid": F.floor(F.col("class_uid") / 1000).cast("int")})
+    return fenced(out, activity_id=F.coalesce(number("activity_id"), F.lit(0)), severity_id=F.coalesce(number("severity_id"), F.lit(1)), status_id=number("status_id"), category_uid=F.floor(F.col("class_uid") / 1000).cast("int"))
 
 
 def json_key_patterns(logs: DataFrame, keys: DataFrame) -> DataFrame:

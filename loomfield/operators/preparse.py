@@ -1,55 +1,119 @@
-"""Fields of a log line by its format, as a map; formats without a parser give null."""
+"""Fields of a log line by its format, as a map; formats without a parser give null.
+
+Every layout is matched once: the line is rewritten to its groups with a separator between, and split. Names that begin with
+an underscore are header parts; `timestamp` and `hostname` are set where the format has them, by header or by a field.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Line layouts of the formats, with the names of their groups.
-BSD = (r"^(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+([\w.\-/]+?)(?:\[(\d+)\])?:\s+(.+)$", ["timestamp", "hostname", "_app", "_pid", "message"])
-RFC5424 = (r"^<(\d{1,3})>(\d)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(-|\[.*?\])\s*(.*)$", ["_pri", "_version", "timestamp", "hostname", "_app", "_pid", "_msgid", "_sd", "message"])
-RFC3164 = (r"^<(\d{1,3})>(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+([\w.\-/]+?)(?:\[\d+\])?:\s*(.*)$", ["_pri", "timestamp", "hostname", "_app", "message"])
-CEF = (r"CEF:(\d+)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|(.*)$", ["_version", "_vendor", "_product", "_dev_version", "_sig_id", "_name", "_severity", "message"])
-LEEF = (r"^LEEF:([\d.]+)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|(.*)$", ["_version", "_vendor", "_product", "_dev_version", "_event_id", "message"])
-CLF = (r'^(\S+)\s+(\S+)\s+(\S+)\s+\[([^\]]+)\]\s+"(\S+)\s+(\S+)\s+(\S+)"\s+(\d+)\s+(\S+)', ["src_ip", "ident", "user", "timestamp", "method", "url", "protocol", "status", "size"])
+from .staging import fenced
+
+SEP = "\u0001"
+# Parts of the layouts below, after the formats' public descriptions (RFC 3164, RFC 5424, CEF, LEEF 1.0, common log format).
+_STAMP = r"([A-Z][a-z]{2} +\d{1,2} \d{2}:\d{2}:\d{2})"
+_TAG = r"([^\s:\[\]]+?)"
+_ELEMENT = r'\[(?:[^\]"\\]|\\.|"(?:[^"\\]|\\.)*")*\]'
+LAYOUTS: dict[str, tuple[str, list[str]]] = {
+    "syslog_bsd": (rf"^{_STAMP}\s+(\S+)\s+{_TAG}(?:\[(\d+)\])?:\s+(.+)$", ["timestamp", "hostname", "_app", "_pid", "message"]),
+    "syslog_rfc3164": (rf"^<(\d{{1,3}})>{_STAMP}\s+(\S+)\s+{_TAG}(?:\[\d+\])?:\s*(.*)$", ["_pri", "timestamp", "hostname", "_app", "message"]),
+    "syslog_rfc5424": (rf"^<(\d{{1,3}})>(\d{{1,2}}) (\S+) (\S+) (\S+) (\S+) (\S+) (-|(?:{_ELEMENT})+) ?(.*)$", ["_pri", "_version", "timestamp", "hostname", "_app", "_pid", "_msgid", "_sd", "message"]),
+    "cef": (rf"^(?:.*?{_STAMP}\s+(\S+)\s.*?|.*?)CEF:(\d+)" + r"\|((?:[^|\\]|\\.)*)" * 6 + r"\|(.*)$", ["timestamp", "hostname", "_version", "_vendor", "_product", "_dev_version", "_sig_id", "_name", "_severity", "_ext"]),
+    "leef": (r"^LEEF:([\d.]+)" + r"\|([^|]*)" * 4 + r"\|(.*)$", ["_version", "_vendor", "_product", "_dev_version", "_event_id", "_ext"]),
+    "clf": (r'^(\S+)\s+(\S+)\s+(\S+)\s+\[([^\]]+)\]\s+"(\S+)\s+(\S+)\s+(\S+)"\s+(\d+)\s+(\S+).*$', ["src_ip", "ident", "user", "timestamp", "method", "url", "protocol", "status", "size"]),
+}
 PAIR = r'(\w+)=(?:"([^"]*)"|([^\s,;"]*))'
+ADDRESS = r"\b(\d{1,3}(?:\.\d{1,3}){3})\b"
+# Keys of a JSON record's time, the first that is there; and of its host.
+TIMES, HOSTS = ["timestamp", "time", "ts", "@timestamp", "TimeCreated", "EventTime", "date"], ["Computer", "hostname", "host"]
+FLAT = 5  # a nested object of at most this many keys is flattened
+DEPTH = 3
+
+
+def entry(key: Column, value: Column) -> Column:
+    return F.struct(key.alias("key"), value.alias("value"))
 
 
-def last_wins(entries: Column) -> Column:
-    """A map of an array of (key, value) entries in which a later entry replaces an earlier one of its key."""
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]))
+def as_map(entries: Column) -> Column:
+    """A map of entries of which a later one replaces an earlier one of its key."""
+    return F.map_from_entries(entries)
 
 
 def pairs(text: Column) -> Column:
     """Entries of all key=value pairs, bare or in double quotes."""
-    keys, quoted, bare = (F.regexp_extract_all(text, F.lit(PAIR), F.lit(k)) for k in (1, 2, 3))
-    values = F.zip_with(quoted, bare, lambda q, b: F.when(q != "", q).otherwise(F.btrim(b, F.lit("'\""))))
-    return F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+    return F.transform(F.regexp_extract_all(text, F.lit(PAIR), F.lit(0)), lambda p: _pair(p, F.lit("'\"")))
+
+
+def _pair(p: Column, strip: Column) -> Column:
+    at = F.instr(p, "=")
+    return entry(F.substring(p, F.lit(1), at - 1), F.btrim(F.substring(p, at + 1, F.length(p)), strip))
+
+
+def spaced_pairs(text: Column) -> Column:
+    """Entries of key=value pairs whose values may hold blanks: a value ends where the next key begins, or at a tab."""
+    parts = F.split(F.btrim(text), r"\t+|\s+(?=\w+=)")
+    kept = F.filter(parts, lambda p: p.rlike(r"^\w+="))
+    return F.transform(kept, lambda p: entry(_pair(p, F.lit(" "))["key"], F.regexp_replace(_pair(p, F.lit(" "))["value"], r"\\([=|\\])", "$1")))
 
 
-def _groups(raw: Column, layout: tuple[str, list[str]]) -> Column:
+def groups(raw: Column, layout: tuple[str, list[str]]) -> Column:
     """Entries of the layout's groups that are there and are not a dash."""
     pattern, names = layout
-    entries = F.array(*(F.struct(F.lit(n).alias("key"), F.regexp_extract(raw, pattern, k + 1).alias("value")) for k, n in enumerate(names)))
-    return F.filter(entries, lambda e: ~e["value"].isin("", "-"))
+    parts = F.split(F.regexp_replace(raw, "(?s)" + pattern, SEP.join(f"${k + 1}" for k in range(len(names)))), SEP)
+    made = F.zip_with(F.array(*map(F.lit, names)), parts, entry)
+    return F.filter(made, lambda e: ~e["value"].isin("", "-"))
 
 
-def _with_pairs(raw: Column, layout: tuple[str, list[str]]) -> Column:
-    message = F.regexp_extract(raw, layout[0], len(layout[1]))
-    return F.when(raw.rlike(layout[0]), last_wins(F.concat(_groups(raw, layout), pairs(message))))
+def _addresses(text: Column) -> Column:
+    """An entry `_ips` of the addresses in a message that names no source."""
+    found = F.regexp_extract_all(text, F.lit(ADDRESS), F.lit(1))
+    return F.when((F.size(found) > 0) & ~text.rlike(r"\b(?:src_ip|SRC)="), F.array(entry(F.lit("_ips"), F.array_join(found, ","))))
+
+
+def _with_message(raw: Column, fmt: str) -> Column:
+    own, none = groups(raw, LAYOUTS[fmt]), F.array().cast("array<struct<key:string,value:string>>")
+    message = F.regexp_replace(raw, "(?s)" + LAYOUTS[fmt][0], f"${len(LAYOUTS[fmt][1])}")
+    return F.when(raw.rlike("(?s)" + LAYOUTS[fmt][0]), as_map(F.concat(own, F.coalesce(_addresses(message), none), F.when(F.contains(message, F.lit("=")), pairs(message)).otherwise(none))))
+
+
+def _with_extension(raw: Column, fmt: str) -> Column:
+    extension = F.regexp_replace(raw, "(?s)" + LAYOUTS[fmt][0], f"${len(LAYOUTS[fmt][1])}")
+    return F.when(raw.rlike("(?s)" + LAYOUTS[fmt][0]), as_map(F.concat(groups(raw, LAYOUTS[fmt]), spaced_pairs(extension))))
+
+
+def _flat(fields: Column) -> Column:
+    """fields with nested objects of at most `FLAT` keys as dotted ones, one level; larger ones stay as text."""
+    nested = lambda e: F.from_json(e["value"], "map<string,string>")
+    inner = lambda e: F.when(e["value"].startswith("{"), F.transform(F.map_entries(nested(e)), lambda x: entry(F.concat(e["key"], F.lit("."), x["key"]), x["value"])))
+    opened = F.transform(F.map_entries(fields), lambda e: F.struct(e.alias("own"), inner(e).alias("inner")))
+    return as_map(F.flatten(F.transform(opened, lambda o: F.when(F.size(o["inner"]).between(1, FLAT), o["inner"]).otherwise(F.array(o["own"])))))
 
 
 def preparse(raw: Column, fmt: Column) -> Column:
-    json = F.from_json(raw, "map<string,string>")
-    kv = pairs(raw)
+    """The fields as the line has them; `with_fields` also opens nested ones and names time and host."""
     return (
-        F.when(fmt == "syslog_bsd", _with_pairs(raw, BSD))
-        .when(fmt == "syslog_rfc5424", _with_pairs(raw, RFC5424))
-        .when(fmt == "syslog_rfc3164", _with_pairs(raw, RFC3164))
-        .when(fmt == "cef", _with_pairs(raw, CEF))
-        .when(fmt == "leef", _with_pairs(raw, LEEF))
-        .when(fmt.isin("json", "evtx_json"), json)
-        .when((fmt == "kv") & (F.size(kv) >= 2), last_wins(kv))
-        .when((fmt == "clf") & raw.rlike(CLF[0]), F.map_from_entries(_groups(raw, CLF)))
+        F.when(fmt == "syslog_bsd", _with_message(raw, "syslog_bsd"))
+        .when(fmt == "syslog_rfc5424", _with_message(raw, "syslog_rfc5424"))
+        .when(fmt == "syslog_rfc3164", _with_message(raw, "syslog_rfc3164"))
+        .when(fmt == "cef", _with_extension(raw, "cef"))
+        .when(fmt == "leef", _with_extension(raw, "leef"))
+        .when(fmt.isin("json", "evtx_json"), F.from_json(F.btrim(raw), "map<string,string>"))
+        .when((fmt == "kv") & (F.regexp_count(raw, F.lit(PAIR)) >= 2), as_map(pairs(raw)))
+        .when((fmt == "clf") & raw.rlike(LAYOUTS["clf"][0]), as_map(groups(raw, LAYOUTS["clf"])))
     )
+
+
+def with_fields(lines: DataFrame) -> DataFrame:
+    """lines(…, raw_log, log_format) with fields."""
+    raw, fmt, fields = F.col("raw_log"), F.col("log_format"), F.col("fields")
+    out, json = fenced(lines, fields=preparse(raw, fmt)), fmt.isin("json", "evtx_json")
+    for _ in range(DEPTH):
+        out = fenced(out, fields=F.when(json & raw.rlike(r":\s*\{"), _flat(fields)).otherwise(fields))
+    at = lambda names: F.coalesce(*(F.element_at(fields, k) for k in names))
+    time = F.when(json, at(TIMES)).when(fmt == "cef", at(["rt", "end"])).when(fmt == "leef", at(["devTime"]))
+    host = F.when(json, at(HOSTS)).when(fmt == "cef", at(["dvchost"]))
+    extra = F.array(entry(F.lit("timestamp"), time), entry(F.lit("hostname"), host))
+    out = fenced(out, __extra=F.filter(extra, lambda e: e["value"].isNotNull()))
+    return fenced(out, fields=F.when((F.size("__extra") > 0) & fields.isNotNull(), F.map_concat(as_map("__extra"), fields)).otherwise(fields)).drop("__extra")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .normalize import pinned
+from .staging import fenced
 
 # Filter packs, rules in order.
 PACKS = {
@@ -129,7 +129,7 @@ def relevance(events: DataFrame, source: Column | None = None) -> DataFrame:
         F.when((F.col("class_uid") == c) & (F.col("activity_id").isin(acts) if acts else F.lit(True)) & F.forall(F.array(*(present(event, p) for p in need)), lambda x: x), t) for t, c, acts, need in TECHNIQUES
     )))
     known = F.lower(F.replace(source if source is not None else F.lit("application"), F.lit(" "), F.lit("_")))
-    out = pinned(events, **{
+    out = fenced(events, **{
         "subtype": F.coalesce(F.element_at(number(pairs), F.col("class_uid") * 1000 + F.col("activity_id")), F.lit(0.5)),
         "richness": F.least(rich / F.coalesce(F.element_at(number(RICH_MAX), F.col("class_uid")), F.lit(10)), F.lit(1.0)),
         "techniques": found, "reputation": F.coalesce(F.element_at(number(REPUTATION), known), F.lit(0.5)),

@@ -15,8 +15,9 @@ from ..functions import coerce
 from ..operators import rules
 from ..operators.detect_format import detect_format
 from ..operators.learn import fingerprints, learned_fields, mask_templates
-from ..operators.normalize import json_key_patterns, normalize, pinned
-from ..operators.preparse import preparse
+from ..operators.normalize import json_key_patterns, normalize, with_format
+from ..operators.staging import fenced
+from ..operators.preparse import with_fields
 from ..sources.logs import FIELDS, LINE, render_logs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,11 +41,11 @@ def query(name: str, sql: str):
 
 
 def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pinned(render_logs(spark, sf_dir), log_format=detect_format(F.col("raw_log")))
+    return with_format(render_logs(spark, sf_dir))
 
 
 def parsed(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
-    return detected(spark, sf_dir).where(F.col("log_format") == fmt).transform(lambda d: pinned(d, fields=preparse(F.col("raw_log"), F.lit(fmt))))
+    return detected(spark, sf_dir).where(F.col("log_format") == fmt).transform(with_fields)
 
 
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +200,7 @@ def validate_required(spark, sf_dir):
     return rules.validate(normalized(spark, sf_dir)).groupBy("class_uid").agg(N(), F.count_if("valid").alias("n_valid"))
 
 
-@query("validate_coverage", f"WITH {EV} SELECT {KIND} AS log_format, {CLASS}::INT AS class_uid, round(max(CASE event_id % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 WHEN 2 THEN CASE WHEN operation = 'ConsoleLogin' THEN 0.75 ELSE 1.0 END WHEN 3 THEN 0.75 ELSE 1.0 END), 6)::DOUBLE AS coverage FROM ev GROUP BY ALL")
+@query("validate_coverage", f"WITH {EV} SELECT {KIND} AS log_format, {CLASS}::INT AS class_uid, round(max(CASE event_id % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 WHEN 2 THEN CASE WHEN operation = 'ConsoleLogin' THEN 0.875 ELSE 1.0 END WHEN 3 THEN 0.75 ELSE 1.0 END), 6)::DOUBLE AS coverage FROM ev GROUP BY ALL")
 def validate_coverage(spark, sf_dir):
     return rules.validate(normalized(spark, sf_dir)).groupBy("log_format", "class_uid").agg(F.round(F.max("coverage"), 6).alias("coverage"))
 
@@ -221,8 +222,8 @@ def relevance_components(spark, sf_dir):
 @query("route_tiers", f"WITH {EV}, t AS (SELECT CASE WHEN event_id % 5 IN (1, 4) THEN 'operational' WHEN event_id % 5 = 2 AND operation <> 'ConsoleLogin' THEN 'operational' ELSE 'security' END AS tier FROM ev) SELECT x.tier, count(t.tier) AS n FROM (VALUES ('security'), ('operational'), ('compliance'), ('noise')) x(tier) LEFT JOIN t ON t.tier = x.tier GROUP BY ALL")
 def route_tiers(spark, sf_dir):
     routed = rules.relevance(normalized(spark, sf_dir)).select(rules.tier(F.col("score"), F.col("class_uid")).alias("tier"))
-    all_tiers = spark.createDataFrame([(t,) for t in ("security", "operational", "compliance", "noise")], "tier string")
-    return all_tiers.join(routed.groupBy("tier").agg(N()), "tier", "left").select("tier", F.coalesce("n", F.lit(0)).alias("n"))
+    all_tiers = spark.createDataFrame([(t, 0) for t in ("security", "operational", "compliance", "noise")], "tier string, n long")
+    return routed.groupBy("tier").agg(N()).unionByName(all_tiers).groupBy("tier").agg(F.sum("n").alias("n"))
 
 
 @query("source_reputation", f"SELECT {KIND} AS log_format, CASE event_id % 5 WHEN 0 THEN 0.75 WHEN 1 THEN 0.8 WHEN 4 THEN 0.5 ELSE 0.4 END::DOUBLE AS reputation, count(*) AS n FROM events GROUP BY ALL")
