@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import coerce
-from ..operators import rules
+from ..operators import rules, triage
 from ..operators.detect_format import detect_format
 from ..operators.learn import fingerprints, learned_fields, mask_templates
 from ..operators.normalize import json_key_patterns, normalize, with_format
@@ -405,3 +405,41 @@ def train_test_split(spark, sf_dir):
 @query("class_summary", f"WITH {EV} SELECT {CLASS}::INT AS class_uid, CASE {CLASS} WHEN 3002 THEN 'Authentication' WHEN 4001 THEN 'Network Activity' WHEN 4002 THEN 'HTTP Activity' ELSE 'API Activity' END AS class_name, count(*) AS n FROM ev GROUP BY ALL ORDER BY n DESC, class_uid LIMIT 15")
 def class_summary(spark, sf_dir):
     return normalized(spark, sf_dir).groupBy("class_uid", "class_name").agg(N()).orderBy(F.desc("n"), "class_uid").limit(15)
+
+
+@query("field_fuzzy_map", """WITH f AS (SELECT event_id, unnest([{'name': 'ClientAddr', 'value': concat('10.0.0.', event_id % 250)}, {'name': 'target_host_ip', 'value': CASE WHEN event_id % 3 = 0 THEN 'web' ELSE concat('10.1.0.', event_id % 250) END},
+ {'name': 'http_method', 'value': CASE WHEN event_id % 4 = 0 THEN 'get' ELSE 'fetch' END}, {'name': 'Operation', 'value': event_type}, {'name': 'contact_email', 'value': CASE WHEN event_id % 2 = 0 THEN 'a@b.c' ELSE 'none' END}, {'name': 'colour', 'value': 'red'}]) AS x FROM events)
+ SELECT x.name AS name, CASE x.name WHEN 'ClientAddr' THEN 'src_endpoint.ip' WHEN 'target_host_ip' THEN CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'dst_endpoint.ip' END WHEN 'http_method' THEN CASE WHEN event_id % 4 = 0 THEN 'http_request.http_method' END
+ WHEN 'Operation' THEN 'activity_name' WHEN 'contact_email' THEN CASE WHEN event_id % 2 = 0 THEN 'user' END END AS path, count(*) AS n FROM f GROUP BY ALL""")
+def field_fuzzy_map(spark, sf_dir):
+    e = F.col("event_id")
+    made = [
+        ("ClientAddr", F.concat(F.lit("10.0.0."), e % 250)), ("target_host_ip", F.when(e % 3 == 0, "web").otherwise(F.concat(F.lit("10.1.0."), e % 250))), ("http_method", F.when(e % 4 == 0, "get").otherwise("fetch")),
+        ("Operation", F.col("event_type")), ("contact_email", F.when(e % 2 == 0, "a@b.c").otherwise("none")), ("colour", F.lit("red")),
+    ]
+    rows = events(spark, sf_dir).select(F.explode(F.array(*(F.struct(F.lit(k).alias("name"), v.alias("value")) for k, v in made))).alias("x"))
+    return rows.groupBy(F.col("x.name").alias("name"), triage.fuzzy_path(F.col("x.name"), F.col("x.value")).alias("path")).agg(N())
+
+
+@query("reclassify_candidates", """WITH e AS (SELECT event_id, event_id % 3 AS k, (event_id % 10) / 10.0 AS score FROM events) SELECT CASE WHEN score >= 0.3 OR k = 2 THEN NULL WHEN k = 0 THEN 4001 ELSE 1007 END::INT AS new_class,
+ CASE WHEN score >= 0.3 OR k = 2 THEN NULL WHEN k = 0 THEN round(5 / 7.0, 6) ELSE round(6 / 7.0, 6) END::DOUBLE AS confidence, count(*) AS n FROM e GROUP BY ALL""")
+def reclassify_candidates(spark, sf_dir):
+    kinds = [triage.SIGNATURES[4001][:5], triage.SIGNATURES[1007][:6], triage.SIGNATURES[4003][:4]]
+    of = lambda paths: F.create_map(*(x for p in paths for x in (F.lit(p), F.concat(F.lit("v"), F.col("event_id").cast("string")))))
+    k = F.col("event_id") % 3
+    rows = events(spark, sf_dir).select(F.when(k == 0, of(kinds[0])).when(k == 1, of(kinds[1])).otherwise(of(kinds[2])).alias("event"), F.lit(0).alias("class_uid"), ((F.col("event_id") % 10) / 10.0).alias("score"))
+    return triage.reclassify(rows).groupBy("new_class", F.round("new_confidence", 6).alias("confidence")).agg(N())
+
+
+@query("route_reason", """WITH e AS (SELECT (event_id % 101) / 100.0 AS score, CASE event_id % 2 WHEN 0 THEN 3002 ELSE 4002 END AS c FROM events), t AS (SELECT score, CASE WHEN score >= 0.7 OR c = 3002 AND score >= 0.6 THEN 'security' WHEN score >= 0.3 THEN 'operational' WHEN score >= 0.1 THEN 'compliance' ELSE 'noise' END AS tier FROM e)
+ SELECT tier, CASE tier WHEN 'security' THEN 'siem' WHEN 'operational' THEN 'data_lake' WHEN 'compliance' THEN 'archive' ELSE 'drop' END AS destination, printf('score %.2f: %s', score, tier) AS reason, count(*) AS n FROM t GROUP BY ALL""")
+def route_reason(spark, sf_dir):
+    score, uid = (F.col("event_id") % 101) / 100.0, F.when(F.col("event_id") % 2 == 0, 3002).otherwise(4002)
+    return events(spark, sf_dir).select(triage.route(score, uid).alias("r")).groupBy("r.tier", "r.destination", "r.reason").agg(N())
+
+
+@query("accuracy_tolerant", "SELECT event_id % 4 AS kind, count(*) AS n, count(*) FILTER (event_id % 4 IN (0, 1)) AS n_same FROM events GROUP BY ALL")
+def accuracy_tolerant(spark, sf_dir):
+    e = F.col("event_id")
+    got = F.when(e % 4 == 0, e.cast("string")).when(e % 4 == 1, F.concat(e.cast("string"), F.lit(".0"))).when(e % 4 == 2, F.concat(F.lit("x"), e.cast("string")))
+    return events(spark, sf_dir).groupBy((e % 4).alias("kind")).agg(N(), F.count_if(triage.same_value(e, got)).alias("n_same"))
