@@ -348,7 +348,8 @@ def knn(spark, sf_dir):
     vectors = vectors.withColumn("norm", F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x)))
     asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("e").alias("q"), F.col("norm").alias("q_norm"))
     dot = F.aggregate(F.zip_with("e", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    pairs = asked.join(vectors, F.col("query") != F.col("vec_id")).select("query", "vec_id", "label", (dot / (F.col("norm") * F.col("q_norm"))).alias("sim"))
+    asked = F.broadcast(asked) if asked.count() <= 20_000 else asked  # vectors of 64 numbers
+    pairs = vectors.join(asked, F.col("query") != F.col("vec_id")).select("query", "vec_id", "label", (dot / (F.col("norm") * F.col("q_norm"))).alias("sim"))
     return rules.best_rows(pairs, ["query"], [F.desc(F.round("sim", 9)), F.asc("vec_id")], 5)
 
 
