@@ -162,7 +162,9 @@ def coerce_boolean_mac(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", coerce.boolean(F.when(F.col("ok"), "Accept").otherwise("DENY")).alias("flag"), coerce.mac(mac).alias("mac"))
 
 
-_ENTITY = "CASE " + " ".join(f"WHEN regexp_matches(token, '{p}') THEN '{k}'" for k, p in coerce.ENTITIES) + " WHEN regexp_matches(token, '^\\d+$') AND try_cast(token AS BIGINT) BETWEEN 1024 AND 65535 THEN 'port' WHEN regexp_matches(token, '^\\d+$') THEN 'integer' WHEN regexp_matches(token, '^[a-zA-Z][\\w\\-]*(?:\\.[\\w\\-]+)+$') THEN 'hostname' WHEN regexp_matches(token, '^[a-z_][a-z0-9_\\-]{1,31}$') THEN 'user' ELSE 'string' END"
+_ENTITY = """CASE WHEN regexp_full_match(token, '\\w+="?[^"]*"?') THEN 'kv_token' WHEN regexp_full_match(token, '(\\d{1,3}\\.){3}\\d{1,3}') THEN 'ip' WHEN regexp_full_match(token, '(\\d{1,3}\\.){3}\\d{1,3}:\\d+') THEN 'ip_port'
+ WHEN regexp_full_match(token, '\\d\\d:\\d\\d:\\d\\d') THEN 'timestamp' WHEN regexp_full_match(token, '\\w+\\[\\d+\\]:?') THEN 'process_ref' WHEN regexp_full_match(token, '/[\\w./-]+') THEN 'path' WHEN regexp_full_match(token, '\\d+') THEN CASE WHEN token::BIGINT BETWEEN 1024 AND 65535 THEN 'port' ELSE 'integer' END
+ WHEN regexp_full_match(token, '[A-Za-z_][\\w-]*\\.[\\w.-]*') AND length(token) <= 32 THEN 'hostname' WHEN regexp_full_match(token, '[A-Za-z]{3,32}') THEN 'user' ELSE 'string' END""".replace("\\\\", "\\")
 
 
 @query("entity_classify", f"WITH {LINES}, tokens AS (SELECT {KIND} AS log_format, unnest(string_split(raw_log, ' ')) AS token FROM lines) SELECT log_format, {_ENTITY} AS entity, count(*) AS n FROM tokens GROUP BY ALL")
