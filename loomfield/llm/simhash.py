@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, discard, documents, mix, pieces, small_batches, written
-from .components import components
+from .components import components, joined, rooted
 
 SEED = 42
 LARGEST = 4_096
@@ -50,7 +50,7 @@ LARGEST = 4_096
 WIDTH, WORDS, SURE, RADIUS, SIMILARITY = 5, 8, 61, 96, 0.8
 LARGEST_NEAR = 16_384
 BANDS, KEY_BITS, FLIPS = 8, 12, 2  # a band for each word of the fingerprint
-FIRST_PAIRS = 32  # of a node in a shard, in the first round
+FIRST_PAIRS = 8  # of a node in a shard, in the first round
 BROADCAST_ROWS = 2_000_000  # row numbers of 8 bytes
 BROADCAST_PAIRS = 400_000  # of four longs
 
@@ -330,10 +330,6 @@ def _near_of_partition(radius: int, sure: int, ranks: tuple[int, int]):
     return run
 
 
-def _rooted(rows: DataFrame, roots: DataFrame, node: str = "node", root: str = "root") -> DataFrame:
-    return rows.join(roots.toDF(node, root), node, "left").withColumn(root, F.coalesce(root, node))
-
-
 def verified_components(keyed: DataFrame, radius: int, sure: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """node, root as `components` gives them, of all pairs (a, b) that meet in a shard of keyed(key long, node long, fp binary)
     and lie within `sure` bits, or within radius and are kept by verify.
@@ -350,22 +346,17 @@ def verified_components(keyed: DataFrame, radius: int, sure: int, verify: Callab
     if not large.isEmpty():
         used.append(shards := written(shards.unionByName(_paired_parts(keyed, large, LARGEST_NEAR))))
     near = F.when(F.col("key") == F.col("own"), F.shiftright("key", KEY_BITS - 3)).otherwise(F.col("key"))
-    roots, links, ranks = None, None, (0, FIRST_PAIRS)
+    roots, ranks = None, (0, FIRST_PAIRS)
     while True:
-        rooted = shards.withColumn("root", F.col("node")) if roots is None else _rooted(shards, roots)
-        found = written(rooted.repartition(near).sortWithinPartitions("key", "node").mapInArrow(_near_of_partition(radius, sure, ranks), "a long, b long, sure boolean"))
-        more = written(found.where("sure").select("a", "b").distinct())
-        links = more if links is None else links.unionByName(more)
-        now = written(components(links))
+        found = written(rooted(shards, roots).repartition(near).sortWithinPartitions("key", "node").mapInArrow(_near_of_partition(radius, sure, ranks), "a long, b long, sure boolean"))
+        now = joined(roots, found.where("sure").select("a", "b"))
         pairs = found.where("not sure").select("a", "b").distinct()
-        pairs = _rooted(_rooted(pairs, now, "a", "x"), now, "b", "y").where("x != y").select("a", "b")
-        pairs = written(pairs)
+        pairs = written(rooted(rooted(pairs, now, "a", "x"), now, "b", "y").where("x != y").select("a", "b"))
         kept = written(verify(pairs))
-        links = links.unionByName(kept)
-        old, roots = roots, written(components(links))
+        old, roots = {roots, now} - {None}, joined(now, kept)
         again = written(found.where("b is null").select(F.col("a").alias("key")).distinct())
-        discard(found, now, *[old] * (old is not None))
-        used += [pairs, kept, more, again]
+        discard(found, pairs, kept, *old - {roots})
+        used.append(again)
         if again.isEmpty():
             discard(*used)
             return roots
