@@ -5,13 +5,15 @@ neighbouring tokens, and of the n-gram shapes "x x" and "x y x y". Each feature'
 fitted on the unit-length rows by dual coordinate descent, and its margin is mapped to 0..1 by a logistic curve that is
 fitted on a tenth of the sample that the descent hasn't seen.
 
-Fitting uses at most `MAX_ROWS` labelled rows (see `labelled.sample`); features are made on the executors, the descent
-runs on the driver over index lists of bounded length. Scoring is one map over all documents with the weights broadcast:
+Fitting uses at most `MAX_ROWS` labelled rows (see `labelled.sample`), and of those, in the order of their ids' hashes, as
+many as have `MAX_FEATURES` features together: rows are taken whole or not at all, long ones too. Features are made on the
+executors, the descent runs on the driver over index lists of that total length. Scoring is one map over all documents with the weights broadcast:
 2**BITS floats, whatever the input's size.
 
 Empty or null text: no features, the score of the intercept alone. No usable labels of one class: every score is the
 share of the class that there is (0.5 if none). Null doc_id: counts as the empty text for the fold. Repeated rows:
-scored alike.
+scored alike. Very long texts: all their features count. Ties: of several texts of one doc_id the least is fitted. Empty
+table: no rows. Other columns of either table, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_WORD, LOWER, U64, documents, hash_spans, mix, pieces, spans, text_buffers
+from .common import IS_WORD, LOWER, U64, discard, documents, hash_spans, mix, pieces, spans, text_buffers, written
 from .labelled import held_out, sample
 
 MAX_ROWS = 8_000
 BITS = 18
-MAX_FEATURES = 4_000  # of a row of the sample: the smallest hashes; scoring uses all
+MAX_FEATURES = 6_000_000  # of all rows of the sample together
 EPOCHS, COST = 12, 1.0
 THRESHOLD = 0.3
 
@@ -62,7 +64,7 @@ def _rows(batches):
         for part in pieces(batch, most=2 << 20):
             text, feature = features(part.column("text"))
             first = np.searchsorted(text, np.arange(part.num_rows + 1))
-            lists = [feature[a:b][np.argsort(mix(feature[a:b].astype(U64)))[:MAX_FEATURES]] for a, b in zip(first[:-1], first[1:], strict=True)]
+            lists = [feature[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "label", "features"])
 
 
@@ -118,11 +120,15 @@ def score_texts(texts: pa.Array, model: tuple[np.ndarray, float, float]) -> np.n
     return 1 / (1 + np.exp(-np.clip(slope * margin + intercept, -30, 30)))
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> DataFrame:
     """doc_id, score of every document."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = sample(docs, labels, label, max_rows).mapInArrow(_rows, f"doc_id {kind}, label int, features array<int>").toPandas().sort_values("doc_id")
+    rows = written(sample(docs, labels, label, max_rows).mapInArrow(_rows, f"doc_id {kind}, label int, features array<int>").withColumn("turn", F.xxhash64("doc_id")))
+    sizes = rows.select("turn", F.size("features").alias("n")).toPandas().sort_values("turn")  # of at most max_rows rows
+    fits = sizes["turn"][sizes["n"].cumsum() <= max_features]
+    got = rows.where(F.col("turn") <= int(fits.iloc[-1])).drop("turn").toPandas().sort_values("doc_id") if len(fits) else rows.limit(0).toPandas()
+    discard(rows)
     model = spark.sparkContext.broadcast(fit([np.asarray(x, np.int64) for x in got["features"]], got["label"].to_numpy(np.int64)))
 
     def run(batches):
