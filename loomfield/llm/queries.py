@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op5_byte_bpe
 from .decontaminate import op8_decontaminate
+from .digests import op12_rare_feature_digest
+from .lexical import ORACLE_SQL as LEXICAL_SQL
+from .lexical import op11_reversed_search
 from .licenses import op4_license_scan
 from .line_quality import op3_quality_rules
 from .sharding import op1_vector_packing
@@ -28,6 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_line_templates": op9_line_templates,
     "op10_quality_nbsvm": op10_quality_nbsvm,
+    "op11_reversed_search": op11_reversed_search,
+    "op12_rare_feature_digest": op12_rare_feature_digest,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_reversed_search": LEXICAL_SQL}
