@@ -19,6 +19,7 @@ from .line_templates import op9_line_templates
 from .lm_trie import op6_lm_trie
 from .quality_nbsvm import op10_quality_nbsvm
 from .toxicity import op7_toxicity_bigru
+from .variants import op13_spelling_variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_packing": op1_vector_packing,
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_nbsvm": op10_quality_nbsvm,
     "op11_reversed_search": op11_reversed_search,
     "op12_rare_feature_digest": op12_rare_feature_digest,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {"op11_reversed_search": LEXICAL_SQL}
