@@ -7,14 +7,16 @@ are constant, else it is a template of its own. A template recurs if it stands i
 Lines of recurring templates are dropped where the texts are of at least `MIN_TEXTS` groups of near copies; lines of fewer
 than `MIN_TOKENS` tokens are never dropped.
 
-A text's group is named by one of its lines: if at least half of its tokens stand in lines that don't recur, by the least
-hash of those; else, as a copy whose lines recur with it, by the least of its recurring templates. So copies, edited or
-not, share few names however many they are, and texts that share no more than boilerplate, of any number of lines and
-anywhere in the text, have names of their own. Texts that are boilerplate for the larger part are copies in this sense.
-
-The text is read three times and shuffled at most in the last: once for each line's hash and leaf, which need the line's
-length and its first tokens only; once for the lines of leaves with enough texts, the only ones that are masked and taken
-apart; once to leave lines out. What is dropped depends on the text alone, so texts are known by their hash, and equal
+A text's group is named by one of its lines: if more than `OWN` of its tokens are its own, by the least hash of those
+lines; else, as a copy whose words recur with it, by the least of its recurring templates. Tokens are a text's own if they
+stand in a line that doesn't recur, less the share of that line's `WIDTH`-word shingles that stand in recurring lines of
+any text as well (an edited line of a copy; of each line the `SHINGLES` least by hash are looked up). Two texts with more
+than a ninth of their own share less than 0.8 of their words, so they aren't near copies, and however much of them is
+boilerplate, it goes; copies, edited or not, share few names however many they are.
+
+The text is read four times and shuffled at most in the last two: once for each line's hash and leaf, which need the
+line's length and its first tokens only; once for the lines of leaves with enough texts, the only ones that are masked and
+taken apart; once for the own lines of texts in which something recurs; once to leave lines out. What is dropped depends on the text alone, so texts are known by their hash, and equal
 texts are worked on once after the first pass. Counts are of distinct hashes and are combined before the shuffle, so one
 very common line or text is no hot key. Small results are broadcast up to `BROADCAST_ROWS`, larger ones are joined.
 
@@ -28,9 +30,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, written
+from .common import discard, documents, packed, unpacked, written
 
 MIN_TEXTS, MIN_TOKENS, LEADING, SIMILARITY = 10, 4, 2, 0.6
+OWN, WIDTH, SHINGLES = 1 / 9, 5, 8
 VARIABLE = "<*>"
 BROADCAST_ROWS = 50_000  # of a few longs each
 
@@ -68,6 +71,28 @@ def _hinted(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
+def _shingles(tight: Column) -> Column:
+    """The hashes of a line's shingles, or of the whole of a shorter line."""
+    words = F.split(tight, " ")
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (WIDTH - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, WIDTH), " "))))
+
+
+def _own_tokens(keys: DataFrame, texts: DataFrame, common: DataFrame, near: DataFrame, mixed: DataFrame) -> DataFrame:
+    """text_key, own (tokens), own_key of the texts of mixed(text_key), once words of their lines that recur elsewhere are taken off."""
+    wanted = _hinted(mixed)
+    some = texts.withColumn("text_key", text_hash(F.col("text"))).join(wanted, "text_key", "left_semi")
+    lines = _lines(some.select("text")).join(_hinted(common.select("raw_key")), "raw_key", "left_anti").groupBy("raw_key").agg(F.first("tight").alias("tight"))
+    sketch = lines.select("raw_key", F.explode(F.slice(F.array_sort(_shingles(F.col("tight"))), 1, SHINGLES)).alias("shingle"))
+    recurs = written(near.join(_hinted(common.select("raw_key")), "raw_key", "left_semi").select(F.explode(_shingles(F.col("tight"))).alias("shingle")).distinct())
+    share = sketch.join(_hinted(recurs.withColumn("known", F.lit(1.0))), "shingle", "left").groupBy("raw_key").agg(F.avg(F.coalesce("known", F.lit(0.0))).alias("known"))
+    share = written(share.where("known > 0"))
+    own = keys.join(wanted, "text_key", "left_semi").join(_hinted(common.select("raw_key")), "raw_key", "left_anti").join(_hinted(share), "raw_key", "left")
+    known = F.coalesce("known", F.lit(0.0))
+    out = written(own.groupBy("text_key").agg(F.sum(F.col("tokens") * (1 - known)).alias("own"), F.min(F.when(known < 0.5, F.col("raw_key"))).alias("own_key")))
+    discard(recurs, share)
+    return out
+
+
 def recurring_lines(keys: DataFrame, texts: DataFrame, min_texts: int = MIN_TEXTS, similarity: float = SIMILARITY) -> DataFrame:
     """raw_key of the lines of recurring templates, of keys(text_key, raw_key, tokens, leaf) and the texts they are from."""
     leaves = keys.groupBy("leaf").agg(F.count_distinct("text_key").alias("texts"))
@@ -87,16 +112,19 @@ def recurring_lines(keys: DataFrame, texts: DataFrame, min_texts: int = MIN_TEXT
     template = written(general.select("line_key", F.when(F.col("share") >= similarity, F.xxhash64("leaf", "general")).otherwise(F.col("line_key")).alias("template")))
     recurs = often.join(_hinted(template), "line_key").groupBy("template").agg(F.count_distinct("text_key").alias("n")).where(F.col("n") >= min_texts)
     common = written(forms.select("raw_key", "line_key").join(template, "line_key").join(recurs.select("template"), "template").select("raw_key", "template"))
-    discard(near, often, distinct, constant, template, forms, full)
-    own = F.col("template").isNull()
+    discard(often, distinct, constant, template, forms, full)
+    in_line = F.col("template").isNull()
     of_text = keys.join(_hinted(common), "raw_key", "left").groupBy("text_key").agg(
-        F.sum("tokens").alias("tokens"), F.sum(F.when(own, F.col("tokens")).otherwise(0)).alias("own"),
-        F.min(F.when(own, F.col("raw_key"))).alias("own_key"), F.min("template").alias("common_key"), F.collect_set("template").alias("templates"),
+        F.sum("tokens").alias("tokens"), F.sum(F.when(in_line, F.col("tokens")).otherwise(0)).alias("apart"),
+        F.min("template").alias("common_key"), F.collect_set("template").alias("templates"),
     )
-    group = F.when(2 * F.col("own") >= F.col("tokens"), F.col("own_key")).otherwise(F.col("common_key"))
-    groups = of_text.select(group.alias("group"), F.explode("templates").alias("template")).groupBy("template").agg(F.count_distinct("group").alias("n"))
+    of_text = written(of_text.where("common_key is not null"))
+    own = _own_tokens(keys, texts, common, near, of_text.where(F.col("apart") > OWN * F.col("tokens")).select("text_key"))
+    # A text of which more than OWN is its own, but no line for the larger part, is named by itself.
+    group = F.when(F.col("own") > OWN * F.col("tokens"), F.coalesce("own_key", "text_key")).otherwise(F.col("common_key"))
+    groups = of_text.join(own, "text_key", "left").select(group.alias("group"), F.explode("templates").alias("template")).groupBy("template").agg(F.count_distinct("group").alias("n"))
     drop = written(common.join(groups.where(F.col("n") >= min_texts), "template").select("raw_key").distinct())
-    discard(common)
+    discard(common, near, of_text, own)
     return drop
 
 
@@ -111,7 +139,7 @@ def strip_templates(docs: DataFrame, min_texts: int = MIN_TEXTS, similarity: flo
     lines, places = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
     every = F.split("text", "\n")
     left = F.array_join(F.filter(every, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").alias("text"), text_hash(F.col("text")).alias("text_key"))
+    rows = docs.select(packed(docs.columns).alias("doc"), F.col("text").alias("text"), text_hash(F.col("text")).alias("text_key"))
     return rows.join(F.broadcast(gone) if lines + places <= BROADCAST_ROWS else gone, "text_key", "left").select(
         "doc",
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"),
@@ -123,7 +151,7 @@ def strip_templates(docs: DataFrame, min_texts: int = MIN_TEXTS, similarity: flo
 def dedup(docs: DataFrame, **limits) -> DataFrame:
     """docs without lines of recurring templates; a document of which no word is left goes. n_chars follows."""
     out = strip_templates(docs, **limits)
-    columns = {c: F.col(f"doc.`{c}`") for c in docs.columns} | {"text": F.col("text")}
+    columns = {c: unpacked(c) for c in docs.columns} | {"text": F.col("text")}
     if "n_chars" in columns:
         columns["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
     return out.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*(x.alias(c) for c, x in columns.items()))

@@ -16,12 +16,13 @@ def _prose(seed: int, n: int) -> str:
     return " ".join(f"{'aeiou'[k % 5]}{'klmnprst'[k % 8]}{'aeiou'[k % 3]}{k:x}" for k in rng.integers(0, 50_000, n))
 
 
-SCHEMA = "doc_id long, text string, lang string, source string, row long, key string, fp string, root long"
+SCHEMA = "doc_id long, text string, lang string, source string, row long, key string, fp string, root long, `a.b` string, `back``tick` int"
+NAMES = ["doc_id", "text", "lang", "source", "row", "key", "fp", "root", "a.b", "back`tick"]
 PASSAGE = _prose(99, 14)
 
 
 def _row(doc_id, text, source="s"):
-    return (doc_id, text, "en", source, 1, "k", None, None)
+    return (doc_id, text, "en", source, 1, "k", None, None, "dot", 5)
 
 
 ROWS = [
@@ -48,7 +49,7 @@ def stages(spark, tmp_path_factory):
 def test_stages_keep_columns_and_clean_rows(stages):
     ids = {name: sorted((r["doc_id"] is None, r["doc_id"]) for r in df.select("doc_id").collect()) for name, df in stages.items()}
     good = sorted([(False, k) for k in [*range(10), 3, 20, 21, 22, 27]] + [(True, None)], key=lambda x: (x[0], x[1] or 0))
-    assert all(df.columns == [c.split()[0] for c in SCHEMA.split(", ")] for name, df in stages.items() if name != "byte_bpe")
+    assert all(df.columns == NAMES for name, df in stages.items() if name != "byte_bpe")
     assert ids["quality_rules"] == good and ids["line_dedup"] == good
     assert ids["near_dedup"] == sorted(set(good) - {(False, 20), (False, 21)}, key=lambda x: (x[0], x[1] or 0)) == ids["decontamination"] == ids["byte_bpe"]
 
