@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, hash_spans, pieces, text_buffers
+from .common import documents, fields, hash_spans, packed, pieces, text_buffers
 
 WINDOW, POINTS, BINS, DULL = 32, 8, 1000, 0.1
 BITS, HASHES, FILL = 2048, 5, 160
-PIECE, CHUNK, BUCKET, MOST_BUCKETS = 2 << 20, 1 << 16, 16 << 20, 8192  # beyond so many buckets they grow; their rows are sorted on disk
+PIECE, CHUNK, BUCKET, MOST_BUCKETS = 2 << 20, 1 << 16, 4 << 20, 8192  # beyond so many buckets they grow; their rows are sorted on disk
 _LEAST = -(1 << 63)
 _PLOGP = np.array([0, *(round(k * np.log2(k) * 2**20) for k in range(1, WINDOW + 1))], np.int64)
 
@@ -177,7 +177,7 @@ def parsed(text: str) -> tuple[np.ndarray, int]:
 
 def fingerprints(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
     """A struct `doc` of docs' columns but text, and the text's fingerprint under the ranks of `rarity`."""
-    src = docs.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if c != "text"), F.lit(0).alias("__")).alias("doc"), F.col("text").alias("text"))
+    src = docs.select(packed(c for c in docs.columns if c != "text").alias("doc"), F.col("text").alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -187,7 +187,7 @@ def fingerprints(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
                 marks = [digest(filters(h[a:b]), int(b - a)) for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(marks, pa.string())], names=["doc", "fingerprint"])
 
-    return src.mapInArrow(run, f"doc {src.schema['doc'].dataType.simpleString()}, fingerprint string")
+    return src.mapInArrow(run, fields(src.schema["doc"].dataType, "fingerprint string"))
 
 
 def edited(text: str, after: str) -> str:
@@ -245,12 +245,12 @@ def with_next(docs: DataFrame, bucket_bytes: int = BUCKET) -> DataFrame:
     cuts = [(d, _LEAST + (k << 64) // len(same)) for d, same in ((d, list(g)) for d, g in itertools.groupby(at)) for k in range(len(same))]
     ranged = rows.withColumns({"key": key, "tie": tie}).withColumn("bucket", _bucket(F.col("key"), F.col("tie"), cuts))
     heads = ranged.groupBy("bucket").agg(F.min(F.struct("key", "tie")).alias("head")).orderBy("bucket").collect()  # MOST_BUCKETS + 1 rows at most
-    before = [(r["bucket"], r["head"]["key"], r["head"]["tie"], heads[k - 1]["bucket"]) for k, r in enumerate(heads)]
-    table = spark.createDataFrame(before, "bucket int, head_key long, head_tie long, before int")
-    own = F.struct("bucket", F.lit(False).alias("spare"))
+    before = [(r["bucket"], r["head"]["key"], r["head"]["tie"], k, (k or len(heads)) - 1) for k, r in enumerate(heads)]
+    table = spark.createDataFrame(before, "bucket int, head_key long, head_tie long, slot int, before int")
+    own = F.struct(F.col("slot").alias("bucket"), F.lit(False).alias("spare"))
     placed = F.when((F.col("key") == F.col("head_key")) & (F.col("tie") == F.col("head_tie")), F.array(own, F.struct(F.col("before").alias("bucket"), F.lit(True).alias("spare")))).otherwise(F.array(own))
     dealt = ranged.join(F.broadcast(table), "bucket").select(F.explode(placed).alias("at"), "key", "tie", "doc_id", "text").select("at.*", "key", "tie", "doc_id", "text")
-    return dealt.repartition(max(1, len(heads)), "bucket").sortWithinPartitions("bucket", "spare", "key", "tie").select("bucket", "spare", "doc_id", "text")
+    return dealt.repartitionById(max(1, len(heads)), F.col("bucket")).sortWithinPartitions("bucket", "spare", "key", "tie").select("bucket", "spare", "doc_id", "text")
 
 
 def compare_with_next(docs: DataFrame, ranks: np.ndarray, bucket_bytes: int = BUCKET) -> DataFrame:
