@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, pieces, written
+from .common import documents, fields, packed, pieces, unpacked, written
 
 CHUNK, OVERLAP, MARGIN = 32_768, 512, 8
 REMEMBERED = 300_000
@@ -146,9 +146,8 @@ def _joined(parts: str) -> Column:
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, columns: list[str] | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """A struct `doc` of docs' columns (or those named), n_tokens, ids_sha256, decoded_sha256 and ids (little-endian uint32)."""
     spark, ship = docs.sparkSession, Shipped(docs.sparkSession, ranks, pattern)
-    src = docs.select(F.struct(*(docs.columns if columns is None else columns)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    kind = src.schema["doc"].dataType.simpleString()
-    schema = f"doc {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary"
+    src = docs.select(packed(docs.columns if columns is None else columns).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    schema = fields(src.schema["doc"].dataType, "n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")
 
     def whole(batches):
         encoder = ship.get()
@@ -206,7 +205,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, columns: list
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
     """encoded with a column `decoded`: the bytes of its ids (little-endian uint32)."""
     ship = Shipped(encoded.sparkSession, ranks, "")
-    src = encoded.select(F.struct(*encoded.columns).alias("row"), F.col(ids).alias("ids"))
+    src = encoded.select(packed(encoded.columns).alias("row"), F.col(ids).alias("ids"))
 
     def run(batches):
         encoder = ship.get()
@@ -214,7 +213,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> Dat
             raw = [encoder.decode(array("I", np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(raw, pa.binary())], names=["row", "decoded"])
 
-    return src.mapInArrow(run, f"row {src.schema['row'].dataType.simpleString()}, decoded binary").select("row.*", "decoded")
+    return src.mapInArrow(run, fields(src.schema["row"].dataType, "decoded binary", "row")).select(*(unpacked(c, "row").alias(c) for c in encoded.columns), "decoded")
 
 
 def public_vocabulary(name: str = VOCABULARY) -> tuple[dict[bytes, int], str]:

@@ -10,13 +10,14 @@ import tempfile
 import uuid
 import weakref
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
@@ -72,6 +73,25 @@ def small_batches(spark: SparkSession, size: str = "4m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def quoted(name: str) -> str:
+    """A column's name as select() and col() read it, whatever stands in it."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def packed(names: Iterable[str]) -> Column:
+    """A struct of the named columns; one that is never empty."""
+    return F.struct(*(F.col(quoted(c)).alias(c) for c in names), F.lit(0).alias("__"))
+
+
+def unpacked(name: str, struct: str = "doc") -> Column:
+    return F.col(f"{struct}.{quoted(name)}")
+
+
+def fields(struct: DataType, rest: str, name: str = "doc") -> StructType:
+    """The schema of a struct, then of the columns of rest; a struct's own names may be any."""
+    return StructType([StructField(name, struct), *StructType.fromDDL(rest).fields])
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z only: F.lower would also change other letters."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

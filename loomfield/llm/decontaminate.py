@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_WORD, LOWER, documents, hash_spans, pieces, spans, text_buffers, written
+from .common import IS_WORD, LOWER, documents, fields, hash_spans, packed, pieces, spans, text_buffers, unpacked, written
 
 WIDTH = 10
 BLOCK_BYTES = 8 << 20
@@ -241,8 +241,8 @@ def _hits(part: pa.RecordBatch, bench: Windows) -> tuple[np.ndarray, dict[int, t
 def find(docs: DataFrame, benchmark: DataFrame, columns: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A struct `doc` of docs' columns (or those named), n_words, n_hit, n_items, items_sha256, contaminated."""
     spark = docs.sparkSession
-    src = docs.select(F.struct(*(docs.columns if columns is None else columns)).alias("doc"), F.col("text").alias("text"))
-    kind, parts = src.schema["doc"].dataType.simpleString(), blocks(benchmark, block_bytes)
+    src = docs.select(packed(docs.columns if columns is None else columns).alias("doc"), F.col("text").alias("text"))
+    kind, parts = src.schema["doc"].dataType, blocks(benchmark, block_bytes)
     if len(parts) == 1:
         bench = spark.sparkContext.broadcast(Windows([tuple(r) for r in parts[0].collect()]))
 
@@ -252,7 +252,7 @@ def find(docs: DataFrame, benchmark: DataFrame, columns: list[str] | None = None
                     words, hits = _hits(part, bench.value)
                     yield _digest(part.column("doc"), words, {t: _merge(int(words[t]), [x]) for t, x in hits.items()})
 
-        return src.mapInArrow(run, f"doc {kind}, {_DIGEST}")
+        return src.mapInArrow(run, fields(kind, _DIGEST))
     numbered = written(src.withColumn("row", F.monotonically_increasing_id()))
     found = None
     for block in parts:
@@ -279,7 +279,7 @@ def find(docs: DataFrame, benchmark: DataFrame, columns: list[str] | None = None
                 rows = {int(t): _merge(int(words[t]), [(np.asarray(x["words"], np.int64), set(x["items"])) for x in lists[int(t)].as_py()]) for t in np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))}
                 yield _digest(part.column("doc"), words, rows)
 
-    return joined.mapInArrow(merge, f"doc {kind}, {_DIGEST}")
+    return joined.mapInArrow(merge, fields(kind, _DIGEST))
 
 
 def _cut(text: str, bench: Windows) -> str:
@@ -301,8 +301,8 @@ def _cut(text: str, bench: Windows) -> str:
 
 def remove(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without the merged spans of benchmark windows; a document of which no word is left goes. n_chars follows."""
-    spark, out = docs.sparkSession, docs.select(F.struct(*(c for c in docs.columns if c != "text"), F.lit(0).alias("__")).alias("doc"), F.col("text"), F.lit(False).alias("changed"), F.lit(False).alias("again"))
-    kind, parts = out.schema["doc"].dataType.simpleString(), blocks(benchmark, block_bytes)
+    spark, out = docs.sparkSession, docs.select(packed(c for c in docs.columns if c != "text").alias("doc"), F.col("text"), F.lit(False).alias("changed"), F.lit(False).alias("again"))
+    kind, parts = out.schema["doc"].dataType, blocks(benchmark, block_bytes)
 
     def sweep(rows: DataFrame) -> DataFrame:
         for block in parts:
@@ -317,7 +317,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES
                             text[t], changed[t], again[t] = _cut(text[t], bench.value), True, True
                         yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(text, pa.string()), pa.array(changed, pa.bool_()), pa.array(again, pa.bool_())], names=["doc", "text", "changed", "again"])
 
-            rows = rows.mapInArrow(run, f"doc {kind}, text string, changed boolean, again boolean")
+            rows = rows.mapInArrow(run, fields(kind, "text string, changed boolean, again boolean"))
         return rows
 
     out, done = sweep(out), None
@@ -330,7 +330,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES
             out = done
             break
         out = sweep(out.where("again").withColumn("again", F.lit(False)))
-    columns = {c: F.col("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns}
+    columns = {c: F.col("text") if c == "text" else unpacked(c) for c in docs.columns}
     if "n_chars" in columns:
         columns["n_chars"] = F.when(F.col("changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
     return out.where(~F.col("changed") | F.col("text").rlike(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]")).select(*(x.alias(c) for c, x in columns.items()))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import (
-    IS_WORD, LOWER, U64, documents, hash_runs, hash_spans, mix, pieces, small_batches, spans, sums, text_buffers, windows, written,
+    IS_WORD, LOWER, U64, documents, fields, hash_runs, hash_spans, mix, packed, pieces, small_batches, spans, sums, text_buffers, unpacked, windows, written,
 )
 
 MIN_TEXTS, MAX_REMOVED = 20, 0.5
@@ -148,8 +148,8 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", min_texts:
     above = written(lines_above_limit(docs.select(F.col(text).alias("text"), F.col(host).alias("host")), min_texts))
     keep = ["doc"]
     own = [c for c in (docs.columns if columns is None else columns) if not (rewrite and c == text)]  # the text goes once
-    src = docs.select(F.struct(*own, F.lit(0).alias("__")).alias("doc"), F.col(text).alias("__text"), F.col(host).cast("string").alias("__host"))
-    schema = f"doc {src.schema['doc'].dataType.simpleString()}, {_FEATURES}"
+    src = docs.select(packed(own).alias("doc"), F.col(text).alias("__text"), F.col(host).cast("string").alias("__host"))
+    schema = fields(src.schema["doc"].dataType, _FEATURES)
     if above.count() <= BROADCAST_LINES:
         table = above.toPandas().sort_values("line")
         known = spark.sparkContext.broadcast((table["line"].to_numpy(np.int64), table["first_text"].to_numpy(np.int64)))
@@ -194,7 +194,7 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", min_texts:
 def clean(docs: DataFrame, text: str = "text", host: str = "source", **limits) -> DataFrame:
     """The kept documents of docs, without the lines above their limits; n_chars, where there is such a column, follows."""
     out = judge(docs, text, host, rewrite=True, **limits).where("kept")
-    columns = {c: F.col("kept_text") if c == text else F.col(f"doc.`{c}`") for c in docs.columns}
+    columns = {c: F.col("kept_text") if c == text else unpacked(c) for c in docs.columns}
     if "n_chars" in columns:
         columns["n_chars"] = F.when(F.col("removed_words") == 0, columns["n_chars"]).otherwise(F.length("kept_text").cast(docs.schema["n_chars"].dataType))
     return out.select(*(x.alias(c) for c, x in columns.items()))

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, discard, documents, mix, pieces, small_batches, written
+from .common import U64, discard, documents, mix, packed, pieces, small_batches, unpacked, written
 from .components import components, joined, rooted
 
 SEED = 42
@@ -465,12 +465,12 @@ def dedup(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -
     shuffled for it; more of them are joined by row number. Both ways keep the same rows.
     """
     small_batches(docs.sparkSession)
-    base = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")))
+    base = written(docs.select(F.monotonically_increasing_id().alias("row"), packed(docs.columns).alias("doc")))
     keep = similar_groups(base.select("row", "doc.doc_id", "doc.text"), width, similarity)
     drop = written(base.select("row").join(keep, "row", "left_anti"))
     if drop.count() <= BROADCAST_ROWS:
-        return base.join(F.broadcast(drop), "row", "left_anti").select("doc.*")
-    return base.join(keep, "row", "left_semi").select("doc.*")
+        return base.join(F.broadcast(drop), "row", "left_anti").select(*(unpacked(c).alias(c) for c in docs.columns))
+    return base.join(keep, "row", "left_semi").select(*(unpacked(c).alias(c) for c in docs.columns))
 
 
 def groups(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
