@@ -22,8 +22,8 @@ from .preparse import SEP, entry
 ENTRIES = "array<struct<key:string,value:string>>"
 RULES = "array<struct<field:string,low:double,high:double,value:string,severity:string>>"
 ROW = f"pattern:string,class_uid:int,class_name:string,search:string,parts:string,paths:array<string>,names:array<string>,name_paths:array<string>,fixed:{ENTRIES},severities:{RULES}"
-#: Words that alone, as the substring of a pattern without other tests, would fit nearly any line.
-GENERIC = {"error", "info", "warning", "debug", "failed", "success", "user", "message", "log", "event"}
+# Words that alone, as the substring of a pattern without other tests, would fit nearly any line.
+GENERIC = {"system", "config", "error", "warning", "info", "debug", "analytics", "traps", "endpoint"}
 
 
 @dataclass(frozen=True)
@@ -104,7 +104,9 @@ def extracted(raw: Column, fields: Column, row: Column) -> Column:
     none = F.array().cast(ENTRIES)
     values = F.split(F.regexp_replace(raw, row["search"], row["parts"]), SEP)
     by_group = F.when(row["search"].isNotNull(), F.filter(F.zip_with(row["paths"], values, entry), lambda e: (e["key"] != "") & (e["value"] != "")))
-    by_name = F.filter(F.zip_with(row["names"], row["name_paths"], lambda n, p: entry(p, F.element_at(fields, n))), lambda e: e["value"].isNotNull())
+    # A dotted name also reaches into objects that are too large to be flattened.
+    inside = lambda n: F.when(F.contains(n, F.lit(".")) & F.ltrim(raw).startswith("{"), F.call_function("get_json_object", raw, F.concat(F.lit("$."), n)))
+    by_name = F.filter(F.zip_with(row["names"], row["name_paths"], lambda n, p: entry(p, F.coalesce(F.element_at(fields, n), inside(n)))), lambda e: e["value"].isNotNull())
     everything = F.concat(F.coalesce(by_name, none), F.coalesce(by_group, none))
     source = lambda r: F.coalesce(F.element_at(fields, r["field"]), F.get(F.filter(everything, lambda e: e["key"] == r["field"]), F.lit(0))["value"])
     holds = F.filter(row["severities"], lambda r: F.when(r["value"].isNotNull(), source(r) == r["value"]).otherwise(source(r).try_cast("bigint").between(r["low"], r["high"])))

@@ -29,7 +29,6 @@ ADDRESS = r"\b(\d{1,3}(?:\.\d{1,3}){3})\b"
 # Keys of a JSON record's time, the first that is there; and of its host.
 TIMES, HOSTS = ["timestamp", "time", "ts", "@timestamp", "TimeCreated", "EventTime", "date"], ["Computer", "hostname", "host"]
 FLAT = 5  # a nested object of at most this many keys is flattened
-DEPTH = 3
 
 
 def entry(key: Column, value: Column) -> Column:
@@ -37,8 +36,14 @@ def entry(key: Column, value: Column) -> Column:
 
 
 def as_map(entries: Column) -> Column:
-    """A map of entries of which a later one replaces an earlier one of its key."""
-    return F.map_from_entries(entries)
+    """A map of entries of which a later one replaces an earlier one of its key, whatever the session says of such keys."""
+
+    def made(all_: Column) -> Column:
+        keys = F.transform(all_, lambda e: e["key"])
+        last = F.filter(all_, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(F.size(keys), F.lit(1))), e["key"]))
+        return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(keys), all_).otherwise(last))
+
+    return F.get(F.transform(F.array(entries), made), F.lit(0))
 
 
 def pairs(text: Column) -> Column:
@@ -52,8 +57,9 @@ def _pair(p: Column, strip: Column) -> Column:
 
 
 def spaced_pairs(text: Column) -> Column:
-    """Entries of key=value pairs whose values may hold blanks: a value ends where the next key begins, or at a tab."""
-    parts = F.split(F.btrim(text), r"\t+|\s+(?=\w+=)")
+    """Entries of key=value pairs whose values may hold blanks: a value ends where the next key begins; where tabs stand
+    between pairs, only there."""
+    parts = F.when(F.contains(text, F.lit("\t")), F.split(F.btrim(text), r"\t+")).otherwise(F.split(F.btrim(text), r"\s+(?=\w+=)"))
     kept = F.filter(parts, lambda p: p.rlike(r"^\w+="))
     return F.transform(kept, lambda p: entry(_pair(p, F.lit(" "))["key"], F.regexp_replace(_pair(p, F.lit(" "))["value"], r"\\([=|\\])", "$1")))
 
@@ -83,23 +89,53 @@ def _with_extension(raw: Column, fmt: str) -> Column:
     return F.when(raw.rlike("(?s)" + LAYOUTS[fmt][0]), as_map(F.concat(groups(raw, LAYOUTS[fmt]), spaced_pairs(extension))))
 
 
-def _flat(fields: Column) -> Column:
-    """fields with nested objects of at most `FLAT` keys as dotted ones, one level; larger ones stay as text."""
-    nested = lambda e: F.from_json(e["value"], "map<string,string>")
-    inner = lambda e: F.when(e["value"].startswith("{"), F.transform(F.map_entries(nested(e)), lambda x: entry(F.concat(e["key"], F.lit("."), x["key"]), x["value"])))
-    opened = F.transform(F.map_entries(fields), lambda e: F.struct(e.alias("own"), inner(e).alias("inner")))
-    return as_map(F.flatten(F.transform(opened, lambda o: F.when(F.size(o["inner"]).between(1, FLAT), o["inner"]).otherwise(F.array(o["own"])))))
+def json_depth(text: Column) -> Column:
+    """How deep objects are nested in a JSON text."""
+    braces = F.split(F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\\\]++|\\\\.)*+"', ""), "[^{}]+", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def count(at: Column, c: Column) -> Column:
+        now = at["now"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(at["most"], now).alias("most"))
+
+    return F.aggregate(braces, start, count, lambda x: x["most"])
+
+
+def open_json(text: Column, limit: int | None = FLAT) -> Column:
+    """The map of a JSON object: its own keys, and nested objects' keys as dotted paths at any depth.
+
+    An object of more than `limit` keys stays one text. Objects at the top stay as text beside their parts, so that tests of
+    top keys see them. Every level is one step over the row's entries, as many as the row is deep.
+    """
+    parsed = lambda v: F.map_entries(F.from_json(v, "map<string,string>"))
+    made = lambda key, value: F.struct(key.alias("key"), value.alias("value"), F.coalesce(value.startswith("{"), F.lit(False)).alias("open"))
+    shut = lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"), F.lit(False).alias("open"))
+
+    def opened(x: Column) -> Column:
+        inner = F.transform(parsed(x["value"]), lambda c: made(F.concat(x["key"], F.lit("."), c["key"]), c["value"]))
+        fits = F.size(inner) >= 1 if limit is None else F.size(inner).between(1, limit)
+        return F.when(~x["open"], F.array(x)).when(fits & ~F.contains(x["key"], F.lit(".")), F.concat(F.array(shut(x)), inner)).when(fits, inner).otherwise(F.array(shut(x)))
+
+    first = F.transform(parsed(F.btrim(text)), lambda e: made(e["key"], e["value"]))
+    levels = F.when(text.rlike(r"[:,{]\s*\{"), json_depth(text)).otherwise(1)
+    rest = F.filter(F.sequence(F.lit(1), F.greatest(levels, F.lit(1))), lambda k: k > 1)
+    return as_map(F.transform(F.aggregate(rest, first, lambda all_, _: F.flatten(F.transform(all_, opened))), lambda x: entry(x["key"], x["value"])))
+
+
+def leaves(text: Column) -> Column:
+    """path to value of all of a JSON object's values that aren't objects, at any depth."""
+    return F.map_filter(open_json(text, None), lambda k, v: ~F.coalesce(v.startswith("{"), F.lit(False)))
 
 
 def preparse(raw: Column, fmt: Column) -> Column:
-    """The fields as the line has them; `with_fields` also opens nested ones and names time and host."""
+    """The fields as the line has them; `with_fields` also names time and host."""
     return (
         F.when(fmt == "syslog_bsd", _with_message(raw, "syslog_bsd"))
         .when(fmt == "syslog_rfc5424", _with_message(raw, "syslog_rfc5424"))
         .when(fmt == "syslog_rfc3164", _with_message(raw, "syslog_rfc3164"))
         .when(fmt == "cef", _with_extension(raw, "cef"))
         .when(fmt == "leef", _with_extension(raw, "leef"))
-        .when(fmt.isin("json", "evtx_json"), F.from_json(F.btrim(raw), "map<string,string>"))
+        .when(fmt.isin("json", "evtx_json"), open_json(raw))
         .when((fmt == "kv") & (F.regexp_count(raw, F.lit(PAIR)) >= 2), as_map(pairs(raw)))
         .when((fmt == "clf") & raw.rlike(LAYOUTS["clf"][0]), as_map(groups(raw, LAYOUTS["clf"])))
     )
@@ -109,11 +145,9 @@ def with_fields(lines: DataFrame) -> DataFrame:
     """lines(…, raw_log, log_format) with fields."""
     raw, fmt, fields = F.col("raw_log"), F.col("log_format"), F.col("fields")
     out, json = fenced(lines, fields=preparse(raw, fmt)), fmt.isin("json", "evtx_json")
-    for _ in range(DEPTH):
-        out = fenced(out, fields=F.when(json & raw.rlike(r":\s*\{"), _flat(fields)).otherwise(fields))
     at = lambda names: F.coalesce(*(F.element_at(fields, k) for k in names))
     time = F.when(json, at(TIMES)).when(fmt == "cef", at(["rt", "end"])).when(fmt == "leef", at(["devTime"]))
     host = F.when(json, at(HOSTS)).when(fmt == "cef", at(["dvchost"]))
     extra = F.array(entry(F.lit("timestamp"), time), entry(F.lit("hostname"), host))
     out = fenced(out, __extra=F.filter(extra, lambda e: e["value"].isNotNull()))
-    return fenced(out, fields=F.when((F.size("__extra") > 0) & fields.isNotNull(), F.map_concat(as_map("__extra"), fields)).otherwise(fields)).drop("__extra")
+    return fenced(out, fields=F.when((F.size("__extra") > 0) & fields.isNotNull(), as_map(F.concat("__extra", F.map_entries(fields)))).otherwise(fields)).drop("__extra")

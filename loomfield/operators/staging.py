@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A projection of hundreds of expressions makes methods that the JVM doesn't compile; beyond the limit Spark evaluates it by
-# smaller ones. Constraints inferred from such columns are as large again. Maps are built of entries in rising precedence.
-SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000", "spark.sql.mapKeyDedupPolicy": "LAST_WIN", "spark.sql.constraintPropagation.enabled": "false"}
+# smaller ones. Constraints inferred from such columns are as large again.
+SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000", "spark.sql.constraintPropagation.enabled": "false"}
 
 
 def tuned(spark: SparkSession) -> SparkSession:

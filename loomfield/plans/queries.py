@@ -435,10 +435,11 @@ def reclassify_candidates(spark, sf_dir):
 
 
 @query("route_reason", """WITH e AS (SELECT (event_id % 101) / 100.0 AS score, CASE event_id % 2 WHEN 0 THEN 3002 ELSE 4002 END AS c FROM events), t AS (SELECT score, CASE WHEN score >= 0.7 OR c = 3002 AND score >= 0.6 THEN 'security' WHEN score >= 0.3 THEN 'operational' WHEN score >= 0.1 THEN 'compliance' ELSE 'noise' END AS tier FROM e)
- SELECT tier, CASE tier WHEN 'security' THEN 'siem' WHEN 'operational' THEN 'data_lake' WHEN 'compliance' THEN 'archive' ELSE 'drop' END AS destination, printf('score %.2f: %s', score, tier) AS reason, count(*) AS n FROM t GROUP BY ALL""")
+ SELECT tier, CASE tier WHEN 'security' THEN 'detect' WHEN 'operational' THEN 'ops' WHEN 'compliance' THEN 'archive' ELSE 'drop' END AS destination, CASE tier WHEN 'security' THEN '$$$' WHEN 'operational' THEN '$' WHEN 'compliance' THEN 'cents' ELSE 'free' END AS cost,
+ printf(CASE tier WHEN 'security' THEN 'High relevance (%.2f) — security hot path' WHEN 'operational' THEN 'Moderate relevance (%.2f) — operational warm path' WHEN 'compliance' THEN 'Low relevance (%.2f) — compliance cold archive' ELSE 'Minimal relevance (%.2f) — noise, drop or sample' END, score) AS reason, count(*) AS n FROM t GROUP BY ALL""")
 def route_reason(spark, sf_dir):
     score, uid = (F.col("event_id") % 101) / 100.0, F.when(F.col("event_id") % 2 == 0, 3002).otherwise(4002)
-    return events(spark, sf_dir).select(triage.route(score, uid).alias("r")).groupBy("r.tier", "r.destination", "r.reason").agg(N())
+    return events(spark, sf_dir).select(triage.route(score, uid).alias("r")).groupBy("r.tier", "r.destination", "r.cost", "r.reason").agg(N())
 
 
 @query("accuracy_tolerant", "SELECT event_id % 4 AS kind, count(*) AS n, count(*) FILTER (event_id % 4 IN (0, 1)) AS n_same FROM events GROUP BY ALL")
