@@ -124,7 +124,7 @@ def open_json(text: Column, limit: int | None = FLAT) -> Column:
 
 def leaves(text: Column) -> Column:
     """path to value of all of a JSON object's values that aren't objects, at any depth."""
-    return F.map_filter(open_json(text, None), lambda k, v: ~F.coalesce(v.startswith("{"), F.lit(False)))
+    return F.map_filter(open_json(text, None), lambda k, v: F.from_json(F.when(v.startswith("{"), v), "map<string,string>").isNull())
 
 
 def preparse(raw: Column, fmt: Column) -> Column:

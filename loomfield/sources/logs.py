@@ -27,11 +27,30 @@ LINE = """CASE event_id % 5
   ELSE concat(src_ip, ' - ', user_name, ' [', clf, ' +0000] "GET /item/', event_id % 97, ' HTTP/1.1" ', CASE WHEN ok THEN 200 ELSE 403 END, ' ', bytes) END"""
 
 
+# Lines that are harder: nested and wide JSON, no known format, tabs in LEEF, values that can't be, too little to say.
+ODD_LINE = """CASE event_id % 6
+  WHEN 0 THEN concat('{"eventTime":"', iso, 'Z","eventName":"', operation, '","detail":{"user":{"name":"', user_name, '","role":{"id":', event_id % 9, '}},"net":{"from":{"client_ip":"', src_ip, '"}}},"wide":{"a":1,"b":2,"c":3,"d":4,"e":5,"target":"', dst_ip, '"}}')
+  WHEN 1 THEN concat('session ', event_id, ' opened for guest from ', src_ip, ' port ', src_port, ' by daemon')
+  WHEN 2 THEN concat('LEEF:1.0|Acme|Edge|2.0|', 200 + event_id % 3, '|src=', src_ip, chr(9), 'msg=login by host=web ok', chr(9), 'username=', user_name)
+  WHEN 3 THEN concat(bsd, ' ', host, ' sshd[', pid, ']: Failed password for ', user_name, ' from ', CASE WHEN event_id % 4 = 3 THEN '999.1.1.1' ELSE src_ip END, ' port ', CASE WHEN event_id % 9 = 0 THEN '99999' ELSE CAST(src_port AS STRING) END, ' ssh2')
+  WHEN 4 THEN concat('{"eventName":"ConsoleLogin"', CASE WHEN event_id % 5 = 0 THEN '' ELSE concat(',"userName":"', user_name, '"') END, ',"sourceIPAddress":"', CASE WHEN event_id % 7 = 0 THEN 'unknown' ELSE src_ip END, '","status":"', event_type, '"}')
+  ELSE 'heartbeat ok' END"""
+
+
+def render_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log_id, ts, raw_log: one of the harder lines for each event."""
+    return _rendered(spark, sf_dir, ODD_LINE)
+
+
 def render_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log_id, ts, raw_log: one line of one of five formats for each event."""
+    return _rendered(spark, sf_dir, LINE)
+
+
+def _rendered(spark: SparkSession, sf_dir: str, line: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     times = {"bsd": F.date_format("ts", "MMM dd HH:mm:ss"), "iso": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), "clf": F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss")}
-    return events.withColumns({k: F.expr(v) for k, v in FIELDS.items()} | times).select(F.col("event_id").alias("log_id"), "ts", F.expr(LINE).alias("raw_log"))
+    return events.withColumns({k: F.expr(v) for k, v in FIELDS.items()} | times).select(F.col("event_id").alias("log_id"), "ts", F.expr(line).alias("raw_log"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
