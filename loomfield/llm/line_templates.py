@@ -9,14 +9,15 @@ than `MIN_TOKENS` tokens are never dropped.
 
 A text's group is named by one of its lines: if more than `OWN` of its tokens are its own, by the least hash of those
 lines; else, as a copy whose words recur with it, by the least of its recurring templates. Tokens are a text's own if they
-stand in a line that doesn't recur, less the share of that line's `WIDTH`-word shingles that stand in recurring lines of
-any text as well (an edited line of a copy; of each line the `SHINGLES` least by hash are looked up). Two texts with more
-than a ninth of their own share less than 0.8 of their words, so they aren't near copies, and however much of them is
-boilerplate, it goes; copies, edited or not, share few names however many they are.
+stand in a line that doesn't recur. Where these are less than half of the text, such lines may also be the edited ones of a
+copy: then the share of a line's `WIDTH`-word shingles that stand in recurring lines of any text is taken off (`SHINGLES`
+of them are looked up, evenly spaced). Two texts with more than a ninth of their own share less than 0.8 of their words, so
+they aren't near copies, and however much of them is boilerplate, it goes; copies, edited or not, share few names however
+many they are.
 
 The text is read four times and shuffled at most in the last two: once for each line's hash and leaf, which need the
 line's length and its first tokens only; once for the lines of leaves with enough texts, the only ones that are masked and
-taken apart; once for the own lines of texts in which something recurs; once to leave lines out. What is dropped depends on the text alone, so texts are known by their hash, and equal
+taken apart; once for the own lines of texts that may be edited copies; once to leave lines out. What is dropped depends on the text alone, so texts are known by their hash, and equal
 texts are worked on once after the first pass. Counts are of distinct hashes and are combined before the shuffle, so one
 very common line or text is no hot key. Small results are broadcast up to `BROADCAST_ROWS`, larger ones are joined.
 
@@ -35,7 +36,7 @@ from .common import discard, documents, packed, unpacked, written
 MIN_TEXTS, MIN_TOKENS, LEADING, SIMILARITY = 10, 4, 2, 0.6
 OWN, WIDTH, SHINGLES = 1 / 9, 5, 8
 VARIABLE = "<*>"
-BROADCAST_ROWS = 50_000  # of a few longs each
+BROADCAST_ROWS, BROADCAST_KEYS = 50_000, 500_000  # of a few longs each; of one long
 
 
 def tight(line: Column) -> Column:
@@ -71,18 +72,23 @@ def _hinted(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def _shingles(tight: Column) -> Column:
-    """The hashes of a line's shingles, or of the whole of a shorter line."""
-    words = F.split(tight, " ")
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (WIDTH - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, WIDTH), " "))))
+def _shingles(tight: Column, most: int | None = None) -> Column:
+    """The hashes of a line's shingles, of all or of so many evenly spaced ones; of the whole of a shorter line."""
+
+    def made(words: Column) -> Column:
+        n = F.greatest(F.size(words) - (WIDTH - 1), F.lit(1))
+        k = n if most is None else F.least(n, F.lit(most))
+        return F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.xxhash64(F.array_join(F.slice(words, F.floor(i * n / k).cast("int") + 1, WIDTH), " ")))
+
+    return F.array_distinct(F.get(F.transform(F.array(F.split(tight, " ")), made), F.lit(0)))
 
 
 def _own_tokens(keys: DataFrame, texts: DataFrame, common: DataFrame, near: DataFrame, mixed: DataFrame) -> DataFrame:
     """text_key, own (tokens), own_key of the texts of mixed(text_key), once words of their lines that recur elsewhere are taken off."""
-    wanted = _hinted(mixed)
+    wanted = F.broadcast(mixed) if mixed.count() <= BROADCAST_KEYS else mixed
     some = texts.withColumn("text_key", text_hash(F.col("text"))).join(wanted, "text_key", "left_semi")
     lines = _lines(some.select("text")).join(_hinted(common.select("raw_key")), "raw_key", "left_anti").groupBy("raw_key").agg(F.first("tight").alias("tight"))
-    sketch = lines.select("raw_key", F.explode(F.slice(F.array_sort(_shingles(F.col("tight"))), 1, SHINGLES)).alias("shingle"))
+    sketch = lines.select("raw_key", F.explode(_shingles(F.col("tight"), SHINGLES)).alias("shingle"))
     recurs = written(near.join(_hinted(common.select("raw_key")), "raw_key", "left_semi").select(F.explode(_shingles(F.col("tight"))).alias("shingle")).distinct())
     share = sketch.join(_hinted(recurs.withColumn("known", F.lit(1.0))), "shingle", "left").groupBy("raw_key").agg(F.avg(F.coalesce("known", F.lit(0.0))).alias("known"))
     share = written(share.where("known > 0"))
@@ -116,12 +122,12 @@ def recurring_lines(keys: DataFrame, texts: DataFrame, min_texts: int = MIN_TEXT
     in_line = F.col("template").isNull()
     of_text = keys.join(_hinted(common), "raw_key", "left").groupBy("text_key").agg(
         F.sum("tokens").alias("tokens"), F.sum(F.when(in_line, F.col("tokens")).otherwise(0)).alias("apart"),
-        F.min("template").alias("common_key"), F.collect_set("template").alias("templates"),
+        F.min(F.when(in_line, F.col("raw_key"))).alias("line_key"), F.min("template").alias("common_key"), F.collect_set("template").alias("templates"),
     )
     of_text = written(of_text.where("common_key is not null"))
-    own = _own_tokens(keys, texts, common, near, of_text.where(F.col("apart") > OWN * F.col("tokens")).select("text_key"))
+    own = _own_tokens(keys, texts, common, near, of_text.where((F.col("apart") > OWN * F.col("tokens")) & (2 * F.col("apart") < F.col("tokens"))).select("text_key"))
     # A text of which more than OWN is its own, but no line for the larger part, is named by itself.
-    group = F.when(F.col("own") > OWN * F.col("tokens"), F.coalesce("own_key", "text_key")).otherwise(F.col("common_key"))
+    group = F.when(2 * F.col("apart") >= F.col("tokens"), F.col("line_key")).when(F.col("own") > OWN * F.col("tokens"), F.coalesce("own_key", "text_key")).otherwise(F.col("common_key"))
     groups = of_text.join(own, "text_key", "left").select(group.alias("group"), F.explode("templates").alias("template")).groupBy("template").agg(F.count_distinct("group").alias("n"))
     drop = written(common.join(groups.where(F.col("n") >= min_texts), "template").select("raw_key").distinct())
     discard(common, near, of_text, own)
