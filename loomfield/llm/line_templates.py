@@ -19,7 +19,8 @@ The text is read four times and shuffled at most in the last two: once for each
 line's length and its first tokens only; once for the lines of leaves with enough texts, the only ones that are masked and
 taken apart; once for the own lines of texts that may be edited copies; once to leave lines out. What is dropped depends on the text alone, so texts are known by their hash, and equal
 texts are worked on once after the first pass. Counts are of distinct hashes and are combined before the shuffle, so one
-very common line or text is no hot key. Small results are broadcast up to `BROADCAST_ROWS`, larger ones are joined.
+very common line or text is no hot key. Small results are broadcast up to `BROADCAST_ROWS` or `BROADCAST_KEYS`, larger ones are
+joined.
 
 Null text has no lines and stays null. Empty text has one line without tokens. Rows are judged by their text, so null or
 repeated doc_ids are no special case and tied rows fare alike; repeated rows and copies count as one text. Very long texts
@@ -36,7 +37,7 @@ from .common import discard, documents, packed, unpacked, written
 MIN_TEXTS, MIN_TOKENS, LEADING, SIMILARITY = 10, 4, 2, 0.6
 OWN, WIDTH, SHINGLES = 1 / 9, 5, 8
 VARIABLE = "<*>"
-BROADCAST_ROWS, BROADCAST_KEYS = 50_000, 500_000  # of a few longs each; of one long
+BROADCAST_ROWS, BROADCAST_KEYS = 200_000, 500_000  # of a few longs each; of one long, or of one and some places
 
 
 def tight(line: Column) -> Column:
@@ -146,7 +147,7 @@ def strip_templates(docs: DataFrame, min_texts: int = MIN_TEXTS, similarity: flo
     every = F.split("text", "\n")
     left = F.array_join(F.filter(every, lambda x, i: ~F.array_contains("gone", i)), "\n")
     rows = docs.select(packed(docs.columns).alias("doc"), F.col("text").alias("text"), text_hash(F.col("text")).alias("text_key"))
-    return rows.join(F.broadcast(gone) if lines + places <= BROADCAST_ROWS else gone, "text_key", "left").select(
+    return rows.join(F.broadcast(gone) if lines + places <= BROADCAST_KEYS else gone, "text_key", "left").select(
         "doc",
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(every)).cast("long").alias("n_lines"),
