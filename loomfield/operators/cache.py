@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import saved
 from .learn import fingerprint
 from .preparse import as_map, entry, leaves
 from .rules import best_rows
@@ -49,6 +50,7 @@ def learn(events: DataFrame, cache: DataFrame, time: str, order: str, valid: Col
         keys_of(F.col("raw_log")).alias("fingerprint"), F.col("class_uid").cast("int").alias("class_uid"), "class_name", "event", "raw_log",
         F.col(time).cast("timestamp").cast("double").alias("at"), F.col(order).alias("ord"), valid.alias("valid"),
     ).where("fingerprint IS NOT NULL AND event IS NOT NULL")
+    own = saved(own)  # read several times below, and joined by what was computed
     key = ["fingerprint", "class_uid"]
     counts = own.groupBy(*key).agg(F.count(F.lit(1)).alias("hits"), F.count_if("valid").alias("passes"), F.count_if(~F.col("valid")).alias("fails"), F.min("at").alias("created"), F.max("at").alias("last_hit"))
     fresh = own.join(F.broadcast(cache.select(*key)), key, "left_anti")

@@ -38,10 +38,11 @@ def with_format(logs: DataFrame) -> DataFrame:
 
 
 def aliased(fields: Column, aliases: dict[str, str] = ALIASES) -> Column:
-    """(key, value) entries, by path, of the fields whose names are known; the first in order of field name comes last."""
+    """(key, value) entries, by path, of the fields whose names, or else their last parts, are known; the first in order of
+    field name comes last."""
     table = F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair))
     plain = F.filter(F.map_entries(fields), lambda e: ~F.coalesce(e["value"].startswith("{"), F.lit(False)))  # objects speak through their parts
-    made = F.transform(F.reverse(F.array_sort(plain)), lambda e: entry(F.element_at(table, e["key"]), e["value"]))
+    made = F.transform(F.reverse(F.array_sort(plain)), lambda e: entry(F.coalesce(F.element_at(table, e["key"]), F.element_at(table, F.substring_index(e["key"], ".", -1))), e["value"]))
     return F.filter(made, lambda e: e["key"].isNotNull())
 
 

@@ -1,18 +1,22 @@
 """Class schemas as a table; validation with types, and repairs that are taken only if errors fall.
 
-The table has a row for each class and attribute. It is folded to a row for each class (some hundred) and broadcast; an
-event is then checked within its row, without being taken apart. Events are maps of dotted path to text, so an attribute is
+The table has a row for each class and attribute: a few thousand, at most `MOST`. It goes into the plan as one constant, and an
+event is checked within its row, without a join and without being taken apart. Events are maps of dotted path to text, so an attribute is
 there if a path begins with its name, and a type is what the text can be read as.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import coerce
 from .preparse import as_map, entry
+from .staging import fenced
 
+MOST = 100_000
 TABLE = "class_uid int, class_name string, name string, type string, requirement string"
 # Attributes that any class may have.
 BASE = [
@@ -70,15 +74,22 @@ def validate(events: DataFrame, schemas: DataFrame, strict: bool = False, fix: b
     Repairs: class_uid and category_uid that are required and missing; values whose type doesn't fit but that speak for one
     of it. A null class_uid is an error of its own. Attributes without a name don't count.
     """
-    spec = F.filter(F.sort_array(F.collect_list(F.struct("name", "type", "requirement"))), lambda a: a["name"].isNotNull())
-    table = schemas.groupBy("class_uid").agg(spec.alias("__spec"))  # a row for each class
-    out = events.join(F.broadcast(table), "class_uid", "left").select(*(F.col(f"`{c}`") for c in events.columns), "__spec")
+    rows = schemas.orderBy("class_uid", "name").limit(MOST + 1).collect()
+    if len(rows) > MOST:
+        raise ValueError(f"more than {MOST} attributes of classes")
+    classes: dict[int, list[dict]] = {}
+    for r in rows:
+        own = classes.setdefault(r["class_uid"], [])
+        if r["name"] is not None:
+            own.append({k: r[k] for k in ("name", "type", "requirement")})
+    table = F.from_json(F.lit(json.dumps(classes)), "map<string,array<struct<name:string,type:string,requirement:string>>>")
+    out = fenced(events, __spec=F.element_at(table, F.col("class_uid").cast("string")))
     uid = F.coalesce(F.col("class_uid"), F.lit(0))
     absent = F.array(_problem(F.lit("class_uid"), "missing_required", F.lit("No class_uid in event and none provided")))
 
     def judged(df: DataFrame, event: str, prefix: str) -> DataFrame:
         errors, warnings, coverage = _checked(F.col(event), uid, F.col("__spec"), strict)
-        return df.withColumns({f"{prefix}errors": F.when(F.col("class_uid").isNull(), absent).otherwise(errors), f"{prefix}warnings": warnings, f"{prefix}coverage": coverage})
+        return fenced(df, **{f"{prefix}errors": F.when(F.col("class_uid").isNull(), absent).otherwise(errors), f"{prefix}warnings": warnings, f"{prefix}coverage": coverage})
 
     out = judged(out, "event", "")
     if fix:
@@ -87,7 +98,7 @@ def validate(events: DataFrame, schemas: DataFrame, strict: bool = False, fix: b
         bad = F.filter(F.col("errors"), lambda e: e["error_type"] == "wrong_type")
         kind = lambda name: F.get(F.filter(F.col("__spec"), lambda a: a["name"] == name), F.lit(0))["type"]
         typed = F.filter(F.transform(bad, lambda e: entry(e["field"], repaired(F.element_at(F.col("event"), e["field"]), kind(e["field"])))), lambda e: e["value"].isNotNull())
-        out = judged(out.withColumn("__fixed", as_map(F.concat(F.map_entries("event"), meta, typed))), "__fixed", "__")
+        out = judged(fenced(out, __fixed=as_map(F.concat(F.map_entries("event"), meta, typed))), "__fixed", "__")
         better = F.coalesce(F.size("__errors") < F.size("errors"), F.lit(False))
         out = out.withColumn("fixed", better).withColumns({"event": F.when(F.col("fixed"), F.col("__fixed")).otherwise(F.col("event"))} | {c: F.when(F.col("fixed"), F.col(f"__{c}")).otherwise(F.col(c)) for c in ("errors", "warnings", "coverage")})
         out = out.drop("__fixed", "__errors", "__warnings", "__coverage")

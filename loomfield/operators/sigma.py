@@ -165,7 +165,7 @@ def alerts(events: DataFrame, rules: list[Rule], time: str, order: str, value: C
     pick = lambda get: F.element_at(F.array(*(get(r) for r in rules)), F.col("__rule") + 1)
     texts = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
     if not rules:
-        rules, events = [Rule("", "", "", "")], events.where("false")
+        rules, events = [Rule("", "", "", "", {}, {"none": {}, "condition": "none"})], events.where("false")
     own = events.withColumn("__rule", F.explode(matched(rules, F.col("class_uid"), value, semantics)))
     seen = F.transform(observables(F.col("event")), lambda o: F.struct(o["name"].alias("name"), o["type"].alias("type"), o["value"].alias("value")))
     more = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(kind).alias("type"), value(name).cast("string").alias("value")) for name, kind in (("src_endpoint.ip", "IP Address"), ("user.name", "User Name"))))

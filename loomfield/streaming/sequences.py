@@ -79,6 +79,7 @@ class SequenceProcessor(StatefulProcessor):
 
 def alert_stream(events: DataFrame, patterns: list[Sequence], time: str, order: str, value=of_event, late: str = "1 minute") -> DataFrame:
     """The alerts of a stream of events, as `alerts` gives them for a table with evict."""
+    events = events.withColumn(time, F.col(time).cast("timestamp"))
     rows = correlated(events.withWatermark(time, late), patterns, time, order, value).where("mask > 0").withColumn("key", F.to_json("key"))  # a state's key is a plain value
     bounds = [(len(p.steps), float(p.window_seconds)) for p in patterns]
     found = rows.groupBy("pattern", "key").transformWithStateInPandas(SequenceProcessor(bounds), ALERT.replace("array<string>", "string", 1), "append", "eventTime")
