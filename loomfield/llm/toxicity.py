@@ -5,7 +5,8 @@ and fixed inputs: its own class log-odds and, for n-grams of each length in `GRA
 on the other parts of the sample than the text's own, so that they mean the same as in a new text).
 Every text is cut into windows of `WINDOW` words, a new one each `STRIDE` words, to its end; the network scores all of
 them, and the text's score is that of its highest window. Training is by hand in numpy (back-propagation through time,
-Adam): each epoch takes the windows that score highest now, as a toxic text needs one toxic window and a clean one none.
+Adam): each epoch takes the windows that score highest now, as a toxic text needs one toxic window and a clean one none. Parts are dealt at random within each class; small samples
+get more epochs, so that the number of steps is at least `STEPS`.
 
 Fitting uses at most `MAX_ROWS` labelled rows, of at most `MAX_CHARS` characters each (see `labelled.sample`), on the
 driver; scoring is one map over all whole texts, with a model of fixed size broadcast. Inputs are the text alone.
@@ -31,7 +32,7 @@ GRAMS = (4, 6, 8)  # bytes, with a mark before and behind the word
 LOW = (1 << LEARNED_BITS) - 1
 FIXED = 1 + len(GRAMS)
 INPUTS = 2 * LEARNED + FIXED
-EPOCHS, BATCH, RATE, PARTS, DROP = 5, 64, 0.01, 4, 0.9
+EPOCHS, STEPS, BATCH, RATE, PARTS, DROP = 5, 300, 64, 0.01, 4, 0.9  # at least so many epochs, and so many batches in all
 THRESHOLD = 0.5
 
 
@@ -179,8 +180,8 @@ def backward(model: dict[str, np.ndarray], inputs: np.ndarray, tape: dict, d_log
 class _Odds:
     """Smoothed log-odds of toxic texts for each bucket, by the number of texts that hold it."""
 
-    def __init__(self, labels: np.ndarray):
-        self.labels, self.part = labels, np.arange(len(labels)) % PARTS
+    def __init__(self, labels: np.ndarray, part: np.ndarray):
+        self.labels, self.part = labels, part
         self.count = np.zeros((PARTS, 2, 1 << BITS), np.float32)
 
     def add(self, bucket: np.ndarray, text: np.ndarray) -> None:
@@ -205,7 +206,11 @@ def fit(texts: list[str], labels: np.ndarray, share: float, seed: int = 11) -> d
         model["out"][:], model["shift"][0] = 0, np.log((share + 1e-3) / (1 - share + 1e-3)) if len(labels) else 0
         return model
     words = Words(pa.array(texts, pa.string()))
-    word_odds, gram_odds = _Odds(labels), _Odds(labels)
+    part = np.zeros(len(labels), np.int64)
+    for value in (0, 1):  # each class over all parts, whatever the order of the rows
+        own = rng.permutation(np.flatnonzero(labels == value))
+        part[own] = np.arange(len(own)) % PARTS
+    word_odds, gram_odds = _Odds(labels, part), _Odds(labels, part)
     for i in range(0, len(texts), 100):  # a few texts at a time
         lo, hi = words.first[i], words.first[min(i + 100, len(texts))]
         text = np.searchsorted(words.first, np.arange(lo, hi), "right") - 1
@@ -218,12 +223,13 @@ def fit(texts: list[str], labels: np.ndarray, share: float, seed: int = 11) -> d
             inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             grams.append(gram[np.repeat(first_gram[word], n) + inner]), holders.append(np.repeat(text, n))
         gram_odds.add(np.concatenate(grams), np.concatenate(holders))
-    n_words, part_of = len(words.bucket), words.window_text % PARTS
+    n_words, part_of = len(words.bucket), part[words.window_text]
     trained = [k for k in model if k not in ("word_odds", "gram_odds", "shift")]
     first, second = ({k: np.zeros_like(model[k]) for k in trained} for _ in range(2))
     step, live = 0, np.arange(WINDOW)
     seen = np.stack([words.inputs(model | {"word_odds": word_odds.seen_from(c), "gram_odds": gram_odds.seen_from(c)}) for c in range(PARTS)])
-    for epoch in range(EPOCHS):
+    chosen_rows = len(labels) + 2 * int((labels == 0).sum())
+    for epoch in range(max(EPOCHS, -(-STEPS * BATCH // chosen_rows))):
         learned = words.inputs(model)[:, : 2 * LEARNED]
         score = np.zeros(len(part_of), np.float32)
         for c in range(PARTS):
