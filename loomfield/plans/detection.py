@@ -187,13 +187,13 @@ def template_clusters(spark, sf_dir):
     return templates.mine(render_logs(spark, sf_dir), "log_id").select("template", "cluster_size")
 
 
-@query("template_slot_fields", f"WITH {EV} SELECT event_id AS log_id, src_ip, src_port::VARCHAR AS src_port, CASE WHEN event_id BETWEEN 1024 AND 65535 THEN event_id::VARCHAR END AS number FROM ev WHERE event_id % 6 = 1")
+@query("template_slot_fields", f"WITH {EV} SELECT event_id AS log_id, src_ip, src_port::VARCHAR AS src_port FROM ev WHERE event_id % 6 = 1")
 def template_slot_fields(spark, sf_dir):
-    """Slots of lines of no known format: the address after `from`, the port after `port`; the session's number has no path but a count."""
+    """Slots of lines of no known format: the address after `from`, the port after `port`, though the session's number may look like one."""
     logs = render_odd(spark, sf_dir)
     own = templates.extract(logs, templates.mine(logs, "log_id")).where("raw_log LIKE 'session %'")
     at = lambda k: F.element_at("template_fields", k)
-    return own.select("log_id", at("src_endpoint.ip").alias("src_ip"), at("src_endpoint.port").alias("src_port"), F.when(F.col("log_id").between(1024, 65535), F.col("log_id").cast("string")).alias("number"))
+    return own.select("log_id", at("src_endpoint.ip").alias("src_ip"), at("src_endpoint.port").alias("src_port"))
 
 
 @query("cache_field_maps", f"""WITH {EV}, e AS (SELECT *, {CLASS}::INT AS class_uid FROM ev WHERE event_id % 5 = 2) SELECT 'bytes|eventName|eventTime|severity|sourceIPAddress|userName' AS fingerprint, class_uid,
