@@ -277,11 +277,32 @@ def fit(texts: list[str], labels: np.ndarray, share: float, seed: int = 11) -> d
                 first[k] = 0.9 * first[k] + 0.1 * g[k]
                 second[k] = 0.999 * second[k] + 0.001 * g[k] * g[k]
                 model[k] = (model[k] - RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
-    model["word_odds"], model["gram_odds"], mean = word_odds.seen_from(None), gram_odds.seen_from(None), labels.mean()
-    model["shift"][0] = np.log(max(share, 1e-4) / max(1 - share, 1e-4)) - np.log(mean / (1 - mean))
+    score = np.zeros(len(part_of), np.float32)
+    learned = words.inputs(model)[:, : 2 * LEARNED]
+    for c in range(PARTS):
+        seen[c][:, : 2 * LEARNED] = learned
+        own = np.flatnonzero(part_of == c)
+        score[own] = logits(model, words, seen[c], own)
+    best = np.maximum.reduceat(score, words.window_first[:-1]).astype(np.float64)
+    model["shift"][0] = _shift(best, labels, share)
+    model["word_odds"], model["gram_odds"] = word_odds.seen_from(None), gram_odds.seen_from(None)
     return model
 
 
+def _shift(best: np.ndarray, labels: np.ndarray, share: float) -> float:
+    """What to add to texts' logits so that their mean probability is the toxic share, each class weighted as it is in all rows."""
+    mean = labels.mean()
+    weight = np.where(labels == 1, share / mean, (1 - share) / (1 - mean))
+    low, high = -20.0, 20.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        if (weight / (1 + np.exp(-np.clip(best + middle, -30, 30)))).sum() < share * len(labels):
+            low = middle
+        else:
+            high = middle
+    return middle
+
+
 def logits(model: dict[str, np.ndarray], words: Words, inputs: np.ndarray, windows: np.ndarray | None = None, most: int = 8_192) -> np.ndarray:
     windows = np.arange(len(words.window_at)) if windows is None else windows
     out = np.zeros(len(windows), np.float32)
