@@ -6,12 +6,14 @@ from __future__ import annotations
 import yaml
 from pyspark.sql import functions as F
 
+from ..functions import network
 from ..operators import cache as caches
 from ..operators import schemas, sequences, sigma, templates
 from ..operators.cascade import cascade
 from ..operators.normalize import normalize
+from ..sources import columns
 from ..sources.logs import ODD_LINE, render_logs, render_odd
-from ..sources.shared import shared_dir
+from ..sources.shared import saved, shared_dir
 from ..streaming import sequences as streams
 from .queries import CLASS, EV, N, events, normalized, parsed, query, value
 
@@ -225,3 +227,31 @@ def cached_events(spark, sf_dir):
     return out.select("log_id", "cached", at("user").alias("user_name"), F.nullif(at("src_endpoint.ip"), F.lit("unknown")).alias("src_ip"))
 
 
+
+
+NETWORKS = [("10.0.0.0/8", "all"), ("10.0.0.0/10", "low"), ("10.7.0.0/16", "seven"), ("10.7.128.0/17", "seven high"), ("2001:db8::/32", "documentation"), ("not a network", "none")]
+
+
+@query("network_longest_prefix", f"WITH {EV}, e AS (SELECT CASE WHEN event_id % 10 = 9 THEN 'documentation' WHEN user_id % 200 = 7 AND event_id % 250 >= 128 THEN 'seven high' WHEN user_id % 200 = 7 THEN 'seven' WHEN user_id % 200 < 64 THEN 'low' ELSE 'all' END AS label FROM ev) SELECT label, count(*) AS n FROM e GROUP BY ALL")
+def network_longest_prefix(spark, sf_dir):
+    address = F.when(F.col("event_id") % 10 == 9, F.concat(F.lit("2001:db8::"), F.lower(F.hex("user_id")))).otherwise(F.col("src_ip"))
+    rows = events(spark, sf_dir).select(address.alias("address"))
+    return network.with_network(rows, "address", spark.createDataFrame(NETWORKS, "cidr string, label string")).groupBy("label").agg(N())
+
+
+@query("ip_keys", f"WITH {EV} SELECT event_id, CASE WHEN event_id % 2 = 0 THEN concat('20010db8', repeat('0', 16), lpad(printf('%x', user_id), 4, '0'), lpad(printf('%x', event_id % 65536), 4, '0')) WHEN event_id % 7 = 0 THEN NULL ELSE concat(repeat('0', 20), 'ffff', printf('%02x%02x%02x%02x', 10::BIGINT, user_id % 200, event_id % 250, 1 + user_id % 250)) END AS ip FROM ev")
+def ip_keys(spark, sf_dir):
+    six = F.concat(F.lit("[2001:DB8::"), F.hex("user_id"), F.lit(":"), F.hex(F.col("event_id") % 65536), F.lit("]"))
+    address = F.when(F.col("event_id") % 2 == 0, six).when(F.col("event_id") % 7 == 0, F.concat("src_ip", F.lit(".1"))).otherwise(F.col("src_ip"))
+    return events(spark, sf_dir).select("event_id", network.ip_key(address).alias("ip"))
+
+
+@query("parquet_columns", f"WITH {EV} SELECT event_id % 6 AS kind, count(*) AS n, count(*) FILTER (event_id % 6 = 3 OR event_id % 6 = 4 AND event_id % 5 > 0) AS n_user, count(*) FILTER (event_id % 6 = 0 OR event_id % 6 = 3 AND event_id % 4 <> 3 OR event_id % 6 = 4 AND event_id % 7 <> 0) AS n_src_ip FROM ev GROUP BY ALL")
+def parquet_columns(spark, sf_dir):
+    """Two batches with different keys, appended with columns of their own and read back as one table."""
+    path = shared_dir(spark)
+    odd = normalize(render_odd(spark, sf_dir)).select("log_id", "event")
+    for part in ("log_id % 6 < 2", "log_id % 6 >= 2"):
+        columns.append_columns(saved(odd.where(part)), path)
+    own = columns.read_columns(spark, path)
+    return own.groupBy((F.col("log_id") % 6).alias("kind")).agg(N(), F.count("`user`").alias("n_user"), F.count("`src_endpoint.ip`").alias("n_src_ip"))

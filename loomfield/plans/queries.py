@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import coerce
-from ..operators import rules, triage
+from ..operators import monitors, rules, triage
 from ..operators.detect_format import detect_format
 from ..operators.learn import fingerprints, learned_fields, mask_templates
 from ..operators.normalize import json_key_patterns, normalize, with_format
@@ -385,11 +385,11 @@ def error_rate_threshold(spark, sf_dir):
     return events(spark, sf_dir).groupBy("user_id").agg(rate.alias("r")).where("r > 0.05").select("user_id", F.round("r", 6).alias("rate"))
 
 
-@query("issue_dedup", "SELECT event_id, user_id, event_type FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS p FROM events) WHERE p IS NULL OR ts - p > INTERVAL '24 hours'")
+@query("issue_dedup", """WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events),
+ st AS (SELECT user_id, event_type, rn, event_id, ts AS last, TRUE AS raised FROM o WHERE rn = 1 UNION ALL SELECT o.user_id, o.event_type, o.rn, o.event_id, CASE WHEN o.ts - s.last > INTERVAL 24 HOURS THEN o.ts ELSE s.last END, o.ts - s.last > INTERVAL 24 HOURS
+ FROM st s JOIN o ON o.user_id = s.user_id AND o.event_type = s.event_type AND o.rn = s.rn + 1) SELECT event_id, user_id, event_type FROM st WHERE raised""")
 def issue_dedup(spark, sf_dir):
-    before = F.lag("ts").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
-    own = events(spark, sf_dir).withColumn("p", before)
-    return own.where("p is null or ts - p > interval '24' hour").select("event_id", "user_id", "event_type")
+    return monitors.raised(events(spark, sf_dir), ["user_id", "event_type"], "ts", "event_id", 86_400).select("event_id", "user_id", "event_type")
 
 
 @query("stratified_caps", f"WITH {EV}, e AS (SELECT event_id, {CLASS} AS c, {KIND} AS f FROM ev), a AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY md5(event_id::VARCHAR)) AS r FROM e QUALIFY r <= 10) SELECT event_id AS log_id FROM a QUALIFY row_number() OVER (PARTITION BY f ORDER BY md5(event_id::VARCHAR)) <= 5")

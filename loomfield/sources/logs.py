@@ -30,7 +30,7 @@ LINE = """CASE event_id % 5
 # Lines that are harder: nested and wide JSON, no known format, tabs in LEEF, values that can't be, too little to say.
 ODD_LINE = """CASE event_id % 6
   WHEN 0 THEN concat('{"eventTime":"', iso, 'Z","eventName":"', operation, '","detail":{"user":{"name":"', user_name, '","role":{"id":', event_id % 9, '}},"net":{"from":{"client_ip":"', src_ip, '"}}},"wide":{"a":1,"b":2,"c":3,"d":4,"e":5,"target":"', dst_ip, '"}}')
-  WHEN 1 THEN concat('session ', event_id, ' opened for guest from ', src_ip, ' port ', src_port, ' by daemon')
+  WHEN 1 THEN concat('session ', event_id, ' opened for guest from ', src_ip, ' port ', src_port, ' on /run/', pid, ' by daemon')
   WHEN 2 THEN concat('LEEF:1.0|Acme|Edge|2.0|', 200 + event_id % 3, '|src=', src_ip, chr(9), 'msg=login by host=web ok', chr(9), 'username=', user_name)
   WHEN 3 THEN concat(bsd, ' ', host, ' sshd[', pid, ']: Failed password for ', user_name, ' from ', CASE WHEN event_id % 4 = 3 THEN '999.1.1.1' ELSE src_ip END, ' port ', CASE WHEN event_id % 9 = 0 THEN '99999' ELSE CAST(src_port AS STRING) END, ' ssh2')
   WHEN 4 THEN concat('{"eventName":"ConsoleLogin"', CASE WHEN event_id % 5 = 0 THEN '' ELSE concat(',"userName":"', user_name, '"') END, ',"sourceIPAddress":"', CASE WHEN event_id % 7 = 0 THEN 'unknown' ELSE src_ip END, '","status":"', event_type, '"}')
