@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import network
 from ..operators import cache as caches
-from ..operators import schemas, sequences, sigma, templates
+from ..operators import golden, schemas, sequences, sigma, templates
 from ..operators.cascade import cascade
 from ..operators.normalize import normalize
 from ..sources import columns
@@ -255,3 +255,18 @@ def parquet_columns(spark, sf_dir):
         columns.append_columns(saved(odd.where(part)), path)
     own = columns.read_columns(spark, path)
     return own.groupBy((F.col("log_id") % 6).alias("kind")).agg(N(), F.count("`user`").alias("n_user"), F.count("`src_endpoint.ip`").alias("n_src_ip"))
+
+
+@query("golden_rejections", f"""WITH {ODD.replace("WITH ", "")}, known AS (SELECT DISTINCT raw_log FROM odd WHERE event_id % 60 IN (3, 4)), e AS (SELECT o.*, event_id % 6 AS k, o.raw_log IN (SELECT raw_log FROM known) AS old FROM odd o WHERE event_id % 6 IN (3, 4)),
+ r AS (SELECT k, CASE WHEN k = 3 AND event_id % 4 = 3 AND event_id % 9 = 0 OR k = 4 AND (event_id % 7 = 0 OR event_id % 5 = 0) THEN 'schema' WHEN old THEN 'known' ELSE 'golden' END AS verdict FROM e) SELECT k AS kind, verdict, count(*) AS n FROM r GROUP BY ALL""")
+def golden_rejections(spark, sf_dir):
+    logs, table = render_odd(spark, sf_dir), spark.createDataFrame(SCHEMAS, schemas.TABLE)
+    found = golden.candidates(normalize(logs).where("pattern IS NOT NULL"), table, logs.where("log_id % 60 IN (3, 4)"))
+    return found.groupBy((F.col("log_id") % 6).alias("kind"), F.coalesce("rejected", F.lit("golden")).alias("verdict")).agg(N())
+
+
+@query("invented_values", f"WITH {EV} SELECT event_id % 6 AS kind, count(*) AS n, count(*) FILTER (event_id % 6 = 3) AS n_status FROM ev WHERE event_id % 6 IN (3, 4) GROUP BY ALL")
+def invented_values(spark, sf_dir):
+    """`Failure` is a pattern's fixed value that its lines don't say; all other values stand in their lines."""
+    own = golden.invented(normalize(render_odd(spark, sf_dir)).where("pattern IS NOT NULL"))
+    return own.groupBy((F.col("log_id") % 6).alias("kind")).agg(N(), F.count_if(F.map_contains_key("invented", "status") & (F.size("invented") == 1)).alias("n_status"))
