@@ -12,6 +12,7 @@ import glob
 import json
 import os
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, SparkSession
@@ -73,10 +74,10 @@ class Library:
     def __init__(self, patterns: list[Pattern]):
         self.patterns = sorted((p for p in patterns if p.admitted()), key=lambda p: -p.specificity)
 
-    def choose(self, raw: Column, log_format: Column, fields: Column) -> Column:
-        """The number of the first pattern that fits, by the line's format."""
+    def choose(self, raw: Column, log_format: Column, fields: Column, formats: Iterable[str] | None = None) -> Column:
+        """The number of the first pattern that fits, by the line's format; formats: those that occur, where they are known."""
         out = None
-        for fmt in sorted({f for p in self.patterns for f in p.formats}):
+        for fmt in sorted({f for p in self.patterns for f in p.formats if formats is None or f in formats}):
             own = None
             for k, p in enumerate(self.patterns):
                 if fmt in p.formats:

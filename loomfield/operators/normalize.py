@@ -6,6 +6,8 @@ An event is a map of dotted path to text, with its class, activity, status and s
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,16 +48,21 @@ def aliased(fields: Column, aliases: dict[str, str] = ALIASES) -> Column:
     return F.filter(made, lambda e: e["key"].isNotNull())
 
 
-def normalize(logs: DataFrame, library: Library | None = None, fallback: int = 3) -> DataFrame:
+def normalize(logs: DataFrame, library: Library | None = None, fallback: int = 3, where: Column | None = None, formats: Iterable[str] | None = None) -> DataFrame:
     """logs(…, raw_log) with log_format, fields, pattern, class_uid, class_name, event, confidence and hot columns.
 
     The library's best pattern decides the class. Its fields come first, then its fixed values, then fields with known names;
     a line without a pattern is taken from names alone if at least `fallback` are known.
+
+    Filters of the result don't pass the steps below. What is known before goes in here: `where`, of columns of logs, reaches
+    the scan; of `formats` alone the lines are parsed, and only their parsers and patterns are in the plan.
     """
     library = library or DEFAULT
     raw, fields, none = F.col("raw_log"), F.col("fields"), F.array().cast(ENTRIES)
-    out = with_fields(with_format(logs))
-    out = fenced(out, pattern_no=library.choose(raw, F.col("log_format"), fields))
+    formats = None if formats is None else set(formats)
+    out = with_format(logs if where is None else logs.where(where))
+    out = with_fields(out if formats is None else out.where(F.col("log_format").isin(*sorted(formats))), formats)
+    out = fenced(out, pattern_no=library.choose(raw, F.col("log_format"), fields, formats))
     row = F.col("__row")
     out = fenced(out, __row=library.row(F.col("pattern_no")))
     out = fenced(out, pattern=row["pattern"], by_pattern=F.coalesce(extracted(raw, fields, row), none), by_alias=F.coalesce(aliased(fields), none))

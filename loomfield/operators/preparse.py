@@ -6,6 +6,8 @@ an underscore are header parts; `timestamp` and `hostname` are set where the for
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,24 +129,26 @@ def leaves(text: Column) -> Column:
     return F.map_filter(open_json(text, None), lambda k, v: F.from_json(F.when(v.startswith("{"), v), "map<string,string>").isNull())
 
 
-def preparse(raw: Column, fmt: Column) -> Column:
-    """The fields as the line has them; `with_fields` also names time and host."""
-    return (
-        F.when(fmt == "syslog_bsd", _with_message(raw, "syslog_bsd"))
-        .when(fmt == "syslog_rfc5424", _with_message(raw, "syslog_rfc5424"))
-        .when(fmt == "syslog_rfc3164", _with_message(raw, "syslog_rfc3164"))
-        .when(fmt == "cef", _with_extension(raw, "cef"))
-        .when(fmt == "leef", _with_extension(raw, "leef"))
-        .when(fmt.isin("json", "evtx_json"), open_json(raw))
-        .when((fmt == "kv") & (F.regexp_count(raw, F.lit(PAIR)) >= 2), as_map(pairs(raw)))
-        .when((fmt == "clf") & raw.rlike(LAYOUTS["clf"][0]), as_map(groups(raw, LAYOUTS["clf"])))
-    )
+def preparse(raw: Column, fmt: Column, formats: Iterable[str] | None = None) -> Column:
+    """The fields as the line has them; `with_fields` also names time and host. formats: those that occur, where they are known."""
+    parsers = {name: (fmt == name, make(raw, name)) for name, make in (("syslog_bsd", _with_message), ("syslog_rfc5424", _with_message), ("syslog_rfc3164", _with_message), ("cef", _with_extension), ("leef", _with_extension))}
+    parsers |= {name: (fmt == name, open_json(raw)) for name in ("json", "evtx_json")}
+    parsers["kv"] = ((fmt == "kv") & (F.regexp_count(raw, F.lit(PAIR)) >= 2), as_map(pairs(raw)))
+    parsers["clf"] = ((fmt == "clf") & raw.rlike(LAYOUTS["clf"][0]), as_map(groups(raw, LAYOUTS["clf"])))
+    if formats is None or {"json", "evtx_json"} <= set(formats):  # one branch for both
+        parsers |= {"json": (fmt.isin("json", "evtx_json"), open_json(raw))}
+        del parsers["evtx_json"]
+    out = F.when(F.lit(False), F.create_map().cast("map<string,string>"))
+    for name, (test, fields) in parsers.items():
+        if formats is None or name in formats:
+            out = out.when(test, fields)
+    return out
 
 
-def with_fields(lines: DataFrame) -> DataFrame:
+def with_fields(lines: DataFrame, formats: Iterable[str] | None = None) -> DataFrame:
     """lines(…, raw_log, log_format) with fields."""
     raw, fmt, fields = F.col("raw_log"), F.col("log_format"), F.col("fields")
-    out, json = fenced(lines, fields=preparse(raw, fmt)), fmt.isin("json", "evtx_json")
+    out, json = fenced(lines, fields=preparse(raw, fmt, formats)), fmt.isin("json", "evtx_json")
     at = lambda names: F.coalesce(*(F.element_at(fields, k) for k in names))
     time = F.when(json, at(TIMES)).when(fmt == "cef", at(["rt", "end"])).when(fmt == "leef", at(["devTime"]))
     host = F.when(json, at(HOSTS)).when(fmt == "cef", at(["dvchost"]))

@@ -201,7 +201,7 @@ def template_slot_fields(spark, sf_dir):
 @query("cache_field_maps", f"""WITH {EV}, e AS (SELECT *, {CLASS}::INT AS class_uid FROM ev WHERE event_id % 5 = 2) SELECT 'bytes|eventName|eventTime|severity|sourceIPAddress|userName' AS fingerprint, class_uid,
  'bytes=traffic.bytes,eventName=api.operation,eventTime=time,severity=severity,sourceIPAddress=src_endpoint.ip,userName=user' AS field_map, count(*) AS hits, count(*) FILTER (ok) AS passes FROM e GROUP BY ALL""")
 def cache_field_maps(spark, sf_dir):
-    own = normalized(spark, sf_dir).where("log_format = 'json'").join(events(spark, sf_dir).select(F.col("event_id").alias("log_id"), "ok"), "log_id")
+    own = normalized(spark, sf_dir, "json").join(events(spark, sf_dir).select(F.col("event_id").alias("log_id"), "ok"), "log_id")
     learned = caches.learn(own, caches.empty(spark), "ts", "log_id", F.col("ok"))
     pairs = F.array_join(F.transform(F.array_sort(F.map_entries("field_map")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
     return learned.select("fingerprint", "class_uid", pairs.alias("field_map"), "hits", "passes")

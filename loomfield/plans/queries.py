@@ -45,11 +45,11 @@ def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parsed(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
-    return detected(spark, sf_dir).where(F.col("log_format") == fmt).transform(with_fields)
+    return with_fields(detected(spark, sf_dir).where(F.col("log_format") == fmt), [fmt])
 
 
-def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize(render_logs(spark, sf_dir))
+def normalized(spark: SparkSession, sf_dir: str, *formats: str) -> DataFrame:
+    return normalize(render_logs(spark, sf_dir), formats=formats or None)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def N():
 
 @query("auth_security_by_source", f"WITH {EV} SELECT src_ip, user_name, count(*) AS n_events, sum(CASE WHEN ok THEN 0 ELSE 1 END)::BIGINT AS n_failed FROM ev WHERE event_id % 5 = 0 GROUP BY ALL")
 def auth_security_by_source(spark, sf_dir):
-    scored = rules.relevance(normalized(spark, sf_dir).where("pattern in ('sshd_accepted', 'sshd_failed')"))
+    scored = rules.relevance(normalized(spark, sf_dir, "syslog_bsd").where("pattern in ('sshd_accepted', 'sshd_failed')"))
     own = scored.where(rules.tier(F.col("score"), F.col("class_uid")) == "security")
     return own.groupBy(value("src_endpoint.ip").alias("src_ip"), value("user").alias("user_name")).agg(F.count(F.lit(1)).alias("n_events"), F.count_if(F.col("status_id") == 2).alias("n_failed"))
 
@@ -129,12 +129,12 @@ def pattern_json_division(spark, sf_dir):
 
 @query("normalize_auth", f"WITH {EV} SELECT event_id AS log_id, user_name, src_ip, CASE WHEN ok THEN 'Success' ELSE 'Failure' END AS status, {SEVERITY}::INT AS severity_id FROM ev WHERE event_id % 5 = 0")
 def normalize_auth(spark, sf_dir):
-    return normalized(spark, sf_dir).where("log_format = 'syslog_bsd'").select("log_id", value("user").alias("user_name"), value("src_endpoint.ip").alias("src_ip"), value("status").alias("status"), "severity_id")
+    return normalized(spark, sf_dir, "syslog_bsd").select("log_id", value("user").alias("user_name"), value("src_endpoint.ip").alias("src_ip"), value("status").alias("status"), "severity_id")
 
 
 @query("normalize_json_alias", f"WITH {EV} SELECT event_id AS log_id, src_ip, user_name, operation, severity_name AS severity FROM ev WHERE event_id % 5 = 2")
 def normalize_json_alias(spark, sf_dir):
-    return normalized(spark, sf_dir).where("log_format = 'json'").select("log_id", value("src_endpoint.ip").alias("src_ip"), value("actor.user.name").alias("user_name"), value("api.operation").alias("operation"), value("severity").alias("severity"))
+    return normalized(spark, sf_dir, "json").select("log_id", value("src_endpoint.ip").alias("src_ip"), value("actor.user.name").alias("user_name"), value("api.operation").alias("operation"), value("severity").alias("severity"))
 
 
 @query("coerce_ip_port", f"WITH {EV} SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE src_ip END AS ip, CASE WHEN event_id % 7 = 0 THEN NULL ELSE src_port::INT END AS port FROM ev")
@@ -270,7 +270,7 @@ query("sequence_window_expiry", _sequence_sql(86400))(_sequence(86400))
 
 @query("fingerprint_templates", f"WITH {EV} SELECT 'bytes|eventName|eventTime|severity|sourceIPAddress|userName' AS fingerprint, {CLASS}::INT AS class_uid, count(*) AS hits, least(count(*) / 10.0, 1.0)::DOUBLE AS confidence, count(*) >= 8 AS promotable FROM ev WHERE event_id % 5 = 2 GROUP BY ALL")
 def fingerprint_templates(spark, sf_dir):
-    return fingerprints(normalized(spark, sf_dir).where("log_format = 'json'"), F.lit(True)).select("fingerprint", "class_uid", "hits", "confidence", "promotable")
+    return fingerprints(normalized(spark, sf_dir, "json"), F.lit(True)).select("fingerprint", "class_uid", "hits", "confidence", "promotable")
 
 
 @query("template_mask", f"WITH {LINES}, m AS (SELECT regexp_replace(raw_log, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS template FROM lines) SELECT template, count(*) AS cluster_size FROM m GROUP BY ALL HAVING count(*) >= 2")

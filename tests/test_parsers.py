@@ -53,3 +53,19 @@ def test_library_from_yaml(spark, tmp_path):
     got = {r["id"]: r for r in normalize(spark.createDataFrame(logs, "id int, raw_log string"), library).select("id", "pattern", "class_uid", "class_name", "severity_id", F.element_at("event", "job.name").alias("job")).collect()}
     assert (got[1]["pattern"], got[1]["class_uid"], got[1]["class_name"], got[1]["severity_id"], got[1]["job"]) == ("job_done", 1006, "Scheduled Job Activity", 4, "backup")
     assert got[2]["severity_id"] == 1 and got[3]["pattern"] is None and got[3]["class_uid"] == 0
+
+
+def test_what_is_known_before_reaches_the_scan(spark, tmp_path):
+    """A filter of raw columns is pushed to the files; lines of other formats, their parsers and patterns aren't touched."""
+    from loomfield.operators.normalize import normalize
+
+    path = str(tmp_path / "logs")
+    lines = [(1, "Feb  2 04:05:06 h sshd[4]: Failed password for ann from 10.0.0.1 port 22 ssh2"), (2, '{"eventName":"ConsoleLogin","userName":"bob"}'), (2, "Feb  2 04:05:06 h sshd[4]: Accepted password for eve from 10.0.0.2 port 23 ssh2")]
+    spark.createDataFrame(lines, "day int, raw_log string").write.parquet(path)
+    logs = spark.read.parquet(path)
+    some = normalize(logs, where=F.col("day") == 2, formats=["syslog_bsd"])
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(day,2)" in plan and "from_json(" not in plan.replace("from_json([", "")
+    assert [(r["event"]["user"], r["pattern"]) for r in some.collect()] == [("eve", "sshd_accepted")]
+    every = normalize(logs).select("day", "pattern", "event").collect()
+    assert sorted((r["day"], r["event"]["user"]) for r in every) == [(1, "ann"), (2, "bob"), (2, "eve")]
