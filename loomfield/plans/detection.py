@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import network
 from ..operators import cache as caches
-from ..operators import golden, schemas, sequences, sigma, templates
+from ..operators import evaluate, golden, schemas, sequences, sigma, templates
 from ..operators.cascade import cascade
 from ..operators.normalize import normalize
 from ..sources import columns
@@ -270,3 +270,27 @@ def invented_values(spark, sf_dir):
     """`Failure` is a pattern's fixed value that its lines don't say; all other values stand in their lines."""
     own = golden.invented(normalize(render_odd(spark, sf_dir)).where("pattern IS NOT NULL"))
     return own.groupBy((F.col("log_id") % 6).alias("kind")).agg(N(), F.count_if(F.map_contains_key("invented", "status") & (F.size("invented") == 1)).alias("n_status"))
+
+
+def _odd_compared(spark, sf_dir):
+    """The users and addresses that the odd lines were rendered with, against what their events have."""
+    logs = render_odd(spark, sf_dir)
+    got = saved(normalize(logs).select("log_id", "event"))
+    truth = events(spark, sf_dir).where("event_id % 6 IN (3, 4)").select(F.col("event_id").alias("log_id"), F.create_map(F.lit("user"), F.col("user_name"), F.lit("src_endpoint.ip"), F.col("src_ip")).alias("expected"))
+    return evaluate.compared(got, truth, "log_id")
+
+
+@query("accuracy_odd_lines", f"WITH {EV}, o AS (SELECT * FROM ev WHERE event_id % 6 IN (3, 4)) SELECT event_id % 6 AS kind, 'user' AS path, count(*) AS n, count(*) FILTER (event_id % 6 = 3 OR event_id % 5 > 0) AS n_same FROM o GROUP BY ALL UNION ALL SELECT event_id % 6, 'src_endpoint.ip', count(*), count(*) FILTER (CASE event_id % 6 WHEN 3 THEN event_id % 4 <> 3 ELSE event_id % 7 <> 0 END) FROM o GROUP BY ALL")
+def accuracy_odd_lines(spark, sf_dir):
+    return _odd_compared(spark, sf_dir).groupBy((F.col("log_id") % 6).alias("kind"), "path").agg(N(), F.count_if("same").alias("n_same"))
+
+
+@query("accuracy_worst_paths", f"WITH {EV}, o AS (SELECT * FROM ev WHERE event_id % 6 IN (3, 4)), w AS (SELECT 'user' AS path, user_name AS v FROM o WHERE event_id % 6 = 4 AND event_id % 5 = 0 UNION ALL SELECT 'src_endpoint.ip', src_ip FROM o WHERE CASE event_id % 6 WHEN 3 THEN event_id % 4 = 3 ELSE event_id % 7 = 0 END) SELECT path, count(*) AS mismatches, min(v) AS first_example FROM w GROUP BY ALL")
+def accuracy_worst_paths(spark, sf_dir):
+    _, worst = evaluate.accuracy(_odd_compared(spark, sf_dir))
+    return worst.select("path", F.col("mismatches").cast("long").alias("mismatches"), F.col("examples")[0]["expected"].alias("first_example"))
+
+
+@query("observables_ratio", f"WITH {EV}, e AS (SELECT CASE event_id % 5 WHEN 0 THEN 7 WHEN 1 THEN 4 WHEN 2 THEN 3 ELSE 4 END AS eligible, CASE event_id % 5 WHEN 0 THEN 6 WHEN 1 THEN CASE WHEN src_port = dst_port THEN 3 ELSE 4 END WHEN 2 THEN 2 ELSE 3 END AS built FROM ev) SELECT sum(eligible)::BIGINT AS eligible, sum(built)::BIGINT AS built, round(100.0 * sum(built) / sum(eligible), 6)::DOUBLE AS score FROM e")
+def observables_ratio(spark, sf_dir):
+    return evaluate.observables_score(normalized(spark, sf_dir)).withColumn("score", F.round("score", 6))
