@@ -10,6 +10,7 @@ Between the stitches the pre-tokens are merged by rank; a task remembers pre-tok
 Decoding concatenates the raw bytes of the ids.
 
 Null text is the empty text: no tokens. Documents are encoded row by row, so null or repeated ids are no special case.
+Empty table: empty result. Extra columns are carried in `doc` or `row`, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ size; with more than one block the documents are scanned once for each and the s
 
 Windows are `WIDTH` consecutive words of an item; an item of fewer words, but not none, is one window. Null text has no
 words. A null item_id counts as the empty string; repeated item_ids count once. An empty benchmark hits nothing.
-Documents are judged row by row, so null or repeated doc_ids are no special case.
+Documents are judged row by row, so null or repeated doc_ids are no special case and tied rows fare alike.
+Very long texts are searched whole. Empty table: empty result. Extra columns are carried in `doc`, whatever their names.
 """
 
 from __future__ import annotations

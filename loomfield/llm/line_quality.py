@@ -12,7 +12,8 @@ they are broadcast if at most `BROADCAST_LINES`, else joined to the documents by
 
 Null text: no words, base_failed, not kept. Null host: a host of its own. Null or repeated doc_id: every row is
 judged by its own text, repeated rows alike. Empty table: empty result. Extra columns are left out of the verdicts and
-kept by `clean`.
+kept by `clean`, whatever their names. Very long texts are taken whole. Ties: a line that stands first in several texts of
+one hash stands in equal texts, which all keep it.
 """
 
 from __future__ import annotations

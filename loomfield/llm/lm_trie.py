@@ -21,6 +21,7 @@ in a broadcast of at most 4 * shards entries. Word identity is a 64-bit hash; a
 
 Null text: the empty text, one end. Null doc_id: its remainder is that of the empty text. Repeated rows count, and are
 scored, each. No training texts: c is 0 everywhere, N = V = 0.
+Very long texts are scored whole. Empty table: empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -26,6 +26,8 @@ into parts, and each pair of parts is a shard of its own.
 
 Null text: no words. No words: fingerprint zero, linked like any other. Equal fingerprints are one node, so copies never
 meet in pairs. Null doc_id: the row is in its group, and the least known id names it (null where none is known).
+Repeated rows are copies. Very long texts are taken whole. Empty table: empty result. Extra columns are kept by `dedup`,
+whatever their names, and ignored elsewhere.
 """
 
 from __future__ import annotations

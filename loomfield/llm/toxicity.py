@@ -5,14 +5,15 @@ and fixed inputs: its own class log-odds and, for n-grams of each length in `GRA
 on the other parts of the sample than the text's own, so that they mean the same as in a new text).
 Every text is cut into windows of `WINDOW` words, a new one each `STRIDE` words, to its end; the network scores all of
 them, and the text's score is that of its highest window. Training is by hand in numpy (back-propagation through time,
-Adam): each epoch takes the windows that score highest now, as a toxic text needs one toxic window and a clean one none. Parts are dealt at random within each class; small samples
-get more epochs, so that the number of steps is at least `STEPS`.
+Adam): each epoch takes the windows that score highest now, as a toxic text needs one toxic window and a clean one none.
+Parts are dealt at random within each class; small samples get more epochs, so that there are at least `STEPS` steps.
 
 Fitting uses at most `MAX_ROWS` labelled rows, of at most `MAX_CHARS` characters each (see `labelled.sample`), on the
 driver; scoring is one map over all whole texts, with a model of fixed size broadcast. Inputs are the text alone.
 
 Empty or null text: one window without words. No labels of one class: every score is that class's absence (0.5 where
 there are no labels). Null doc_id counts as the empty text for the fold. Repeated rows are scored alike.
+Very long texts are scored in all their windows. Empty table: empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
