@@ -1,6 +1,9 @@
 """Sequences: batch against a plain machine of its rules, stream against batch, eviction, restart."""
 
+import itertools
 import json
+import os
+import time
 from datetime import UTC, datetime, timedelta
 
 import numpy as np
@@ -79,8 +82,13 @@ def test_built_in_brute_force(spark):
     assert S.alerts(events, S.built_in(), "ts", "event_id").isEmpty()
 
 
+_CLOCK = itertools.count(int(time.time()) - 10_000)
+
+
 def _write(folder, name, rows):
+    """Files arrive in the order of their times, which must differ."""
     (folder / name).write_text("\n".join(json.dumps({"event_id": r[0], "ts": r[1] and r[1].isoformat(), "who": r[2], "where": r[3], "kind": r[4]}) for r in rows))
+    os.utime(folder / name, (now := next(_CLOCK), now))
 
 
 def _run(spark, tmp_path):
