@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rules import ABSENT, OBSERVABLES, best_rows, observables
+from .rules import ABSENT, best_rows, observable_type, observables
 from .triage import same_value
 
 GATE, TOP, EXAMPLES, SAMPLE, DISAGREE = 0.3, 10, 3, 500, 5
@@ -57,8 +57,7 @@ def suspected_labels(pairs: DataFrame, on: str, most: int = SAMPLE, disagree: in
 
 def observables_score(events: DataFrame) -> DataFrame:
     """eligible (present observable paths), built (after removing repeats), score of events(event)."""
-    paths = F.array(*map(F.lit, OBSERVABLES))
-    eligible = F.size(F.map_filter("event", lambda k, v: F.array_contains(paths, k) & ~v.isin(ABSENT)))
+    eligible = F.size(F.map_filter("event", lambda k, v: observable_type(k).isNotNull() & ~v.isin(ABSENT)))
     out = events.select(eligible.alias("e"), F.size(observables(F.col("event"))).alias("b")).agg(F.coalesce(F.sum("e"), F.lit(0)).alias("eligible"), F.coalesce(F.sum("b"), F.lit(0)).alias("built"))
     return out.withColumn("score", F.when(F.col("eligible") > 0, 100 * F.col("built") / F.col("eligible")).otherwise(0.0))
 

@@ -72,20 +72,38 @@ def validate(events: DataFrame) -> DataFrame:
     return out.withColumn("valid", F.size("missing") == 0).withColumn("coverage", F.when(F.size(every) > 0, F.size(F.array_intersect(every, paths)) / F.size(every)).otherwise(0.0))
 
 
-# Observable types by path, and by the path's end where the path isn't listed.
-OBSERVABLES = {
-    "src_endpoint.ip": (2, "IP Address"), "dst_endpoint.ip": (2, "IP Address"), "device.ip": (2, "IP Address"), "device.hostname": (1, "Hostname"), "query.hostname": (1, "Hostname"),
-    "src_endpoint.port": (11, "Port"), "dst_endpoint.port": (11, "Port"), "user": (4, "User Name"), "actor.user.name": (4, "User Name"), "process.name": (9, "Process Name"),
-    "process.pid": (15, "Process ID"), "process.cmd_line": (13, "Command Line"), "file.path": (7, "File Name"), "http_request.url.path": (6, "URL String"), "email.from": (5, "Email Address"),
+# Observable types (number, name) with their paths; the types of other paths by their ends, the first that fits.
+OBSERVABLE_TYPES = {
+    (2, "IP Address"): ["src_endpoint.ip", "dst_endpoint.ip", "device.ip"],
+    (1, "Hostname"): ["device.hostname", "src_endpoint.hostname", "dst_endpoint.hostname", "query.hostname", "http_request.url.hostname"],
+    (11, "Port"): ["src_endpoint.port", "dst_endpoint.port"], (4, "User Name"): ["user", "actor.user.name"], (10, "Resource UID"): ["actor.user.uid", "session.uid", "finding_info.uid", "metadata.uid"],
+    (9, "Process Name"): ["process.name", "process.parent_process.name"], (15, "Process ID"): ["process.pid", "process.parent_process.pid"], (13, "Command Line"): ["process.cmd_line"],
+    (7, "File Name"): ["process.file.path", "file.name", "file.path"], (8, "Hash"): ["file.hashes.value"], (6, "URL String"): ["http_request.url.path"], (16, "HTTP User-Agent"): ["http_request.user_agent"],
+    (3, "MAC Address"): ["device.mac", "src_endpoint.mac"], (5, "Email Address"): ["email.from", "email.to"],
 }
-ABSENT = ["", "None", "unknown", "null"]
+ENDS = {".ip": (2, "IP Address"), ".hostname": (1, "Hostname"), ".port": (11, "Port"), ".mac": (3, "MAC Address"), ".name": (9, "Process Name"), ".pid": (15, "Process ID"), ".cmd_line": (13, "Command Line"), ".path": (7, "File Name"), ".user_agent": (16, "HTTP User-Agent")}
+ABSENT = ["", "None", "unknown", "null", "0"]
+# Paths that are never observables.
+EXCLUDED = [
+    "class_uid", "class_name", "category_uid", "category_name", "activity_id", "activity_name", "severity_id", "severity", "type_uid", "type_name", "status_id", "status", "message", "raw_data",
+    "time", "start_time", "end_time", "metadata.version", "metadata.product.name", "metadata.product.vendor_name", "metadata.event_code", "metadata.logged_time",
+]
+
+
+def observable_type(path: Column) -> Column:
+    """(type_id, type) of a path; null if it is no observable."""
+    table = {p: t for t, paths in OBSERVABLE_TYPES.items() for p in paths}
+    made = lambda t: F.struct(F.lit(t[0]).alias("type_id"), F.lit(t[1]).alias("type"))
+    known = F.element_at(F.create_map(*(x for p, t in table.items() for x in (F.lit(p), made(t)))), path)
+    by_end = F.coalesce(*(F.when(path.endswith(end), made(t)) for end, t in ENDS.items()))
+    return F.when(path.isin(EXCLUDED), None).otherwise(F.coalesce(known, by_end))
 
 
 def observables(event: Column) -> Column:
     """(name, type_id, type, value) of an event map's observable paths in path order, each (type_id, value) once."""
-    ids, names = (F.create_map(*(F.lit(x) for k, v in OBSERVABLES.items() for x in (k, v[i]))) for i in (0, 1))
-    known = F.filter(F.array_sort(F.map_entries(event)), lambda e: F.map_contains_key(ids, e["key"]) & ~e["value"].isin(ABSENT))
-    made = F.transform(known, lambda e: F.struct(e["key"].alias("name"), F.element_at(ids, e["key"]).alias("type_id"), F.element_at(names, e["key"]).alias("type"), e["value"].alias("value")))
+    named = F.transform(F.array_sort(F.map_entries(event)), lambda e: F.struct(e["key"].alias("name"), observable_type(e["key"]).alias("t"), e["value"].alias("value")))
+    known = F.filter(named, lambda x: x["t"].isNotNull() & ~x["value"].isin(ABSENT))
+    made = F.transform(known, lambda x: F.struct(x["name"].alias("name"), x["t"]["type_id"].alias("type_id"), x["t"]["type"].alias("type"), x["value"].alias("value")))
     return F.filter(made, lambda x, i: ~F.exists(F.slice(made, 1, i), lambda y: (y["type_id"] == x["type_id"]) & (y["value"] == x["value"])))
 
 

@@ -36,3 +36,15 @@ def test_scores(spark):
     stats = cache.stats(spark.createDataFrame(rows, cache.COLUMNS), 10, 4)
     one = evaluate.cache_quality(stats).first()
     assert (one["size"], one["promotable"], one["misses"]) == (3, 2, 6) and one["score"] == round(40 * 0.4 + 30 * 0.3 + 30 * 2 / 3, 1)
+
+
+def test_observable_types(spark):
+    """Listed paths, ends of others, excluded ones, repeats of a value by type."""
+    from loomfield.operators import rules
+
+    event = {"src_endpoint.ip": "1.1.1.1", "nat.ip": "1.1.1.1", "other.ip": "2.2.2.2", "app.name": "sshd", "metadata.product.name": "x", "query.hostname": "h", "proxy.hostname": "0", "session.uid": "s", "plain": "v", "file.name": "f", "x.user_agent": "ua"}
+    row = spark.createDataFrame([(event,), (None,)], "event map<string,string>").select(rules.observables(F.col("event")).alias("o")).collect()
+    assert [(o["name"], o["type_id"], o["type"]) for o in row[0]["o"]] == [
+        ("app.name", 9, "Process Name"), ("file.name", 7, "File Name"), ("nat.ip", 2, "IP Address"), ("other.ip", 2, "IP Address"), ("query.hostname", 1, "Hostname"), ("session.uid", 10, "Resource UID"), ("x.user_agent", 16, "HTTP User-Agent"),
+    ]
+    assert not row[1]["o"]
