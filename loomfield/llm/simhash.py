@@ -6,8 +6,10 @@ grows one BK-tree of its fingerprints: a node's children are keyed by their inte
 at distance d from a node follows only the edges d - radius .. d + radius. Each fingerprint is searched before it is
 added; of the nodes within the radius it is linked to one of each group not linked with it yet, so that a shard of n
 fingerprints reports at most n - 1 links. That is enough where being within the radius is the link itself. Where links
-are verified afterwards (near-duplicates by Jaccard similarity), a forest would hide a true partner behind a false one,
-and a radius of a fifth of the bits prunes no edge: there shards report pairs, in rounds (`verified_components`).
+are verified afterwards (near-duplicates by Jaccard similarity), spanning links would hide a true partner behind a false
+one: there the same trees, grown and searched for many shards at a time (`Forest`), give all pairs within the radius, and
+shards report them in rounds (`verified_components`). A radius of a fifth of the bits prunes what is far from a group of
+near copies for them, and the group for others, but no unrelated text for another.
 
 Which fingerprints meet in a shard:
 
@@ -33,7 +35,7 @@ whatever their names, and ignored elsewhere.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -53,6 +55,7 @@ WIDTH, WORDS, SURE, RADIUS, SIMILARITY = 5, 8, 61, 96, 0.8
 LARGEST_NEAR = 16_384
 BANDS, KEY_BITS, FLIPS = 8, 12, 2  # a band for each word of the fingerprint
 FIRST_PAIRS = 8  # of a node in a shard, in the first round
+HELD = 1 << 22  # a batch's shards may have half as many pairs for those found to be held between the two uses of them
 BROADCAST_ROWS = 2_000_000  # row numbers of 8 bytes
 BROADCAST_PAIRS = 400_000  # of four longs
 
@@ -202,37 +205,84 @@ def links_in_shards(keyed: DataFrame, radius: int, by_flips: bool) -> DataFrame:
     return found if more is None else found.unionByName(more)
 
 
-def _distances(prints: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    d = np.zeros((len(rows), len(prints)), np.uint16)
-    for k in range(prints.shape[1]):
-        d += np.bitwise_count(rows[:, k, None] ^ prints[None, :, k])
-    return d
+class Forest:
+    """BK-trees of long fingerprints, one a shard, grown and searched for all shards of a batch at a time: the trees that `Tree` grows.
 
+    prints: a row for each word, a column for each fingerprint; columns edge[k]:edge[k + 1] are shard k. A shard's last column is
+    added first: a fingerprint is searched before it is added, so a column's search meets later ones only. The edges of all trees
+    are one sorted array of parent and distance. `looked` counts the distances that searches took.
+    """
+
+    def __init__(self, prints: np.ndarray, edge: np.ndarray):
+        self.prints, self.edge, self.step, self.looked = np.ascontiguousarray(prints), edge, 128 * len(prints), 0
+        self.last = np.repeat(edge[1:] - 1, np.diff(edge))
+        at = np.flatnonzero(np.arange(len(self.last)) < self.last)[::-1]
+        below, edges, kids = self.last[at], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while len(at):  # a level: of those at a parent's distance the first to come is its child, the others go on below it
+            found, first, of = np.unique(below * self.step + self.distances(at, below), return_index=True, return_inverse=True)
+            edges.append(found)
+            kids.append(at[first])
+            below = at[first][of]
+            at, below = at[at != below], below[at != below]
+        order = np.argsort(np.concatenate(edges))
+        self.edges, self.kids = np.concatenate(edges)[order], np.concatenate(kids)[order]
+        self.inner = np.zeros(len(self.last), bool)
+        self.inner[self.edges // self.step] = True
+
+    def distances(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), np.int64)
+        for i in range(0, len(x), 1 << 14):
+            for word in self.prints:
+                out[i : i + (1 << 14)] += np.bitwise_count(word[x[i : i + (1 << 14)]] ^ word[y[i : i + (1 << 14)]])
+        return out
+
+    def within(self, radius: int, shards: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(x, y, distance) of the pairs within radius, x before y, all of an x in one block; of all shards or those marked."""
+        sizes = np.diff(self.edge)
+        own = np.repeat(sizes, sizes)
+        todo = np.flatnonzero((np.arange(len(own)) < self.last) & (True if shards is None else np.repeat(shards, sizes)))
+        block = np.cumsum(own[todo]) >> 16
+        for x in np.split(todo, np.flatnonzero(np.diff(block)) + 1):
+            yield self._search(x, radius)
+
+    def _search(self, x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        y, out = self.last[x], [(x[:0], x[:0], x[:0].astype(np.int16))]
+        while len(x):  # a level: edges outside distance ± radius can't lead to one within radius
+            d = self.distances(x, y)
+            self.looked += len(d)
+            near, on = d <= radius, self.inner[y]
+            out.append((x[near], y[near], d[near].astype(np.int16)))
+            x, y, d = x[on], y[on] * self.step, d[on]
+            first = np.searchsorted(self.edges, y + np.maximum(d - radius, 0))
+            many = np.searchsorted(self.edges, y + np.minimum(d + radius, self.step - 1), "right") - first
+            x, y = np.repeat(x, many), self.kids[np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())]
+            x, y = x[y > x], y[y > x]
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def merged(labels: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """labels, each the first row of its row's component, after the links (x, y) too."""
+    while (apart := labels[x] != labels[y]).any():
+        x, y, labels = x[apart], y[apart], labels.copy()
+        np.minimum.at(labels, np.maximum(labels[x], labels[y]), np.minimum(labels[x], labels[y]))
+        while (labels[labels] != labels).any():
+            labels = labels[labels]
+    return labels
 
-def sure_labels(prints: np.ndarray, sure: int) -> np.ndarray:
-    """The first node of each node's component, where nodes within `sure` bits are linked."""
-    n = len(prints)
+
+def sure_labels(n: int, blocks: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], sure: int) -> np.ndarray:
+    """The first row of each of n rows' components, where rows within `sure` bits are linked."""
     labels = np.arange(n)
-    if n <= 1024:
-        near = _distances(prints, prints) <= sure
-        while True:
-            least = np.where(near, labels, n).min(1)
-            if (least == labels).all():
-                return labels
-            labels = least
-    todo = np.ones(n, bool)
-    for first in range(n):
-        if todo[first]:
-            todo[first], stack = False, [first]
-            while stack:
-                met = np.flatnonzero(todo)
-                met = met[(_distances(prints[met], prints[stack[-64:]]) <= sure).any(0)]
-                del stack[-64:]
-                todo[met], labels[met] = False, first
-                stack += met.tolist()
+    for x, y, d in blocks:
+        labels = merged(labels, x[d <= sure], y[d <= sure])
     return labels
 
 
+def _several(groups: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Whether a shard holds rows of several groups."""
+    return np.minimum.reduceat(groups, edge[:-1]) != np.maximum.reduceat(groups, edge[:-1])
+
+
 def _home(low: np.ndarray, high: np.ndarray, low_flips: np.ndarray, high_flips: np.ndarray) -> np.ndarray:
     """The one key, of those that two nodes share, in whose shard their pair counts; -1 if they share none. Of each node its
     key and the bits that may be flipped, a column for each band; low is the node with the lesser number."""
@@ -243,33 +293,32 @@ def _home(low: np.ndarray, high: np.ndarray, low_flips: np.ndarray, high_flips:
     return np.where(shared.any(1), (band.astype(np.int64) << 48) | value, -1)
 
 
-def near_pairs(own: int, nodes: np.ndarray, prints: np.ndarray, flips: np.ndarray, groups: np.ndarray, sure: int, radius: int, ranks: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(a, b, more): the pairs of key `own` above sure and within radius bits whose groups differ, of each node those of its
-    pairs with later nodes that stand in ranks (first, end) by distance; whether any node has further ones. prints, flips: a row of words for each node."""
-    a, b, more, step = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], False, max(1, (1 << 20) // len(nodes))
-    keys = (prints >> U64(64 - KEY_BITS)).astype(np.uint16)
-    for i in range(0, len(nodes), step):
-        d = _distances(prints, prints[i : i + step])
-        x, y = np.nonzero((d > sure) & (d <= radius) & (nodes[i : i + step, None] < nodes))
-        d = d[x, y]
-        x += i
-        here = _home(keys[x], keys[y], flips[x], flips[y]) == own
+def near_pairs(blocks: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], owns: np.ndarray, keys: np.ndarray, flips: np.ndarray, groups: np.ndarray, sure: int, ranks: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, more): of the pairs in blocks those above sure bits whose groups differ and that count in the shard of key `own`, of
+    each row those of its pairs with later rows that stand in ranks (first, end) by distance; the rows that have further ones."""
+    a, b, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for x, y, d in blocks:
+        x, y, d = x[d > sure], y[d > sure], d[d > sure]
+        here = _home(keys[x], keys[y], flips[x], flips[y]) == owns[x]
         x, y, d = x[here], y[here], d[here]
-        order = np.lexsort((nodes[y], d, x))
+        order = np.lexsort((y, d, x))
         x, y = x[order], y[order]
         rank = np.arange(len(x)) - np.searchsorted(x, x)
         apart = groups[x] != groups[y]
-        more |= bool((apart & (rank >= ranks[1])).any())
+        more.append(x[apart & (rank >= ranks[1])])
         take = apart & (rank >= ranks[0]) & (rank < ranks[1])
-        a.append(nodes[x[take]])
-        b.append(nodes[y[take]])
-    return np.concatenate(a), np.concatenate(b), more
+        a.append(x[take])
+        b.append(y[take])
+    return np.concatenate(a), np.concatenate(b), np.concatenate(more)
 
 
 def _near_of_partition(radius: int, sure: int, ranks: tuple[int, int]):
-    """Rows (key, own, node, fp, root) come sorted by key. Out: a, b, sure of links within `sure` bits, of which a task reports a
+    """Rows (key, own, node, fp, root) come sorted by key, then node. Out: a, b, sure of links within `sure` bits, of which a task reports a
     forest, and of pairs within radius between their components; of a shard that has more of those its key and nulls."""
 
+    def edges_of(keys: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+
     def run(batches):
         above: dict[int, int] = {}  # of the nodes that the task has linked so far
 
@@ -279,37 +328,30 @@ def _near_of_partition(radius: int, sure: int, ranks: tuple[int, int]):
             return x
 
         def batch_of(keys: np.ndarray, owns: np.ndarray, nodes: np.ndarray, fps: list[bytes], roots: np.ndarray) -> pa.RecordBatch:
-            data = np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1)
-            prints, flips = data[:, : -2 * BANDS].copy().view(">u8").astype(U64), data[:, -2 * BANDS :].copy().view("<u2")
-            edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
-            left, right, again, links = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], []
-            for i, j in zip(edge[:-1], edge[1:], strict=True):
-                if j - i > 1 and (roots[i:j] != roots[i]).any():
-                    own, groups = nodes[i:j], roots[i:j].copy()
-                    labels = sure_labels(prints[i:j], sure)
-                    for x, y in zip(own.tolist(), own[labels].tolist(), strict=True):
-                        if x != y and (u := find(x)) != (v := find(y)):
-                            above[u] = v
-                            links.append((x, y))
-                    if (labels != np.arange(j - i)).any():  # a component may join several roots, and a root several components
-                        joined = {}
-
-                        def top(x):
-                            while (y := joined.get(x, x)) != x:
-                                x = y
-                            return x
-
-                        for x, y in zip(groups.tolist(), groups[labels].tolist(), strict=True):
-                            if (u := top(x)) != (v := top(y)):
-                                joined[u] = v
-                        groups = np.array([top(x) for x in groups.tolist()], np.int64)
-                    x, y, more = near_pairs(int(owns[i]), own, prints[i:j], flips[i:j], groups, sure, radius, ranks)
-                    left.append(x)
-                    right.append(y)
-                    again += [int(keys[i])] * more
-            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
+            data, edge = np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), edges_of(keys)
+            open_ = np.repeat(_several(roots, edge), np.diff(edge))
+            data, keys, owns, nodes, roots = (x[open_] for x in (data, keys, owns, nodes, roots))
+            links, pairs, again = [], np.zeros((2, 0), np.int64), np.zeros(0, np.int64)
+            if len(keys):
+                prints, flips, edge = data[:, : -2 * BANDS].copy().view(">u8").astype(U64), data[:, -2 * BANDS :].copy().view("<u2"), edges_of(keys)
+                forest = Forest(prints.T, edge)
+                if (np.diff(edge) ** 2).sum() <= HELD:  # searched once
+                    near = list(forest.within(radius))
+                    labels = sure_labels(len(nodes), near, sure)
+                else:
+                    near, labels = None, sure_labels(len(nodes), forest.within(sure), sure)
+                rows = np.flatnonzero(labels != np.arange(len(labels)))
+                for x, y in zip(nodes[rows].tolist(), nodes[labels[rows]].tolist(), strict=True):
+                    if (u := find(x)) != (v := find(y)):
+                        above[u] = v
+                        links.append((x, y))
+                _, first, of = np.unique(roots, return_index=True, return_inverse=True)
+                groups = merged(labels, np.arange(len(roots)), first[of])  # a component may join several roots, and a root several components
+                blocks = near or forest.within(radius, _several(groups, edge))
+                x, y, more = near_pairs(blocks, owns, (prints >> U64(64 - KEY_BITS)).astype(np.uint16), flips, groups, sure, ranks)
+                pairs, again = np.unique(np.stack([nodes[x], nodes[y]]), axis=1), np.unique(keys[more])
             columns = [
-                pa.array([*pairs[0].tolist(), *(x for x, _ in links), *again], pa.int64()), pa.array([*pairs[1].tolist(), *(y for _, y in links), *[None] * len(again)], pa.int64()),
+                pa.array([*pairs[0].tolist(), *(x for x, _ in links), *again.tolist()], pa.int64()), pa.array([*pairs[1].tolist(), *(y for _, y in links), *[None] * len(again)], pa.int64()),
                 pa.array([False] * pairs.shape[1] + [True] * len(links) + [None] * len(again), pa.bool_()),
             ]
             return pa.RecordBatch.from_arrays(columns, names=["a", "b", "sure"])
