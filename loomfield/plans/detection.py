@@ -241,7 +241,8 @@ def network_longest_prefix(spark, sf_dir):
 
 @query("ip_keys", f"WITH {EV} SELECT event_id, CASE WHEN event_id % 2 = 0 THEN concat('20010db8', repeat('0', 16), lpad(printf('%x', user_id), 4, '0'), lpad(printf('%x', event_id % 65536), 4, '0')) WHEN event_id % 7 = 0 THEN NULL ELSE concat(repeat('0', 20), 'ffff', printf('%02x%02x%02x%02x', 10::BIGINT, user_id % 200, event_id % 250, 1 + user_id % 250)) END AS ip FROM ev")
 def ip_keys(spark, sf_dir):
-    six = F.concat(F.lit("[2001:DB8::"), F.hex("user_id"), F.lit(":"), F.hex(F.col("event_id") % 65536), F.lit("]"))
+    """A user's group holds four digits at most: of a longer number the first four, as the SQL's lpad leaves them."""
+    six = F.concat(F.lit("[2001:DB8::"), F.substring(F.hex("user_id"), 1, 4), F.lit(":"), F.hex(F.col("event_id") % 65536), F.lit("]"))
     address = F.when(F.col("event_id") % 2 == 0, six).when(F.col("event_id") % 7 == 0, F.concat("src_ip", F.lit(".1"))).otherwise(F.col("src_ip"))
     return events(spark, sf_dir).select("event_id", network.ip_key(address).alias("ip"))
 

@@ -4,10 +4,12 @@ import ipaddress
 from datetime import UTC, datetime, timedelta
 
 import numpy as np
+from oracle import compare
 from pyspark.sql import functions as F
 
 from loomfield.functions import network
 from loomfield.operators import monitors
+from loomfield.plans import detection, queries
 from loomfield.sources import columns
 
 ODD = ["::", "::1", "1::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "2001:db8::ff00:42:8329", "2001:DB8:0:0:0:0:0:1", "fe80::1%eth0", "[::1]", "::ffff:10.1.2.3", "64:ff9b::192.0.2.33", "10.0.0.1", '"10.0.0.255"',
@@ -46,6 +48,20 @@ def test_longest_network(spark):
     assert got.count() == 26 and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def _users_beyond_a_group(spark, path):
+    """Events of users whose numbers take one to eight hexadecimal digits."""
+    users = [0, 7, 207, 4_095, 65_535, 65_536, 65_607, 74_565, 1_048_575, 16_777_215, 4_294_967_295]
+    rows = [(k, datetime(2026, 1, 1, tzinfo=UTC), users[k % len(users)], "view", 1.0, "{}") for k in range(440)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{path}/made")
+    (made,) = (path / "made").glob("*.parquet")
+    made.rename(path / "events.parquet")
+    return str(path)
+
+
+def test_ip_keys_of_long_user_numbers(spark, tmp_path):
+    assert compare(spark, detection.ip_keys, queries.ORACLE_SQL["ip_keys"], _users_beyond_a_group(spark, tmp_path)) == ""
+
+
 def test_raised_issues(spark):
     start = datetime(2026, 1, 1, tzinfo=UTC)
     hours = [("a", 0), ("a", 23), ("a", 24), ("a", 25), ("a", 48), ("a", 49.5), ("b", 1), (None, 5), (None, 6), ("a", None)]
