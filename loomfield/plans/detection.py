@@ -234,7 +234,9 @@ NETWORKS = [("10.0.0.0/8", "all"), ("10.0.0.0/10", "low"), ("10.7.0.0/16", "seve
 
 @query("network_longest_prefix", f"WITH {EV}, e AS (SELECT CASE WHEN event_id % 10 = 9 THEN 'documentation' WHEN user_id % 200 = 7 AND event_id % 250 >= 128 THEN 'seven high' WHEN user_id % 200 = 7 THEN 'seven' WHEN user_id % 200 < 64 THEN 'low' ELSE 'all' END AS label FROM ev) SELECT label, count(*) AS n FROM e GROUP BY ALL")
 def network_longest_prefix(spark, sf_dir):
-    address = F.when(F.col("event_id") % 10 == 9, F.concat(F.lit("2001:db8::"), F.lower(F.hex("user_id")))).otherwise(F.col("src_ip"))
+    """A group holds four digits, so a user's number of up to 64 bits is written in four groups."""
+    groups = F.concat_ws(":", *(F.lower(F.hex(F.shiftright("user_id", shift).bitwiseAND(0xFFFF))) for shift in (48, 32, 16, 0)))
+    address = F.when(F.col("event_id") % 10 == 9, F.concat(F.lit("2001:db8::"), groups)).otherwise(F.col("src_ip"))
     rows = events(spark, sf_dir).select(address.alias("address"))
     return network.with_network(rows, "address", spark.createDataFrame(NETWORKS, "cidr string, label string")).groupBy("label").agg(N())
 

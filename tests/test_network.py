@@ -62,6 +62,10 @@ def test_ip_keys_of_long_user_numbers(spark, tmp_path):
     assert compare(spark, detection.ip_keys, queries.ORACLE_SQL["ip_keys"], _users_beyond_a_group(spark, tmp_path)) == ""
 
 
+def test_longest_networks_of_long_user_numbers(spark, tmp_path):
+    assert compare(spark, detection.network_longest_prefix, queries.ORACLE_SQL["network_longest_prefix"], _users_beyond_a_group(spark, tmp_path)) == ""
+
+
 def test_raised_issues(spark):
     start = datetime(2026, 1, 1, tzinfo=UTC)
     hours = [("a", 0), ("a", 23), ("a", 24), ("a", 25), ("a", 48), ("a", 49.5), ("b", 1), (None, 5), (None, 6), ("a", None)]
