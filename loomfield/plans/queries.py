@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import coerce
-from ..operators import monitors, rules, triage
+from ..operators import monitors, neighbours, rules, triage
 from ..operators.detect_format import detect_format
 from ..operators.learn import fingerprints, learned_fields, mask_templates
 from ..operators.normalize import json_key_patterns, normalize, with_format
@@ -346,13 +346,7 @@ _KNN = "WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE
 
 def knn(spark, sf_dir):
     """The five nearest vectors, by cosine, of a stated query set: every vector whose id is a multiple of 100."""
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    vectors = vectors.withColumn("norm", F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x)))
-    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("e").alias("q"), F.col("norm").alias("q_norm"))
-    dot = F.aggregate(F.zip_with("e", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    asked = F.broadcast(asked) if asked.count() <= 20_000 else asked  # vectors of 64 numbers
-    pairs = vectors.join(asked, F.col("query") != F.col("vec_id")).select("query", "vec_id", "label", (dot / (F.col("norm") * F.col("q_norm"))).alias("sim"))
-    return rules.best_rows(pairs, ["query"], [F.desc(F.round("sim", 9)), F.asc("vec_id")], 5)
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, 5)
 
 
 @query("knn_topk", _KNN + " SELECT vec_id AS query, other AS vec_id, rank FROM k")
