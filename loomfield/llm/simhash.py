@@ -17,9 +17,10 @@ Which fingerprints meet in a shard:
   `radius` bits agree in all but `radius` of them, so a shard is made for each way to choose the others. With more
   fingerprints, more and longer keys.
 * `shards="bands"` (large radius, longer fingerprints; `dedup`): keys of `KEY_BITS` bits from several bands, each key also with
-  the band's least certain bits flipped (the bits whose count is nearest half). The keys' length doesn't follow the
-  number of rows, so recall is the same at every size (a test holds it above 0.94 at Jaccard 0.8); shards grow instead,
-  and with them the comparisons a row, and large ones are cut.
+  each one of the band's least certain bits flipped (the bits whose count is nearest half). The keys' length doesn't follow
+  the number of rows, so recall is the same at every size (a test holds it above 0.94 at Jaccard 0.8); shards grow instead,
+  and with them the comparisons a row, and large ones are cut. Two unrelated texts meet in one of 512 shards on average; with
+  eight keys of 12 bits, each with both of two bits flipped, they met in one of 32.
 
 The trees travel to shards by a shuffle rather than a broadcast, because their size grows with the data. A shard of more
 than `LARGEST` fingerprints is never taken as a whole: with blocks and radius 2 its fingerprints are linked exactly by
@@ -53,7 +54,7 @@ LARGEST = 4_096
 # up to 61 bits they are taken as similar, up to 96 their shingles are compared.
 WIDTH, WORDS, SURE, RADIUS, SIMILARITY = 5, 8, 61, 96, 0.8
 LARGEST_NEAR = 16_384
-BANDS, KEY_BITS, FLIPS = 8, 12, 2  # a band for each word of the fingerprint
+BANDS, KEY_BITS, FLIPS = 16, 17, 3  # a band for each half word of the fingerprint
 FIRST_PAIRS = 8  # of a node in a shard, in the first round
 HELD = 1 << 22  # a batch's shards may have half as many pairs for those found to be held between the two uses of them
 BROADCAST_ROWS = 2_000_000  # row numbers of 8 bytes
@@ -68,17 +69,17 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     if len(w) < width:
         return np.array([xxhash.xxh64_intdigest(b" ".join(w), SEED)], U64)
     runs = map(b" ".join, zip(*(itertools.islice(w, k, None) for k in range(width)), strict=False))
-    return np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), U64, len(w) - width + 1)
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, runs, repeat(SEED))), ">u8").astype(U64)
 
 
 def bit_counts(h: np.ndarray, words: int = 1) -> np.ndarray:
     """How many hashes have each bit set, highest bit first, for words * 64 bits."""
-    out = np.zeros(words * 64, np.int64)
-    for k in range(words):
-        part = h if k == 0 else mix(h + U64(k) * U64(0x9E3779B97F4A7C15))
-        for i in range(0, len(part), 1 << 16):
-            rows = np.unpackbits(part[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            out[k * 64 : k * 64 + 64] += rows.sum(0, dtype=np.int64)
+    out, steps = np.zeros(words * 64, np.int64), np.array([k * 0x9E3779B97F4A7C15 % (1 << 64) for k in range(1, words)], U64)
+    for i in range(0, len(h), 255 * 16):
+        part = h[i : i + 255 * 16, None]
+        rows = np.unpackbits(np.concatenate([part, mix(part + steps)], axis=1).astype(">u8").view(np.uint8), axis=1)
+        for j in range(0, len(rows), 255):  # sums of bytes
+            out += np.add.reduce(rows[j : j + 255], axis=0, dtype=np.uint8)
     return out
 
 
@@ -205,6 +206,9 @@ def links_in_shards(keyed: DataFrame, radius: int, by_flips: bool) -> DataFrame:
     return found if more is None else found.unionByName(more)
 
 
+_COUNTS, _LANES, _ONES = {8: U64}, U64(0x00FF00FF00FF00FF), U64(0x0001000100010001)
+
+
 class Forest:
     """BK-trees of long fingerprints, one a shard, grown and searched for all shards of a batch at a time: the trees that `Tree` grows.
 
@@ -214,7 +218,7 @@ class Forest:
     """
 
     def __init__(self, prints: np.ndarray, edge: np.ndarray):
-        self.prints, self.edge, self.step, self.looked = np.ascontiguousarray(prints), edge, 128 * len(prints), 0
+        self.rows, self.edge, self.step, self.looked = np.ascontiguousarray(prints.T), edge, 128 * len(prints), 0
         self.last = np.repeat(edge[1:] - 1, np.diff(edge))
         at = np.flatnonzero(np.arange(len(self.last)) < self.last)[::-1]
         below, edges, kids = self.last[at], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -231,9 +235,13 @@ class Forest:
 
     def distances(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x), np.int64)
-        for i in range(0, len(x), 1 << 14):
-            for word in self.prints:
-                out[i : i + (1 << 14)] += np.bitwise_count(word[x[i : i + (1 << 14)]] ^ word[y[i : i + (1 << 14)]])
+        for i in range(0, len(x), 1 << 12):
+            apart = self.rows.take(x[i : i + (1 << 12)], axis=0)
+            apart ^= self.rows.take(y[i : i + (1 << 12)], axis=0)
+            bits = np.bitwise_count(apart).view(_COUNTS.get(apart.shape[1], np.uint8))
+            if bits.dtype == U64:  # eight bytes of up to 64: two in a lane, then the sum of the four lanes in the highest
+                bits = ((bits & _LANES) + ((bits >> U64(8)) & _LANES)) * _ONES >> U64(48)
+            out[i : i + (1 << 12)] = bits.sum(1, dtype=np.int64) if bits.shape[1] > 1 else bits[:, 0]
         return out
 
     def within(self, radius: int, shards: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -285,12 +293,21 @@ def _several(groups: np.ndarray, edge: np.ndarray) -> np.ndarray:
 
 def _home(low: np.ndarray, high: np.ndarray, low_flips: np.ndarray, high_flips: np.ndarray) -> np.ndarray:
     """The one key, of those that two nodes share, in whose shard their pair counts; -1 if they share none. Of each node its
-    key and the bits that may be flipped, a column for each band; low is the node with the lesser number."""
+    key and the bits of which one may be flipped, a column for each band; low is the node with the lesser number."""
     differ = low ^ high
-    shared = (differ & ~(low_flips | high_flips)) == 0
+    bits, either = np.bitwise_count(differ), differ & ~(low_flips | high_flips) == 0
+    shared = either & ((bits < 2) | (bits == 2) & (differ & low_flips != 0) & (differ & high_flips != 0))
     band, rows = shared.argmax(1), np.arange(len(low))
-    value = low[rows, band] ^ (differ[rows, band] & ~high_flips[rows, band])
-    return np.where(shared.any(1), (band.astype(np.int64) << 48) | value, -1)
+    low, differ, bits, low_flips, high_flips = (x[rows, band] for x in (low, differ, bits, low_flips, high_flips))
+    own = differ & ~high_flips  # low's flip is what high can't flip; of two that both can, the lesser bit
+    both = differ & low_flips
+    own = np.where((bits == 2) & (own == 0), both & (~both + np.uint32(1)), own)
+    return np.where(shared.any(1), (band.astype(np.int64) << 48) | (low ^ own), -1)
+
+
+def _flips(places: np.ndarray) -> np.ndarray:
+    """The bits that may be flipped, from their places, of five bits each."""
+    return sum((np.uint32(1) << ((places >> np.uint32(5 * k)) & np.uint32(31)) for k in range(FLIPS)), np.zeros(places.shape, np.uint32))
 
 
 def near_pairs(blocks: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], owns: np.ndarray, keys: np.ndarray, flips: np.ndarray, groups: np.ndarray, sure: int, ranks: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -327,13 +344,14 @@ def _near_of_partition(radius: int, sure: int, ranks: tuple[int, int]):
                 above[x] = x = above.get(y, y)
             return x
 
-        def batch_of(keys: np.ndarray, owns: np.ndarray, nodes: np.ndarray, fps: list[bytes], roots: np.ndarray) -> pa.RecordBatch:
-            data, edge = np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), edges_of(keys)
+        def batch_of(keys: np.ndarray, owns: np.ndarray, nodes: np.ndarray, fps: list[np.ndarray], roots: np.ndarray) -> pa.RecordBatch:
+            data, edge = np.concatenate(fps), edges_of(keys)
             open_ = np.repeat(_several(roots, edge), np.diff(edge))
             data, keys, owns, nodes, roots = (x[open_] for x in (data, keys, owns, nodes, roots))
             links, pairs, again = [], np.zeros((2, 0), np.int64), np.zeros(0, np.int64)
             if len(keys):
-                prints, flips, edge = data[:, : -2 * BANDS].copy().view(">u8").astype(U64), data[:, -2 * BANDS :].copy().view("<u2"), edges_of(keys)
+                prints, of, edge = data[:, : -4 * BANDS].copy().view(">u8").astype(U64), data[:, -4 * BANDS :].copy().view("<u4").astype(np.uint32), edges_of(keys)
+                bands, flips = of & np.uint32((1 << KEY_BITS) - 1), _flips(of >> np.uint32(KEY_BITS))
                 forest = Forest(prints.T, edge)
                 if (np.diff(edge) ** 2).sum() <= HELD:  # searched once
                     near = list(forest.within(radius))
@@ -348,7 +366,7 @@ def _near_of_partition(radius: int, sure: int, ranks: tuple[int, int]):
                 _, first, of = np.unique(roots, return_index=True, return_inverse=True)
                 groups = merged(labels, np.arange(len(roots)), first[of])  # a component may join several roots, and a root several components
                 blocks = near or forest.within(radius, _several(groups, edge))
-                x, y, more = near_pairs(blocks, owns, (prints >> U64(64 - KEY_BITS)).astype(np.uint16), flips, groups, sure, ranks)
+                x, y, more = near_pairs(blocks, owns, bands, flips, groups, sure, ranks)
                 pairs, again = np.unique(np.stack([nodes[x], nodes[y]]), axis=1), np.unique(keys[more])
             columns = [
                 pa.array([*pairs[0].tolist(), *(x for x, _ in links), *again.tolist()], pa.int64()), pa.array([*pairs[1].tolist(), *(y for _, y in links), *[None] * len(again)], pa.int64()),
@@ -358,16 +376,17 @@ def _near_of_partition(radius: int, sure: int, ranks: tuple[int, int]):
 
         held, fps = [np.zeros(0, np.int64) for _ in range(4)], []
         for batch in batches:
-            held = [np.append(x, batch.column(c).to_numpy()) for x, c in zip(held, ("key", "own", "node", "root"), strict=True)]
-            fps += batch.column("fp").to_pylist()
-            if not len(fps):
+            if not batch.num_rows:
                 continue
+            held = [np.append(x, batch.column(c).to_numpy()) for x, c in zip(held, ("key", "own", "node", "root"), strict=True)]
+            fps.append(np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(batch.num_rows, -1))
             last = int(np.searchsorted(held[0], held[0][-1]))
             if last:
                 keys, owns, nodes, roots = (x[:last] for x in held)
-                yield batch_of(keys, owns, nodes, fps[:last], roots)
-            held, fps = [x[last:] for x in held], fps[last:]
-        if len(fps):
+                ready = np.concatenate(fps)
+                yield batch_of(keys, owns, nodes, [ready[:last]], roots)
+                held, fps = [x[last:] for x in held], [ready[last:]]
+        if fps:
             keys, owns, nodes, roots = held
             yield batch_of(keys, owns, nodes, fps, roots)
 
@@ -385,10 +404,11 @@ def verified_components(keyed: DataFrame, radius: int, sure: int, verify: Callab
     so that a group that fills several is reported once by it.
     """
     keyed = written(keyed)
-    usual, large = _sizes(keyed, LARGEST_NEAR)
-    shards, used = keyed.join(usual, "key", "left_semi").withColumn("own", F.col("key")), [keyed]
-    if not large.isEmpty():
-        used.append(shards := written(shards.unionByName(_paired_parts(keyed, large, LARGEST_NEAR))))
+    large = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGEST_NEAR))
+    shards, used = keyed.withColumn("own", F.col("key")), [keyed, large]  # not joined with sizes: the rows are shuffled once, and a task leaves shards of one node out
+    if not large.isEmpty():  # few keys: no more than the rows by the size
+        usual = shards.join(F.broadcast(large.select("key")), "key", "left_anti")
+        used.append(shards := written(usual.unionByName(_paired_parts(keyed, large, LARGEST_NEAR))))
     near = F.when(F.col("key") == F.col("own"), F.shiftright("key", KEY_BITS - 3)).otherwise(F.col("key"))
     roots, ranks = None, (0, FIRST_PAIRS)
     while True:
@@ -450,17 +470,14 @@ def fingerprints(docs: DataFrame, id_columns: list[str], width: int = WIDTH, wor
 
 
 def band_keys(fp: bytes, counts: np.ndarray, n: int) -> tuple[list[int], bytes]:
-    """Keys from the first `KEY_BITS` bits of each of `BANDS` bands of a long fingerprint, also with each set of their `FLIPS`
-    least certain bits flipped; and the bits of each band's key that may be flipped, two bytes a band."""
+    """Keys from the first `KEY_BITS` bits of each of `BANDS` bands of a long fingerprint, also with each one of their `FLIPS`
+    least certain bits flipped; and each band's key and the places of those bits in it, four bytes a band."""
     margin, ones = np.abs(2 * counts - n).reshape(BANDS, -1)[:, :KEY_BITS], (2 * counts > n).reshape(BANDS, -1)[:, :KEY_BITS]
-    out, flips, places = [], [], 1 << np.arange(KEY_BITS - 1, -1, -1)
-    for band in range(BANDS):
-        values, weak = [int(places[ones[band]].sum())], [int(places[k]) for k in np.argsort(margin[band], kind="stable")[:FLIPS]]
-        for mask in weak:
-            values += [v ^ mask for v in values]
-        out += [(band << 48) | v for v in values]
-        flips.append(sum(weak))
-    return out, np.array(flips, "<u2").tobytes()
+    weak = KEY_BITS - 1 - np.argsort(margin, axis=1, kind="stable")[:, :FLIPS]
+    keys = (np.arange(BANDS) << 48) | (ones << np.arange(KEY_BITS - 1, -1, -1)).sum(1)
+    out = np.concatenate([keys[:, None], keys[:, None] ^ (1 << weak)], axis=1)
+    places = (weak << KEY_BITS + 5 * np.arange(FLIPS)).sum(1)
+    return out.ravel().tolist(), (keys & ((1 << KEY_BITS) - 1) | places).astype("<u4").tobytes()
 
 
 def _jaccard(width: int, similarity: float):

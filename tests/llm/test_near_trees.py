@@ -44,6 +44,39 @@ def test_trees_are_those_grown_one_by_one():
     assert {p for block in forest.within(96, some) for p in zip(*(c.tolist() for c in block), strict=True)} == {p for p in pairs if edge[3] <= p[0] < edge[4]}
 
 
+def test_the_home_of_a_pair_is_one_key_that_both_have():
+    """Of keys that differ in up to four bits, in one band: -1 if the two share none."""
+    rng, homes = np.random.default_rng(8), 0
+    for _ in range(4_000):
+        low = int(rng.integers(0, 1 << simhash.KEY_BITS))
+        high = low ^ sum(1 << int(k) for k in rng.choice(6, int(rng.integers(0, 5)), replace=False))
+        flips = [sum(1 << int(k) for k in rng.choice(6, simhash.FLIPS, replace=False)) for _ in "ab"]
+        own, other = ({v} | {v ^ (1 << k) for k in range(6) if f >> k & 1} for v, f in ((low, flips[0]), (high, flips[1])))
+        (home,) = simhash._home(*(np.array([[v]], np.uint32) for v in (low, high, *flips))).tolist()
+        assert home in own & other if own & other else home == -1
+        homes += home >= 0
+    assert 500 < homes < 3_500
+
+
+def test_unrelated_texts_seldom_meet():
+    """Of 3,000 unrelated fingerprints a pair meets in one of 512 shards; it was one in 32 with keys of twelve bits."""
+    rng, shards = np.random.default_rng(9), {}
+    for node in range(3_000):
+        for key in simhash.band_keys(b"", rng.binomial(200, 0.5, 512), 200)[0]:
+            shards.setdefault(key, []).append(node)
+    met = sum(len(n) * (len(n) - 1) // 2 for n in shards.values())
+    assert met < 3_000 * 2_999 / 2 / 400
+
+
+def test_bits_are_counted_as_one_by_one():
+    rng = np.random.default_rng(10)
+    for n in (0, 1, 254, 255, 256, 4_081, 9_000):
+        h = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        words = [h if k == 0 else simhash.mix(h + np.array([k * 0x9E3779B97F4A7C15 % (1 << 64)], np.uint64)) for k in range(8)]
+        want = [int(((w >> np.uint64(63 - b)) & np.uint64(1)).sum()) for w in words for b in range(64)]
+        assert simhash.bit_counts(h, 8).tolist() == want and simhash.bit_counts(h).tolist() == want[:64]
+
+
 def test_search_passes_by_other_groups():
     """Two groups of 1,000 near copies: a search stays in its own, but for the root."""
     prints = _prints(1, 2_000, 2)
